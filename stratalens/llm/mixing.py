@@ -185,16 +185,16 @@ def mix(
         .select("source_idx", "shard", F.explode(F.expr("sequence(cast(end - n as int), cast(end - 1 as int))")).alias("item"))
     )
     drawn = (
-        items.join(dealt, ["source_idx", "item"])
+        items.join(dealt.hint("merge"), ["source_idx", "item"])
         .groupBy("skey", "block")
         .agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"))
     )
-    plan = blocks.select("skey", "block", "source_size", "target", "passes", "words", "last").join(drawn, ["skey", "block"], "left")
+    plan = blocks.select("skey", "block", "source_size", "target", "passes", "words", "last").join(drawn.hint("merge"), ["skey", "block"], "left")
     within = Window.partitionBy("skey", "block").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = F.when(F.col("upto") - F.col("size") / 2 <= F.col("last"), F.col("size")).otherwise(F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("last") - (F.col("upto") - F.col("size"))))
     return (
-        base.join(plan, ["skey", "block"])
+        base.join(plan.hint("merge"), ["skey", "block"])
         .withColumn("upto", F.sum("size").over(within))
         .withColumn("rest", F.when(F.col("last") == F.col("words"), F.col("size")).when(F.col("last") <= 0, F.lit(0)).otherwise(whole if whole_documents else part))
         .withColumn(
