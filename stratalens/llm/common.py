@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +74,12 @@ class Workspace:
 def uniform(*cols: Column) -> Column:
     """A number in [0, 1) that depends on the columns alone."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
+
+
+def on_group(f, **options):
+    """f(table, **options) as a function of a group's Arrow table, with the types that Spark reads."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return f(table, **options)
+
+    return run
