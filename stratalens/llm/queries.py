@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import jaccard, mixing, neardup, packing, quality, secrets, tokens, topk, warc
+from stratalens.llm import jaccard, mixing, neardup, packing, quality, secrets, suffixes, tokens, topk, warc
 from stratalens.llm.common import table
 
 
@@ -79,6 +79,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
