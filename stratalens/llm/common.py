@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -58,17 +59,21 @@ class Workspace:
         df.write.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more, and let Spark clean the shuffles of finished steps."""
+    def drop(self, *names: str, release: bool = True) -> None:
+        """Delete tables that nothing reads any more, and have Spark clean the shuffles of finished steps."""
         jvm = self.spark._jvm
         for name in names:
             p = jvm.org.apache.hadoop.fs.Path(self.path(name))
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-        self.release()
+        if release:
+            self.release()
 
     def release(self) -> None:
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Have the driver notice which shuffles nothing refers to; it takes a second collection to reach them all."""
+        for _ in range(3):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
 
 def uniform(*cols: Column) -> Column:

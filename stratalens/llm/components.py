@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, space: Workspace, name: str) -> DataF
         small = _minima(large.filter("v < u"), lambda m, w: F.col(m))
         nxt = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         nxt = space.write(nxt, f"{name}-{turn}")
-        space.drop(f"{name}-{turn - 1}")
+        space.drop(f"{name}-{turn - 1}", release=False)
         now, after = nxt, sign(nxt)
         if after == before:
             break
