@@ -281,7 +281,8 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Of rows that repeat a kept id and its text one stays; rows without an id stay, but for exact copies among them.
     """
-    kept = similar(docs, id_col=id_col, text_col=text_col, **options).filter("doc_id <=> class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__kept"))).drop("__kept")
-    again = Window.partitionBy(id_col, "__text").orderBy("__text")
-    return rows.withColumn("__text", F.xxhash64(F.col(text_col))).withColumn("__n", F.row_number().over(again)).filter("__n = 1").drop("__text", "__n")
+    kept = similar(docs, id_col=id_col, text_col=text_col, **options).filter("doc_id <=> class_id").select(F.col("doc_id").alias("kept")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("hash"))
+    rows = rows.join(kept.hint("merge"), F.col("id").eqNullSafe(F.col("kept")))
+    again = Window.partitionBy("id", "hash").orderBy("hash")
+    return rows.withColumn("n", F.row_number().over(again)).filter("n = 1").select("row.*")
