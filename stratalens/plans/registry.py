@@ -146,10 +146,15 @@ def import_extract(t):
     return graph.dependencies(_imports(t)).groupBy("source", F.col("specifier").alias("target"), "is_external").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {HREFS} SELECT path AS source, target, count(*) AS n FROM h WHERE target IN (SELECT path FROM h UNION SELECT regexp_replace(url, '^https?://[^/]+', '') FROM pages) GROUP BY ALL")
+@query(f"""
+WITH {HREFS}, n AS (SELECT regexp_replace(url, '^https?://[^/]+', '') AS path FROM pages UNION SELECT target FROM h WHERE page_id % 2 = 0)
+SELECT path AS source, target, count(*) AS n FROM h WHERE target IN (SELECT path FROM n) GROUP BY ALL
+""")
 def import_resolve_edges(t):
-    files = t.pages.select(F.lit("p").alias("project_id"), F.regexp_replace("url", r"^https?://[^/]+", "").alias("path"))
-    return graph.edges(graph.dependencies(_imports(t)), files).groupBy("source", "target").agg(F.count("*").alias("n"))
+    imports = _imports(t)
+    linked = _imports(t).join(t.pages.filter("page_id % 2 = 0").select(F.regexp_replace("url", r"^https?://[^/]+", "").alias("path")), "path", "left_semi").select(F.col("source").alias("path"))
+    files = t.pages.select(F.regexp_replace("url", r"^https?://[^/]+", "").alias("path")).unionByName(linked).distinct().withColumn("project_id", F.lit("p"))
+    return graph.edges(graph.dependencies(imports), files).groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
 @query("""
