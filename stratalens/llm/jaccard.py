@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from stratalens.llm.common import Workspace, on_group
 from stratalens.llm.components import connected_components, forest
-from stratalens.llm.tokens import in_batches, rows_of
+from stratalens.llm.tokens import in_batches
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -33,6 +33,8 @@ STEP = 32
 TOLERANCE = 1e-9
 #: Nodes and n-grams of a tile on average.
 TILE_NODES, TILE_GRAMS = 1024, 1_000_000
+#: Stands for a null id, after all others.
+NO_ID = (1 << 63) - 1
 #: Members of small components that are verified together.
 BUNDLE = 512
 
@@ -181,21 +183,24 @@ def _compare(table: pa.Table, threshold: float, tolerance: float) -> pa.Table:
     order = np.argsort(component, kind="stable")
     rows = []
     for part in np.split(order, np.flatnonzero(np.diff(component[order])) + 1):
+        part = part[np.unique(nodes[part], return_index=True)[1]]  # rows that repeat an id and a text
         rows += _tile(nodes[part], copies[part], sides[part], [sets[k] for k in part], signatures[part], threshold, tolerance)
     return pa.table({k: pa.array([r[i] for r in rows], pa.int64()) for i, k in enumerate(("a", "b", "links"))})
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in in_batches(rows_of(batches), 1):
-        sets = word_sets([t for _, t in rows])
+    every = ((doc, t.as_py() or "", h) for b in batches for doc, t, h in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True))
+    for rows in in_batches(every, 1):
+        sets = word_sets([r[1] for r in rows])
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([r[0] for r in rows], pa.int64()),
+                pa.array([r[2] for r in rows], pa.int64()),
                 pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
             ],
-            ["doc_id", "node", "grams", "signature"],
+            ["doc", "hash", "node", "grams", "signature"],
         )
 
 
@@ -228,12 +233,14 @@ def similar(
     count all its copies.  No pair leaves a tile: only counts and the edges of a spanning forest do.
     """
     space = Workspace(docs.sparkSession, "jaccard")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sig = space.write(texts.mapInArrow(_signatures, "doc_id long, node long, grams long, signature binary"), "signatures")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    sig = space.write(texts.mapInArrow(_signatures, "doc long, hash long, node long, grams long, signature binary"), "signatures")
     nodes = (
         sig.filter("node is not null")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("grams").alias("n"), F.first("signature").alias("signature"))
+        .agg(F.min(F.struct("doc", "hash")).alias("least"), F.count("*").alias("copies"), F.first("grams").alias("n"), F.first("signature").alias("signature"))
+        .select("node", "least.*", "copies", "n", "signature")
     )
     nodes = space.write(nodes, "nodes")
     space.release()
@@ -242,7 +249,7 @@ def similar(
     buckets = bands.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("size")).filter("size > 1").select("key", "low")
     edges = bands.join(buckets.hint("merge"), "key").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     coarse = connected_components(edges, space, "coarse").withColumnRenamed("id", "node")
-    members = space.write(coarse.join(nodes, "node").filter("doc is not null"), "members")
+    members = space.write(coarse.join(nodes, "node"), "members")
     space.release()
     sizes = members.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     sizes = sizes.withColumn("tiles", F.greatest(F.ceil(F.col("size") / TILE_NODES), F.ceil(F.col("total") / TILE_GRAMS)).cast("int"))
@@ -252,7 +259,7 @@ def similar(
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         .withColumn("place", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("component"), F.lit(bundles))).otherwise(F.col("component")))
     )
-    sent = texts.join(dealt.select(F.col("doc").alias("doc_id"), "node", "component", "copies", "signature", "tiles", "mine", "place").hint("merge"), "doc_id").drop("doc_id")
+    sent = texts.join(dealt.select("doc", "hash", "node", "component", "copies", "signature", "tiles", "mine", "place").hint("merge"), ["doc", "hash"]).drop("doc", "hash")
     sent = sent.mapInArrow(_grams, "grams binary, node long, component long, copies long, signature binary, tiles int, mine int, place long")
     sent = sent.select("*", F.explode(F.expr("sequence(0, tiles - 1)")).alias("other")).select(
         "grams", "node", "component", "copies", "signature", "place", (F.col("tiles") > 1).alias("large"),
@@ -272,8 +279,10 @@ def similar(
         .select("node", F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     known = space.write(known, "known")
-    out = sig.select("doc_id", "node").join(known.hint("merge"), "node", "left")
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = sig.select("doc", "node").join(known.hint("merge"), "node", "left")
+    named_or_own = F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("class_id"))
+    given = lambda c: F.nullif(c, F.lit(NO_ID))
+    return out.select(given(F.col("doc")).alias("doc_id"), given(named_or_own).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -43,6 +43,8 @@ def rows_of(texts, shift=0):
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = rows_of(made())
+    near = rows[20][1] + " " + "tail"
+    rows += [(None, near, "en", "a", 7, 7, 7, 7, "z", 0.5, "y"), rows[0], rows[0], (None, near, "en", "a", 7, 7, 7, 7, "z", 0.5, "y")]
     rows += [(None, "a text without an id but with words", "en", "a", 7, 7, 7, 7, "z", 0.5, "y"), (5, "another text for the id five", None, None, None, None, None, None, None, None, None)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
