@@ -147,12 +147,12 @@ def import_extract(t):
 
 
 @query(f"""
-WITH {HREFS}, n AS (SELECT regexp_replace(url, '^https?://[^/]+', '') AS path FROM pages UNION SELECT target FROM h WHERE page_id % 2 = 0)
+WITH {HREFS}, n AS (SELECT regexp_replace(url, '^https?://[^/]+', '') AS path FROM pages UNION SELECT target FROM h GROUP BY target HAVING count(*) > 1)
 SELECT path AS source, target, count(*) AS n FROM h WHERE target IN (SELECT path FROM n) GROUP BY ALL
 """)
 def import_resolve_edges(t):
     imports = _imports(t)
-    linked = _imports(t).join(t.pages.filter("page_id % 2 = 0").select(F.regexp_replace("url", r"^https?://[^/]+", "").alias("path")), "path", "left_semi").select(F.col("source").alias("path"))
+    linked = imports.groupBy(F.col("source").alias("path")).agg(F.count("*").alias("n")).filter("n > 1").select("path")
     files = t.pages.select(F.regexp_replace("url", r"^https?://[^/]+", "").alias("path")).unionByName(linked).distinct().withColumn("project_id", F.lit("p"))
     return graph.edges(graph.dependencies(imports), files).groupBy("source", "target").agg(F.count("*").alias("n"))
 
@@ -335,9 +335,9 @@ def type_share_pct(t):
     return aggregates.share(t.orders, F.col("o_orderstatus"), "type").withColumn("pct", F.col("pct").cast("double"))
 
 
-@query("SELECT doc_id, upper(left(lang, 1)) || substr(lang, 2) AS title, regexp_replace(lower(left(text, 40)), '\\s+', '_', 'g') AS slug, sha256(text) AS digest FROM documents")
+@query("SELECT doc_id, upper(left(lang, 1)) || substr(lang, 2) AS title, regexp_replace(lower(lang || '  ' || source), '\\s+', '_', 'g') AS slug, sha256(text) AS digest FROM documents")
 def text_functions(t):
-    return t.documents.select("doc_id", texts.capitalize_first(F.col("lang")).alias("title"), texts.slug(F.left("text", F.lit(40)), "_").alias("slug"), texts.token_digest(F.col("text")).alias("digest"))
+    return t.documents.select("doc_id", texts.capitalize_first(F.col("lang")).alias("title"), texts.slug(F.concat("lang", F.lit("  "), "source"), "_").alias("slug"), texts.token_digest(F.col("text")).alias("digest"))
 
 
 @query("""
@@ -449,10 +449,9 @@ def array_any_any_vs_same(t):
     return rows.select("l_orderkey", filters.any_any("m", F.lit(3), "R").alias("any_any"), filters.same_element("m", F.lit(3), ["R"]).alias("same_element"))
 
 
-@query("SELECT source, target, kind FROM (SELECT l_orderkey AS source, l_suppkey AS target, 'resolved' AS kind FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_orderkey, l_partkey, 'raw' FROM lineitem WHERE l_linenumber = 1)")
+@query("SELECT source, target, kind FROM (SELECT l_orderkey AS source, l_suppkey AS target, 'resolved' AS kind FROM lineitem UNION ALL SELECT l_orderkey, l_partkey, 'raw' FROM lineitem)")
 def union_all_dependencies(t):
-    rows = t.lineitem.filter("l_linenumber = 1")
-    side = lambda c, k: rows.select(F.col("l_orderkey").alias("source"), F.col(c).alias("target"), F.lit(k).alias("kind"))
+    side = lambda c, k: t.lineitem.select(F.col("l_orderkey").alias("source"), F.col(c).alias("target"), F.lit(k).alias("kind"))
     return ordering.union_all(side("l_suppkey", "resolved"), side("l_partkey", "raw"))
 
 
