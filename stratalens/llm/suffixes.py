@@ -31,7 +31,7 @@ SAMPLED = 16
 #: Bits of a position in a document; above them stands a hash of the text, for rows that repeat an id.
 PLACE = 40
 #: Window starts that are looked at together.
-SPAN = 1 << 22
+SPAN = 1 << 20
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -135,11 +135,14 @@ def shared_lengths(keys: list[bytes]) -> np.ndarray:
 
 
 def collapsed(items: list[tuple]) -> tuple[list[tuple], list[tuple]]:
-    """Of sorted items the first of each equal region, and (doc, at, windows) of the others, which repeat it."""
+    """Of sorted items the first of each equal region, and (doc, at, windows) of the others, which repeat it.
+
+    Rows that repeat an id and a text give the same item again, which is no repeat of itself."""
     kept, repeats, last = [], [], None
     for x in items:
         if last is not None and x[0] == last[0] and x[1] == last[1]:
-            repeats.append(x[2:])
+            if x[2:] != last[2:]:
+                repeats.append(x[2:])
         else:
             kept.append(x)
             last = x
@@ -345,7 +348,7 @@ def _merge(table: pa.Table, length: int, gram: int) -> pa.Table:
         for right in {x[1] for x in same}:
             first, *others = sorted((x for x in same if x[1] == right), key=lambda x: (x[2], x[3]))
             group.append(first)
-            out.extend(x[2:] for x in others)
+            out.extend(x[2:] for x in others if x[2:] != first[2:])
         same.clear()
 
     def end_group():

@@ -27,7 +27,7 @@ CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 512
 #: Characters before the end of a chunk in which no boundary is proven stable: more than any special token has.
 MARGIN = 64
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 #: Distinct pre-tokens that are remembered at once; then the memory is emptied and filled anew.
 REMEMBERED = 1_500_000
 SPACE, LETTER, NUMBER, OTHER, END, UNSURE = 1, 2, 3, 4, 0, 255

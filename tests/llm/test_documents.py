@@ -347,6 +347,16 @@ def test_suffixes_odd_rows(docs, empty):
     assert len(got) == docs.count() and suffixes.deduplicated(empty).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"range_bytes": 2000, "run_bytes": 3000}])
+def test_suffixes_repeated_rows_are_one_document(spark, options):
+    texts = made(5, 30)
+    rows = rows_of(texts)
+    df = spark.createDataFrame([*rows, *rows[::2], *rows[::3]], SCHEMA).repartition(3)
+    want = repeats_by_hand(list(enumerate(texts)))
+    got = suffixes.deduplicated(df, **options).collect()
+    assert len(got) == df.count() and all(tuple(r)[1:] == want[r.doc_id] for r in got)
+
+
 def test_loser_tree_and_front_coding():
     r = random.Random(8)
     items = sorted((bytes(r.choice(b"ab") for _ in range(r.randint(0, 12))), 0, i, i, 1) for i in range(300))
