@@ -144,9 +144,7 @@ def layers(edge: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def metrics(edge: DataFrame, nodes: DataFrame) -> DataFrame:
     """Counts, edges per node and coupling; null where there are no nodes."""
-    e = edge.agg(F.count("*").alias("edges"))
-    n = nodes.agg(F.countDistinct("id").alias("nodes"))
-    out = e.crossJoin(F.broadcast(n))  # a row each
+    out = edge.agg(F.count("*").alias("edges")).withColumn("nodes", nodes.agg(F.countDistinct("id")).scalar())
     return out.select(
         "nodes", "edges", F.try_divide(F.col("edges").cast("double"), F.col("nodes")).alias("avg_dependencies"),
         scores.coupling(F.col("edges"), F.col("nodes")).alias("coupling"), F.lit(0.8).alias("cohesion"), F.lit(0.5).alias("instability"), F.lit(0.3).alias("abstractness"),

@@ -27,8 +27,7 @@ def examples(endpoints: DataFrame, methods: Sequence[str] = ("GET", "POST", "PUT
     rank = F.array_position(F.array(*map(F.lit, methods)), F.col("method"))
     first = latest(endpoints.filter(F.col("method").isin(*methods)), ["method"], [F.col(order)]).withColumn("__r", rank)
     others = endpoints.withColumn("__r", F.lit(len(methods)) + 1 + F.row_number().over(Window.orderBy(order))).orderBy("__r").limit(most)
-    some = first.agg(F.count("*").alias("__some"))
-    chosen = first.unionByName(others.crossJoin(F.broadcast(some)).filter("__some = 0").drop("__some"))  # one row on the right
+    chosen = first.unionByName(others.filter(first.agg(F.count("*")).scalar() == 0))
     return chosen.orderBy("__r").limit(most).drop("__r")
 
 

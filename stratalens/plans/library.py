@@ -102,10 +102,9 @@ def analyze_project(files: DataFrame, manifests: DataFrame, *, resolution: str =
 def dependency_analysis(files: DataFrame, manifests: DataFrame, **options) -> dict[str, DataFrame]:
     """The analysis with insights and recommendations from the rules."""
     out = analyze_project(files, manifests, **options)
-    one = lambda df, name: df.agg(F.count("*").alias(name))
     row = out["metrics"].select("nodes", "edges")
     for df, name in ((out["cycles"], "cycles"), (out["libraries"], "libraries"), (graph.strong_components(out["edges"]).select("component").distinct(), "clusters")):
-        row = row.crossJoin(F.broadcast(one(df, name)))  # a row each
+        row = row.withColumn(name, df.agg(F.count("*")).scalar())
     return out | {"insights": rules.insights(row), "recommendations": rules.recommendations(row)}
 
 
