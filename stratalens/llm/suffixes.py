@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import Workspace, on_group
+from stratalens.llm.common import Workspace, on_group, rekeyed
 from stratalens.llm.tokens import in_batches
 
 LENGTH, GRAM = 100, 40
@@ -415,8 +415,8 @@ def _report(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 def repeats(docs: DataFrame, space: Workspace, *, length: int = LENGTH, gram: int = GRAM, run_bytes: int = RUN_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """docs (doc, version, text): (doc, version, ats, windows), the repeated strings of each text that has any."""
     anchors = space.write(docs.mapInArrow(partial(_anchors, length=length, gram=gram), "h long, doc long, at long, prefix long"), "anchors")
-    twice = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    wanted = anchors.join(twice.hint("merge"), "h").select("doc", "at", "prefix")
+    twice = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select(rekeyed(F.col("h")).alias("k"))
+    wanted = anchors.withColumn("k", rekeyed(F.col("h"))).join(twice.hint("merge"), "k").select("doc", "at", "prefix")
     wanted = space.write(wanted, "wanted")
     space.drop("anchors")
     n = max(1, wanted.count() * 130 // range_bytes)
@@ -432,8 +432,8 @@ def repeats(docs: DataFrame, space: Workspace, *, length: int = LENGTH, gram: in
     found = space.write(found, "found")
     space.drop("wanted")
     left = found.filter("h is not null").select("h", "doc", "at")
-    first = left.groupBy("h").agg(F.min(F.struct("doc", "at")).alias("first"))
-    again = left.join(first.hint("merge"), "h").filter(F.struct("doc", "at") != F.col("first")).select("doc", "at", F.lit(1).cast("long").alias("windows"))
+    first = left.groupBy("h").agg(F.min(F.struct("doc", "at")).alias("first")).select(rekeyed(F.col("h")).alias("k"), "first")
+    again = left.withColumn("k", rekeyed(F.col("h"))).join(first.hint("merge"), "k").filter(F.struct("doc", "at") != F.col("first")).select("doc", "at", F.lit(1).cast("long").alias("windows"))
     every = found.filter("h is null").select("doc", "at", "windows").unionByName(again)
     return every.groupBy("doc", version.alias("version")).agg(F.collect_list(F.struct("at", "windows")).alias("p")).select("doc", "version", F.col("p.at").alias("ats"), F.col("p.windows").alias("windows"))
 
