@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import Workspace
+from stratalens.llm.common import Workspace, rekeyed
 
 
 def _minima(sym: DataFrame, lowest) -> DataFrame:
@@ -13,8 +13,8 @@ def _minima(sym: DataFrame, lowest) -> DataFrame:
 
     The join has one row for a node on its right side, so Spark can split the rows of a node with many neighbours.
     """
-    least = sym.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), lowest("m", "w").alias("m"))
-    return sym.join(least.hint("merge"), F.col("u") == F.col("w")).select("u", "v", "m")
+    least = sym.groupBy("u").agg(F.min("v").alias("m")).select(rekeyed(F.col("u")).alias("k"), lowest("m", "u").alias("m"))
+    return sym.withColumn("k", rekeyed(F.col("u"))).join(least.hint("merge"), "k").select("u", "v", "m")
 
 
 def connected_components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import Workspace, on_group
+from stratalens.llm.common import Workspace, on_group, rekeyed
 from stratalens.llm.components import connected_components, forest
 from stratalens.llm.tokens import in_batches
 
@@ -246,8 +246,8 @@ def similar(
     space.release()
     keys = f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(signature, b * {2 * BAND} + 1, {2 * BAND})))"
     bands = nodes.select("node", F.explode(F.expr(keys)).alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("size")).filter("size > 1").select("key", "low")
-    edges = bands.join(buckets.hint("merge"), "key").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    buckets = bands.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("size")).filter("size > 1").select(rekeyed(F.col("key")).alias("k"), "low")
+    edges = bands.withColumn("k", rekeyed(F.col("key"))).join(buckets.hint("merge"), "k").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     coarse = connected_components(edges, space, "coarse").withColumnRenamed("id", "node")
     members = space.write(coarse.join(nodes, "node"), "members")
     space.release()
