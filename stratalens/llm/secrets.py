@@ -24,12 +24,17 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 DIGESTS = (32, 40, 56, 64, 96, 128)
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-#: An identifier or path: words of letters, each with digits after it at most, joined by signs.
+#: The shape of an identifier or path: words of letters, each with digits after it at most, joined by signs.
 IDENTIFIER = re.compile(r"[_/+=-]*[A-Za-z]*[a-z]{3}[A-Za-z]*[0-9]{0,4}([_/+=-]+([A-Za-z]+[0-9]{0,4}|[0-9]+))*[_/+=-]*")
 
 #: A candidate for the token test has so many characters, and fewer than RATIO of them to a token.
 LEAST_RANDOM = 20
 RATIO = 2.0
+#: Without letters only digits in a row are a candidate, not dates and numbers that signs join.
+NUMBER = re.compile(r"[0-9]{%d,}" % LEAST_RANDOM)
+#: The words of an identifier, by case; one of LEAST_WORD letters is readable with at least WORD_RATIO of them to a token.
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+LEAST_WORD, WORD_RATIO = 4, 3
 
 _HEX = bytes(120 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 _WORDS = bytes(120 if (chr(i).isascii() and chr(i).isalnum()) or chr(i) in "+/_=-" else 32 for i in range(256))
@@ -46,6 +51,14 @@ class Vocabulary:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    def readable(self, text: str) -> bool:
+        """Whether words that the vocabulary knows have half of the letters at least."""
+        known = 0
+        for w in WORD.findall(text):
+            if len(w) >= LEAST_WORD and len(w) >= WORD_RATIO * min(len(self.encode(w)), len(self.encode(" " + w.lower()))):
+                known += len(w)
+        return known > 0 and 2 * known >= sum(map(str.isalpha, text))
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the matches of the fixed patterns, leftmost and without overlap in each kind."""
@@ -62,20 +75,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], vocabulary: Vocabulary, ratio: float = RATIO) -> list[tuple[int, int, int]]:
-    """Long strings of letters and digits, off the base spans, with few characters to a token; digests and identifiers are known."""
+    """Long strings of letters and digits, off the base spans, with few characters to a token; digests are known, and so
+    are identifiers of readable words."""
     flat = text.encode("latin-1", "replace").translate(_WORDS)
     out = []
     if b"x" * LEAST_RANDOM in flat:
         for m in _RUN_RANDOM.finditer(flat):
             a, b = m.span()
             word = text[a:b]
-            if not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
+            if not any(c.isalpha() for c in word) and not NUMBER.search(word):
                 continue
-            if len(word) in DIGESTS and DIGEST.fullmatch(word) or UUID.fullmatch(word) or IDENTIFIER.fullmatch(word):
+            if len(word) in DIGESTS and DIGEST.fullmatch(word) or UUID.fullmatch(word):
                 continue
             if any(x < b and a < y for x, _, y in taken):
                 continue
-            if len(word) < ratio * len(vocabulary.encode(word)):
+            if len(word) < ratio * len(vocabulary.encode(word)) and not (IDENTIFIER.fullmatch(word) and vocabulary.readable(word)):
                 out.append((a, 3, b))
     return out
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -227,6 +228,18 @@ def test_secrets_redacted(spark, empty):
     assert secrets.scan(empty, tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern()).count() == 0
 
 
+def test_secrets_of_letters_only():
+    vocabulary = secrets.Vocabulary(tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern())
+    r = random.Random(7)
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    low, mixed = string.ascii_lowercase, string.ascii_letters
+    for make in (lambda: draw(mixed, 20), lambda: draw(low, 32), lambda: draw(mixed, 24) + "42", lambda: draw(low, 24) + "2024", lambda: draw(low, 24) + "7"):
+        words = [w for w in (make() for _ in range(200)) if len(w) < 2 * len(vocabulary.encode(w))]
+        assert len(words) > 150 and all((4, 3, 4 + len(w)) in secrets.find(f"key {w} ok", vocabulary)[1] for w in words)
+    for text in ("internationalization", "get_user_profile_by_identifier2", "SomeVeryLongClassNameHere1", "-" * 40, "=" * 40, "2024-01-01_2024-12-31_2025-06-30"):
+        assert not secrets.find(text, vocabulary)[1]
+
+
 # ---- quality
 
 
