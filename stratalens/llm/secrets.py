@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
@@ -30,6 +30,10 @@ IDENTIFIER = re.compile(r"[_/+=-]*[A-Za-z]*[a-z]{3}[A-Za-z]*[0-9]{0,4}([_/+=-]+(
 #: A candidate for the token test has so many characters, and fewer than RATIO of them to a token.
 LEAST_RANDOM = 20
 RATIO = 2.0
+#: Parts of a run between signs, and what may be known in it; a short word or version may stand beside a secret in a path.
+SIGN, PART, SHORT = re.compile(r"[+/_=-]"), re.compile(r"[A-Za-z0-9]+"), re.compile(r"[a-z]{1,4}[0-9]{0,2}")
+PADDING = re.compile(r"(?:={1,2}(?![A-Za-z0-9=]))?")
+KNOWN = re.compile(rf"(?<![0-9A-Za-z])(?:{UUID.pattern}|{DIGEST.pattern})(?![0-9A-Za-z])")
 #: Without letters only digits in a row are a candidate, not dates and numbers that signs join.
 NUMBER = re.compile(r"[0-9]{%d,}" % LEAST_RANDOM)
 #: The words of an identifier, by case; one of LEAST_WORD letters is readable with at least WORD_RATIO of them to a token.
@@ -74,23 +78,74 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _known(word: str) -> bool:
+    return bool(len(word) in DIGESTS and DIGEST.fullmatch(word) or UUID.fullmatch(word))
+
+
+def _pieces(begin: int, end: int, gone: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """(begin, end) of what is left between the spans that are gone."""
+    for x, y in sorted((x, y) for x, y in gone if x < end and begin < y):
+        if begin < x:
+            yield begin, x
+        begin = max(begin, y)
+    if begin < end:
+        yield begin, end
+
+
+def _stretches(run: str, vocabulary: Vocabulary) -> Iterator[list[tuple[int, int]]]:
+    """The parts of a run, (begin, end) each, in stretches that no readable part and no '=' is in, without the short
+    words of a path at their ends."""
+    held: list[tuple[int, int]] = []
+    for a, b in [*(m.span() for m in PART.finditer(run)), (len(run), len(run))]:
+        word = run[a:b]
+        readable = vocabulary.readable(word)
+        if held and (readable or not word or run[a - 1] == "="):
+            while len(held) > 1 and SHORT.fullmatch(run[slice(*held[0])]) and run[held[0][1]] == "/":
+                del held[0]
+            while len(held) > 1 and SHORT.fullmatch(run[slice(*held[-1])]) and run[held[-1][0] - 1] == "/":
+                del held[-1]
+            yield held
+            held = []
+        if word and not readable:
+            held.append((a, b))
+
+
+def _random_in(run: str, parts: list[tuple[int, int]], low: Callable[[str], bool]) -> list[tuple[int, int]]:
+    """(begin, end) of a stretch if it is random, or else of the parts of it that are; with the padding of base64."""
+    found = [(parts[0][0], parts[-1][1])]
+    if not low(run[slice(*found[0])]):
+        found = [x for x in parts if low(run[slice(*x)])]
+    elif not PART.search(run[: found[0][0]] + run[found[0][1] :]):
+        return [(0, len(run))]
+    return [(a, PADDING.match(run, b).end()) for a, b in found]
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], vocabulary: Vocabulary, ratio: float = RATIO) -> list[tuple[int, int, int]]:
     """Long strings of letters and digits, off the base spans, with few characters to a token; digests are known, and so
-    are identifiers of readable words."""
+    are identifiers of readable words.
+
+    The stretches of a run between readable parts are tested on their own, the whole run if none of them is random."""
     flat = text.encode("latin-1", "replace").translate(_WORDS)
     out = []
     if b"x" * LEAST_RANDOM in flat:
+
+        def low(word: str) -> bool:
+            return len(word) >= LEAST_RANDOM and (any(c.isalpha() for c in word) or bool(NUMBER.search(word))) and not _known(word) and len(word) < ratio * len(vocabulary.encode(word))
+
         for m in _RUN_RANDOM.finditer(flat):
-            a, b = m.span()
-            word = text[a:b]
-            if not any(c.isalpha() for c in word) and not NUMBER.search(word):
-                continue
-            if len(word) in DIGESTS and DIGEST.fullmatch(word) or UUID.fullmatch(word):
-                continue
-            if any(x < b and a < y for x, _, y in taken):
-                continue
-            if len(word) < ratio * len(vocabulary.encode(word)) and not (IDENTIFIER.fullmatch(word) and vocabulary.readable(word)):
-                out.append((a, 3, b))
+            for a, b in _pieces(*m.span(), [(x, y) for x, _, y in taken]):
+                word = text[a:b]
+                if len(word) < LEAST_RANDOM:
+                    continue
+                found = []
+                if SIGN.search(word):
+                    for x, y in _pieces(a, b, [k.span() for k in KNOWN.finditer(text, a, b) if _known(k[0])]):
+                        part = text[x:y]
+                        if len(part) >= LEAST_RANDOM:
+                            found += [(x + i, 3, x + j) for s in _stretches(part, vocabulary) for i, j in _random_in(part, s, low)]
+                if not found and low(word) and not (IDENTIFIER.fullmatch(word) and vocabulary.readable(word)):
+                    found = [(a, 3, b)]
+                out += found
     return out
 
 

@@ -240,6 +240,24 @@ def test_secrets_of_letters_only():
         assert not secrets.find(text, vocabulary)[1]
 
 
+def test_secrets_beside_readable_words():
+    vocabulary = secrets.Vocabulary(tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern())
+    r = random.Random(9)
+    key = lambda n, letters=string.ascii_letters + string.digits: "".join(r.choice(letters) for _ in range(n))
+    for before, after in (("api/v1/users/reset-password/", "/confirm-your-account"), ("com/account/invitations/accept/", ""), ("account/settings?id=", ""), ("documents/550e8400-e29b-41d4-a716-446655440000/", "/download")):
+        for k in (key(24) for _ in range(50)):
+            at = len(before)
+            assert secrets.find(before + k + after, vocabulary)[1] == [(at, 3, at + 24)]
+            assert secrets.redacted(before + k + after, secrets.find(before + k + after, vocabulary)[1], "*") == before + "*" + after
+    # A key of base64, whole, and one beside a base span in the same run.
+    for k in (key(18) + sign + key(22) + "==" for sign in "+/_-"):
+        assert (28, 3, 28 + len(k)) in secrets.find("account/invitations/confirm/" + k, vocabulary)[1]
+    beside = secrets.find("0af" * 9 + "/" + key(24), vocabulary)[1]
+    assert beside[0] == (0, 2, 27) and beside[1][1] == 3 and beside[1][2] == 52
+    for text in ("api/v1/users/reset-password/confirm-your-account", "src/main/java/org/apache/hadoop/fs/FileSystem"):
+        assert not secrets.find(text, vocabulary)[1]
+
+
 # ---- quality
 
 
