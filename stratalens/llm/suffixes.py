@@ -28,8 +28,6 @@ LENGTH, GRAM = 100, 40
 RUN_BYTES, RANGE_BYTES = 24 << 20, 8 << 20
 #: One of so many anchors carries its first bytes, from which the ranges are cut.
 SAMPLED = 16
-#: Bits of a position in a document; above them stands a hash of the text, for rows that repeat an id.
-PLACE = 40
 #: Window starts that are looked at together.
 SPAN = 1 << 20
 
@@ -98,22 +96,23 @@ def _prefix(data: bytes) -> int:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    for rows in in_batches(_keys(batches), 2):
+    for rows in in_batches(_keys(batches, ("row",)), 2):
         texts = [r[2] for r in rows]
-        docs, versions = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+        keys = np.array([r[3] for r in rows], np.int64)
         for owner, anchor, _, _, hashes in regions(texts, length, gram):
-            sampled = ((hashes ^ docs[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(SAMPLED) == 0
+            sampled = ((hashes ^ keys[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(SAMPLED) == 0
             prefix = np.zeros(len(owner), np.int64)
             for i in np.flatnonzero(sampled).tolist():
                 prefix[i] = _prefix(texts[owner[i]][anchor[i] : anchor[i] + 8])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64)), pa.array(docs[owner]), pa.array((versions[owner] << PLACE) + anchor), pa.array(prefix, pa.int64(), mask=~sampled)],
-                ["h", "doc", "at", "prefix"],
+                [pa.array(hashes.view(np.int64)), pa.array(keys[owner]), pa.array(anchor, pa.int64()), pa.array(prefix, pa.int64(), mask=~sampled)],
+                ["h", "row", "at", "prefix"],
             )
 
 
-# An item of a run: (key, right, doc, at, windows).  The key is the suffix from the anchor, and backwards what is left of
-# it; right is the length of the first part; at is the place of the first window, with the version above it.
+# An item of a run: (key, right, doc, version, at, windows).  The key is the suffix from the anchor, and backwards what is
+# left of it; right is the length of the first part; version is a hash of the text, for rows that repeat an id; at is the
+# place of the first window.
 
 
 def shared_lengths(keys: list[bytes]) -> np.ndarray:
@@ -135,7 +134,7 @@ def shared_lengths(keys: list[bytes]) -> np.ndarray:
 
 
 def collapsed(items: list[tuple]) -> tuple[list[tuple], list[tuple]]:
-    """Of sorted items the first of each equal region, and (doc, at, windows) of the others, which repeat it.
+    """Of sorted items the first of each equal region, and (doc, version, at, windows) of the others, which repeat it.
 
     Rows that repeat an id and a text give the same item again, which is no repeat of itself."""
     kept, repeats, last = [], [], None
@@ -154,13 +153,14 @@ def pack_run(items: list[tuple], repeats: list[tuple]) -> bytes:
     keys = [x[0] for x in items]
     shared = shared_lengths(keys)
     rests = [k[s:] for k, s in zip(keys, shared.tolist(), strict=True)]
-    numbers = [shared, [len(r) for r in rests], [x[1] for x in items], [x[4] for x in items]]
-    places = [(x[2], x[3]) for x in items]
+    numbers = [shared, [len(r) for r in rests], [x[1] for x in items], [x[-1] for x in items]]
+    places = [x[2:-1] for x in items]
+    width = len((places or [x[:-1] for x in repeats[:1]] or [()])[0])
     return b"".join([
-        np.array([len(items), len(repeats)], "<i8").tobytes(),
+        np.array([len(items), len(repeats), width], "<i8").tobytes(),
         *(np.asarray(n, "<i4").tobytes() for n in numbers),
-        np.array(places, "<i8").reshape(-1, 2).tobytes(),
-        np.array(repeats, "<i8").reshape(-1, 3).tobytes(),
+        np.array(places, "<i8").tobytes(),
+        np.array(repeats, "<i8").tobytes(),
         *rests,
     ])
 
@@ -169,17 +169,17 @@ class Run:
     """The keys of a front-coded run in turn; `shared` is what the head shares with the key before it."""
 
     def __init__(self, data: bytes):
-        n, m = np.frombuffer(data, "<i8", 2).tolist()
-        at = 16
+        n, m, width = np.frombuffer(data, "<i8", 3).tolist()
+        at = 24
         columns = []
         for _ in range(4):
             columns.append(np.frombuffer(data, "<i4", n, at).tolist())
             at += 4 * n
         self.shares, self.sizes, self.rights, self.windows = columns
-        self.places = np.frombuffer(data, "<i8", 2 * n, at).reshape(-1, 2).tolist()
-        at += 16 * n
-        self.repeats = np.frombuffer(data, "<i8", 3 * m, at).reshape(-1, 3)
-        self.data, self.at, self.i, self.n = data, at + 24 * m, -1, n
+        self.places = np.frombuffer(data, "<i8", width * n, at).reshape(n, width).tolist()
+        at += 8 * width * n
+        self.repeats = np.frombuffer(data, "<i8", (width + 1) * m, at).reshape(m, width + 1)
+        self.data, self.at, self.i, self.n = data, at + 8 * (width + 1) * m, -1, n
         self.key: bytes | None = b""
         self.shared = 0
         self.next()
@@ -263,10 +263,10 @@ def merged(runs: list[Run]) -> Iterator[tuple[int, tuple]]:
 
 
 def window_repeats(classes: list[tuple], length: int) -> list[tuple]:
-    """(doc, at, windows) of strings of `length` bytes that an earlier region of the same anchor has."""
+    """(doc, version, at, windows) of strings of `length` bytes that an earlier region of the same anchor has."""
     seen: set[bytes] = set()
     out = []
-    for key, right, doc, at, windows in sorted(classes, key=lambda x: (x[2], x[3])):
+    for key, right, doc, version, at, windows in sorted(classes, key=lambda x: x[2:5]):
         text = key[right:][::-1] + key[:right]
         begin = None
         for i in range(windows):
@@ -276,10 +276,10 @@ def window_repeats(classes: list[tuple], length: int) -> list[tuple]:
             else:
                 seen.add(w)
                 if begin is not None:
-                    out.append((doc, at + begin, i - begin))
+                    out.append((doc, version, at + begin, i - begin))
                     begin = None
         if begin is not None:
-            out.append((doc, at + begin, windows - begin))
+            out.append((doc, version, at + begin, windows - begin))
     return out
 
 
@@ -319,7 +319,7 @@ def _runs(batches: Iterator[pa.RecordBatch], cuts: list[int], length: int, gram:
                 if a in wanted[o]:
                     t = texts[o]
                     key = t[a : e + length] + t[s:a][::-1]
-                    held.append((key, e + length - a, rows[o][0], (rows[o][1] << PLACE) + s, e - s + 1))
+                    held.append((key, e + length - a, rows[o][0], rows[o][1], s, e - s + 1))
                     size += len(key)
             if size >= run_bytes:
                 yield pieces()
@@ -336,7 +336,7 @@ def _partition() -> int:
 
 
 def _merge(table: pa.Table, length: int, gram: int) -> pa.Table:
-    """Repeats as (doc, at, windows); of a hot prefix the windows that are left, as (doc, at, 0, hash)."""
+    """Repeats as (doc, version, at, windows); of a hot prefix the windows that are left, as (doc, version, at, 0, hash)."""
     runs = [Run(x.as_py()) for x in table.column("run")]
     hot = table.column("hot")[0].as_py()
     out: list[tuple] = []
@@ -346,7 +346,7 @@ def _merge(table: pa.Table, length: int, gram: int) -> pa.Table:
 
     def end_same():
         for right in {x[1] for x in same}:
-            first, *others = sorted((x for x in same if x[1] == right), key=lambda x: (x[2], x[3]))
+            first, *others = sorted((x for x in same if x[1] == right), key=lambda x: x[2:5])
             group.append(first)
             out.extend(x[2:] for x in others if x[2:] != first[2:])
         same.clear()
@@ -354,10 +354,10 @@ def _merge(table: pa.Table, length: int, gram: int) -> pa.Table:
     def end_group():
         end_same()
         if hot:
-            for key, right, doc, at, windows in group:
+            for key, right, doc, version, at, windows in group:
                 text = key[right:][::-1] + key[:right]
                 hashes = [int.from_bytes(hashlib.blake2b(text[i : i + length], digest_size=8).digest(), "little", signed=True) for i in range(windows)]
-                left.extend((doc, at + i, h) for i, h in enumerate(hashes))
+                left.extend((doc, version, at + i, h) for i, h in enumerate(hashes))
         elif len(group) > 1:
             out.extend(window_repeats(group, length))
         group.clear()
@@ -371,14 +371,15 @@ def _merge(table: pa.Table, length: int, gram: int) -> pa.Table:
         same.append(item)
         before = len(item[0])
     end_group()
-    arrays = [np.array(out, np.int64).reshape(-1, 3), *(r.repeats for r in runs)]
+    arrays = [np.array(out, np.int64).reshape(-1, 4), *(r.repeats for r in runs if len(r.repeats))]
     rows = np.concatenate(arrays)
-    extra = np.array(left, np.int64).reshape(-1, 3)
+    extra = np.array(left, np.int64).reshape(-1, 4)
     return pa.table({
         "doc": np.concatenate([rows[:, 0], extra[:, 0]]),
-        "at": np.concatenate([rows[:, 1], extra[:, 1]]),
-        "windows": np.concatenate([rows[:, 2], np.zeros(len(extra), np.int64)]),
-        "h": pa.array(np.concatenate([np.zeros(len(rows), np.int64), extra[:, 2]]), pa.int64(), mask=np.arange(len(rows) + len(extra)) < len(rows)),
+        "version": np.concatenate([rows[:, 1], extra[:, 1]]),
+        "at": np.concatenate([rows[:, 2], extra[:, 2]]),
+        "windows": np.concatenate([rows[:, 3], np.zeros(len(extra), np.int64)]),
+        "h": pa.array(np.concatenate([np.zeros(len(rows), np.int64), extra[:, 3]]), pa.int64(), mask=np.arange(len(rows) + len(extra)) < len(rows)),
     })
 
 
@@ -400,12 +401,11 @@ def kept_bytes(text: bytes, spans: list[list[int]]) -> bytes:
 
 
 def _report(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    mask = (1 << PLACE) - 1
     for b in batches:
         rows = []
         for doc_id, text, ats, windows in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("ats").to_pylist(), b.column("windows").to_pylist(), strict=True):
             data = (text.as_py() or "").encode("utf-8", "replace")
-            spans = removed_spans([(a & mask, w) for a, w in zip(ats or (), windows or (), strict=True)], length)
+            spans = removed_spans(list(zip(ats or (), windows or (), strict=True)), length)
             kept = kept_bytes(data, spans)
             rows.append((doc_id, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
@@ -413,10 +413,15 @@ def _report(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 
 def repeats(docs: DataFrame, space: Workspace, *, length: int = LENGTH, gram: int = GRAM, run_bytes: int = RUN_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """docs (doc, version, text): (doc, version, ats, windows), the repeated strings of each text that has any."""
-    anchors = space.write(docs.mapInArrow(partial(_anchors, length=length, gram=gram), "h long, doc long, at long, prefix long"), "anchors")
+    """docs (doc, version, text): (doc, version, ats, windows), the repeated strings of each text that has any.
+
+    Anchors carry one key for a document and its version.  Should two have the same, more of their suffixes are sorted,
+    with the same result: what repeats is told by the document and its version themselves.
+    """
+    docs = docs.withColumn("row", F.xxhash64("doc", "version"))
+    anchors = space.write(docs.mapInArrow(partial(_anchors, length=length, gram=gram), "h long, row long, at long, prefix long"), "anchors")
     twice = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select(rekeyed(F.col("h")).alias("k"))
-    wanted = anchors.withColumn("k", rekeyed(F.col("h"))).join(twice.hint("merge"), "k").select("doc", "at", "prefix")
+    wanted = anchors.withColumn("k", rekeyed(F.col("h"))).join(twice.hint("merge"), "k").select("row", "at", "prefix")
     wanted = space.write(wanted, "wanted")
     space.drop("anchors")
     n = max(1, wanted.count() * 130 // range_bytes)
@@ -424,24 +429,24 @@ def repeats(docs: DataFrame, space: Workspace, *, length: int = LENGTH, gram: in
     if n > 1:
         got = wanted.agg(F.percentile_approx("prefix", [i / n for i in range(1, n)], 20 * n)).first()[0]
         cuts = sorted(got or [])
-    place, version = F.expr(f"at & {(1 << PLACE) - 1}L"), F.shiftright("at", PLACE)
-    by_doc = wanted.select("doc", version.alias("version"), place.alias("place")).groupBy("doc", "version").agg(F.collect_list("place").alias("places"))
-    runs = docs.join(by_doc.hint("merge"), ["doc", "version"]).select("doc", "version", "text", "places")
+    by_row = wanted.groupBy("row").agg(F.collect_list("at").alias("places"))
+    runs = docs.join(by_row.hint("merge"), "row").select("doc", "version", "text", "places")
     runs = runs.mapInArrow(partial(_runs, cuts=cuts, length=length, gram=gram, run_bytes=run_bytes), "range int, hot boolean, run binary")
-    found = runs.groupBy("range", "hot").applyInArrow(on_group(_merge, length=length, gram=gram), "doc long, at long, windows long, h long")
+    found = runs.groupBy("range", "hot").applyInArrow(on_group(_merge, length=length, gram=gram), "doc long, version long, at long, windows long, h long")
     found = space.write(found, "found")
     space.drop("wanted")
-    left = found.filter("h is not null").select("h", "doc", "at")
-    first = left.groupBy("h").agg(F.min(F.struct("doc", "at")).alias("first")).select(rekeyed(F.col("h")).alias("k"), "first")
-    again = left.withColumn("k", rekeyed(F.col("h"))).join(first.hint("merge"), "k").filter(F.struct("doc", "at") != F.col("first")).select("doc", "at", F.lit(1).cast("long").alias("windows"))
-    every = found.filter("h is null").select("doc", "at", "windows").unionByName(again)
-    return every.groupBy("doc", version.alias("version")).agg(F.collect_list(F.struct("at", "windows")).alias("p")).select("doc", "version", F.col("p.at").alias("ats"), F.col("p.windows").alias("windows"))
+    place = F.struct("doc", "version", "at")
+    left = found.filter("h is not null").select("h", "doc", "version", "at")
+    first = left.groupBy("h").agg(F.min(place).alias("first")).select(rekeyed(F.col("h")).alias("k"), "first")
+    again = left.withColumn("k", rekeyed(F.col("h"))).join(first.hint("merge"), "k").filter(place != F.col("first")).select("doc", "version", "at", F.lit(1).cast("long").alias("windows"))
+    every = found.filter("h is null").select("doc", "version", "at", "windows").unionByName(again)
+    return every.groupBy("doc", "version").agg(F.collect_list(F.struct("at", "windows")).alias("p")).select("doc", "version", F.col("p.at").alias("ats"), F.col("p.windows").alias("windows"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("doc"), F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("long").alias("version"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:

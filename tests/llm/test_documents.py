@@ -388,6 +388,25 @@ def test_suffixes_repeated_rows_are_one_document(spark, options):
     assert len(got) == df.count() and all(tuple(r)[1:] == want[r.doc_id] for r in got)
 
 
+@pytest.mark.parametrize("options", [{}, {"range_bytes": 2000, "run_bytes": 3000}])
+def test_suffixes_rows_of_one_id_are_told_apart(spark, options):
+    """Pairs of texts whose hashes share 16 bits, without an id."""
+    r = random.Random(11)
+    draw = lambda n: "".join(r.choice(string.ascii_letters) for _ in range(n))
+    start = draw(150)
+    kinds = {"alone": [draw(400) for _ in range(1000)], "twice": [2 * draw(120) for _ in range(1000)], "start": [start + draw(20) for _ in range(2000)]}
+    rows = spark.createDataFrame([(k, t) for k, v in kinds.items() for t in v], "kind string, text string")
+    low = {k: defaultdict(list) for k in kinds}
+    for kind, text, h in rows.selectExpr("kind", "text", "pmod(xxhash64(text), 65536)").collect():
+        low[kind][h].append(text)
+    h = next(h for h in low["alone"] if h in low["twice"])
+    alone, twice = low["alone"][h][0], low["twice"][h][0]
+    one, two = next(v for v in low["start"].values() if len(v) > 1)[:2]
+    df = spark.createDataFrame([(None, t, *[None] * 9) for t in (alone, twice, one, two)], SCHEMA).repartition(2)
+    got = suffixes.deduplicated(df, **options).collect()
+    assert sorted((x.n_bytes, x.n_removed) for x in got) == [(170, 0), (170, 150), (240, 120), (400, 0)]
+
+
 def test_loser_tree_and_front_coding():
     r = random.Random(8)
     items = sorted((bytes(r.choice(b"ab") for _ in range(r.randint(0, 12))), 0, i, i, 1) for i in range(300))
