@@ -70,20 +70,29 @@ def adjacency(edge: DataFrame) -> DataFrame:
     return edge.groupBy("source").agg(F.array_sort(F.collect_set("target")).alias("dependencies"))
 
 
-def simple_cycles(edge: DataFrame, longest: int = 8) -> DataFrame:
-    """All simple cycles of at most `longest` nodes, from their least node, closed; self imports are [a, a].
+def within_components(edge: DataFrame) -> DataFrame:
+    """Edges with is_circular: whether their ends are in one strong component, so that a cycle has them."""
+    comp = strong_components(edge)
+    a, b = (comp.select(F.col("id").alias(k), F.col("component").alias(f"__{k}")) for k in ("source", "target"))
+    return edge.join(a, "source").join(b, "target").withColumn("is_circular", F.col("__source") == F.col("__target")).select(*[c for c in edge.columns if c != "is_circular"], "is_circular")
+
 
-    A path only grows over nodes greater than its first, so each cycle is found once.
+def simple_cycles(edge: DataFrame, longest: int | None = None) -> DataFrame:
+    """All simple cycles, or those of at most `longest` nodes, from their least node, closed; self imports are [a, a].
+
+    A path only grows over nodes greater than its first, so each cycle is found once, and within a strong component.
     """
-    e = cut(edge.select("source", "target").distinct())
+    e = cut(within_components(edge.select("source", "target").distinct()).filter("is_circular").select("source", "target"))
     found = e.filter("source = target").select(F.array("source", "target").alias("cycle"))
     grown = e.filter("source < target").select(F.col("source").alias("first"), F.array("source", "target").alias("nodes"), F.col("target").alias("last"))
-    for _ in range(longest - 1):
+    size = 1
+    while longest is None or size < longest:
+        size += 1
         step = cut(grown.join(e, F.col("last") == F.col("source")).filter("target >= first"))
-        found = found.unionByName(step.filter("target = first").select(F.array_append("nodes", F.col("target")).alias("cycle")))
-        grown = step.filter("target > first and not array_contains(nodes, target)").select("first", F.array_append("nodes", F.col("target")).alias("nodes"), F.col("target").alias("last"))
         if step.isEmpty():
             break
+        found = found.unionByName(step.filter("target = first").select(F.array_append("nodes", F.col("target")).alias("cycle")))
+        grown = step.filter("target > first and not array_contains(nodes, target)").select("first", F.array_append("nodes", F.col("target")).alias("nodes"), F.col("target").alias("last"))
     size = F.size("cycle")
     return found.select("cycle", size.alias("length"), scores.cycle_severity(size).alias("severity"), F.array(*map(F.lit, SUGGESTIONS)).alias("suggestions"))
 

@@ -74,7 +74,7 @@ def reset_ingest(projects: DataFrame, project_id: str) -> DataFrame:
     return set_status(projects, project_id, "uploading")
 
 
-def analyze_project(files: DataFrame, manifests: DataFrame, *, resolution: str = "exact", cycles: bool = True, longest: int = 8) -> dict[str, DataFrame]:
+def analyze_project(files: DataFrame, manifests: DataFrame, *, resolution: str = "exact", cycles: bool = True, longest: int | None = None) -> dict[str, DataFrame]:
     """All tables of an analysis: parsed files, dependencies, edges, degrees, layers, cycles, libraries and metrics."""
     parsed = parsers.parsed(files)
     deps = graph.dependencies(parsers.imports_of(parsed))
@@ -88,7 +88,7 @@ def analyze_project(files: DataFrame, manifests: DataFrame, *, resolution: str =
         "files": parsed,
         "components": filters.components_of(parsed),
         "dependencies": ordering.union_all(edge.select("project_id", "source", "target", "type"), deps.select("project_id", "source", F.col("specifier").alias("target"), "type")),
-        "edges": edge,
+        "edges": graph.within_components(edge),
         "degrees": graph.degrees(edge, nodes),
         "layers": graph.layers(edge, nodes),
         "libraries": aggregates.library_rollup(used),
@@ -108,7 +108,7 @@ def dependency_analysis(files: DataFrame, manifests: DataFrame, **options) -> di
     return out | {"insights": rules.insights(row), "recommendations": rules.recommendations(row)}
 
 
-def circular_dependencies(edge: DataFrame, longest: int = 8) -> tuple[DataFrame, DataFrame]:
+def circular_dependencies(edge: DataFrame, longest: int | None = None) -> tuple[DataFrame, DataFrame]:
     found = graph.simple_cycles(edge, longest)
     return found, aggregates.overall_severity(found)
 

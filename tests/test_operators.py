@@ -99,6 +99,12 @@ def test_cycles_and_layers(spark):
     assert flags == {"a": (True, False), "b": (False, False), "c": (False, True), "z": (True, True)}
 
 
+def test_cycles_of_any_length(spark):
+    ring = [(f"n{i}", f"n{(i + 1) % 9}") for i in range(9)]
+    found = graph.simple_cycles(walk(spark, [*ring, ("n3", "x")]))
+    assert [len(r.cycle) for r in found.collect()] == [10]
+
+
 def test_strong_components_equal_reachability(spark):
     r = random.Random(4)
     pairs = [(f"n{r.randrange(12)}", f"n{r.randrange(12)}") for _ in range(20)]
