@@ -81,11 +81,16 @@ def manifests(files: DataFrame) -> DataFrame:
     return files.filter(paths.basename(F.col("path")) == "package.json").select("project_id", m["dependencies"].alias("dependencies"), m["devDependencies"].alias("dev_dependencies"))
 
 
-def listing(spark: SparkSession, root: str, prefix: str = "", most: int = 1000) -> DataFrame:
-    """Stored objects below a prefix in order of their keys, without sidecars."""
+def stored(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
+    """All stored objects below a prefix, without sidecars."""
     rows = binary(spark, root).select(below(F.col("path"), root).alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
     rows = rows.filter(F.col("key").startswith(prefix) & ~F.col("key").endswith(".meta.json"))
-    return rows.withColumn("content_type", paths.content_type(F.col("key"))).orderBy("key").limit(most)
+    return rows.withColumn("content_type", paths.content_type(F.col("key")))
+
+
+def listing(spark: SparkSession, root: str, prefix: str = "", most: int = 1000) -> DataFrame:
+    """The first stored objects below a prefix in order of their keys, without sidecars."""
+    return stored(spark, root, prefix).orderBy("key").limit(most)
 
 
 def object_bytes(spark: SparkSession, root: str, key: str) -> DataFrame:
@@ -94,9 +99,9 @@ def object_bytes(spark: SparkSession, root: str, key: str) -> DataFrame:
 
 
 def object_metadata(spark: SparkSession, root: str) -> DataFrame:
-    """Objects with the maps of their sidecars."""
+    """All objects with the maps of their sidecars."""
     side = binary(spark, root, "*.meta.json").select(F.regexp_replace(below(F.col("path"), root), r"\.meta\.json$", "").alias("key"), F.from_json(F.decode("content", "UTF-8"), "map<string,string>").alias("metadata"))
-    return listing(spark, root).join(side, "key", "left")
+    return stored(spark, root).join(side, "key", "left")
 
 
 def latest_files(files: DataFrame, project_id: str) -> DataFrame:

@@ -269,3 +269,11 @@ def test_library_queries(spark, projects):
     assert ids(library.insert_project(projects, new)) == ["1", "2", "3", "8"]
     left = {r.id: len(r.team_members or []) for r in library.remove_member(projects, "1", "v").collect()}
     assert left["1"] == 2  # the owner stays
+
+
+def test_object_metadata_has_every_object(spark, tmp_path):
+    for i in range(1003):
+        (tmp_path / f"{i:04}.txt").write_text("x")
+    (tmp_path / "1002.txt.meta.json").write_text('{"owner": "me"}')
+    got = {r.key: r.metadata for r in sources.object_metadata(spark, str(tmp_path)).collect()}
+    assert len(got) == 1003 and got["1002.txt"] == {"owner": "me"} and sources.listing(spark, str(tmp_path)).count() == 1000
