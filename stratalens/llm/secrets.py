@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -24,8 +25,10 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 DIGESTS = (32, 40, 56, 64, 96, 128)
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-#: The shape of an identifier or path: words of letters, each with digits after it at most, joined by signs.
-IDENTIFIER = re.compile(r"[_/+=-]*[A-Za-z]*[a-z]{3}[A-Za-z]*[0-9]{0,4}([_/+=-]+([A-Za-z]+[0-9]{0,4}|[0-9]+))*[_/+=-]*")
+#: The shape of an identifier or path: words of letters, each with digits after it at most, joined by signs; the first
+#: word has three small letters in a row.  No part may give back what it took, so the time is linear in the length.
+IDENTIFIER = re.compile(r"[_/+=-]*+([A-Za-z]++)[0-9]{0,4}+(?:[_/+=-]++(?:[A-Za-z]++[0-9]{0,4}+|[0-9]++))*+[_/+=-]*+")
+SMALL = re.compile(r"[a-z]{3}")
 
 #: A candidate for the token test has so many characters, and fewer than RATIO of them to a token.
 LEAST_RANDOM = 20
@@ -59,7 +62,7 @@ class Vocabulary:
         """Whether words that the vocabulary knows have half of the letters at least."""
         known = 0
         for w in WORD.findall(text):
-            if len(w) >= LEAST_WORD and len(w) >= WORD_RATIO * min(len(self.encode(w)), len(self.encode(" " + w.lower()))):
+            if len(w) >= LEAST_WORD and any(len(w) >= WORD_RATIO * len(self.encode(x)) for x in (w, " " + w.lower())):
                 known += len(w)
         return known > 0 and 2 * known >= sum(map(str.isalpha, text))
 
@@ -82,16 +85,37 @@ def _known(word: str) -> bool:
     return bool(len(word) in DIGESTS and DIGEST.fullmatch(word) or UUID.fullmatch(word))
 
 
-def _pieces(begin: int, end: int, gone: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """(begin, end) of what is left between the spans that are gone."""
-    for x, y in sorted((x, y) for x, y in gone if x < end and begin < y):
-        if begin < x:
-            yield begin, x
-        begin = max(begin, y)
+def _joined(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Where the spans begin and end, in order, those that meet as one."""
+    begins: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    return begins, ends
+
+
+def _pieces(begin: int, end: int, gone: tuple[list[int], list[int]]) -> Iterator[tuple[int, int]]:
+    """(begin, end) of what is left between joined spans that are gone."""
+    begins, ends = gone
+    i = bisect_right(ends, begin)
+    while i < len(begins) and begins[i] < end:
+        if begin < begins[i]:
+            yield begin, begins[i]
+        begin = ends[i]
+        i += 1
     if begin < end:
         yield begin, end
 
 
+def _is_identifier(word: str) -> bool:
+    m = IDENTIFIER.fullmatch(word)
+    return bool(m and SMALL.search(m[1]))
+
+
 def _stretches(run: str, vocabulary: Vocabulary) -> Iterator[list[tuple[int, int]]]:
     """The parts of a run, (begin, end) each, in stretches that no readable part and no '=' is in, without the short
     words of a path at their ends."""
@@ -100,11 +124,12 @@ def _stretches(run: str, vocabulary: Vocabulary) -> Iterator[list[tuple[int, int
         word = run[a:b]
         readable = vocabulary.readable(word)
         if held and (readable or not word or run[a - 1] == "="):
-            while len(held) > 1 and SHORT.fullmatch(run[slice(*held[0])]) and run[held[0][1]] == "/":
-                del held[0]
-            while len(held) > 1 and SHORT.fullmatch(run[slice(*held[-1])]) and run[held[-1][0] - 1] == "/":
-                del held[-1]
-            yield held
+            i, j = 0, len(held) - 1
+            while i < j and SHORT.fullmatch(run, *held[i]) and run[held[i][1]] == "/":
+                i += 1
+            while i < j and SHORT.fullmatch(run, *held[j]) and run[held[j][0] - 1] == "/":
+                j -= 1
+            yield held[i : j + 1]
             held = []
         if word and not readable:
             held.append((a, b))
@@ -132,18 +157,19 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], vocabulary: Vocab
         def low(word: str) -> bool:
             return len(word) >= LEAST_RANDOM and (any(c.isalpha() for c in word) or bool(NUMBER.search(word))) and not _known(word) and len(word) < ratio * len(vocabulary.encode(word))
 
+        gone = _joined([(x, y) for x, _, y in taken])
         for m in _RUN_RANDOM.finditer(flat):
-            for a, b in _pieces(*m.span(), [(x, y) for x, _, y in taken]):
+            for a, b in _pieces(*m.span(), gone):
                 word = text[a:b]
                 if len(word) < LEAST_RANDOM:
                     continue
                 found = []
                 if SIGN.search(word):
-                    for x, y in _pieces(a, b, [k.span() for k in KNOWN.finditer(text, a, b) if _known(k[0])]):
+                    for x, y in _pieces(a, b, _joined([k.span() for k in KNOWN.finditer(text, a, b) if _known(k[0])])):
                         part = text[x:y]
                         if len(part) >= LEAST_RANDOM:
                             found += [(x + i, 3, x + j) for s in _stretches(part, vocabulary) for i, j in _random_in(part, s, low)]
-                if not found and low(word) and not (IDENTIFIER.fullmatch(word) and vocabulary.readable(word)):
+                if not found and low(word) and not (_is_identifier(word) and vocabulary.readable(word)):
                     found = [(a, 3, b)]
                 out += found
     return out
@@ -187,8 +213,9 @@ def _scan(batches: Iterator[pa.RecordBatch], path: str, pattern: str, ratio: flo
 def scan(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", ratio: float = RATIO) -> DataFrame:
     """A row per document: doc_id, n_assign, n_access, n_hex, base_sha256 and spans (kind:start:end in code points).
 
-    `vocabulary` is the path of a tiktoken vocabulary that each executor has.  A null or empty text has no spans; a null
-    id stays null; repeated rows are scanned each; other columns are dropped; an empty table gives an empty result.
+    `vocabulary` is the path of a tiktoken vocabulary that each executor has.  A null or empty text has no spans; a text
+    or a word of any length is scanned whole, in time that grows with its length; a null id stays null; repeated rows
+    are scanned each; other columns are dropped, whatever their names; an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
