@@ -232,14 +232,16 @@ def normalise(manifest: DataFrame, space: Workspace) -> DataFrame:
 
 def read_archives(index: DataFrame) -> DataFrame:
     """The pages of normalised archives, each record found by its offset."""
-    return index.repartition("archive").mapInArrow(_read, PAGE)
+    n = max(1, index.count())  # with a number, or small rows would be put together into a few tasks
+    return index.repartition(n, "archive").mapInArrow(_read, PAGE)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Write `pages` to archives, normalise them, and read them back: a row for each page.
 
     A null html is an empty payload, a null url is written as urn:page:<id>, and a null page_id is read back as null;
-    control characters and blanks of a url are percent-encoded.  Of pages with equal payloads of at least 100 bytes
+    control characters and blanks of a url are percent-encoded.  A payload of any length is one record, which is written
+    and normalised in pieces and held whole only where its page is read.  Of pages with equal payloads of at least 100 bytes
     those with the smallest page_id are responses and the others revisit it.  Rows that repeat that page_id are
     responses too, as a record can't revisit itself; so are all pages of a group without any page_id.  An empty table
     gives an empty result.  Other columns aren't archived.
