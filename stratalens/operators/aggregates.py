@@ -51,8 +51,8 @@ def extension_histogram(files: DataFrame) -> DataFrame:
 
 
 def library_rollup(imports: DataFrame) -> DataFrame:
-    """A10: (library, source, version, is_dev): uses, distinct files, version and dev flag by library."""
-    return imports.groupBy("library").agg(
+    """A10: (project_id, library, source, version, is_dev): uses, distinct files, version and dev flag by library."""
+    return imports.groupBy("project_id", "library").agg(
         F.count("*").alias("usage_count"), F.array_sort(F.collect_set("source")).alias("files"),
         F.min("version").alias("version"), F.coalesce(F.bool_or("is_dev"), F.lit(False)).alias("is_dev_dependency"),
     )
@@ -85,13 +85,13 @@ def library_usage(deps: DataFrame, top: int | None = None) -> DataFrame:
 
 
 def max_fan_out(edges: DataFrame) -> DataFrame:
-    """A13."""
-    return edges.groupBy("source").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("max_fan_out"))
+    """Of each project that has edges."""
+    return edges.groupBy("project_id", "source").agg(F.count("*").alias("n")).groupBy("project_id").agg(F.max("n").alias("max_fan_out"))
 
 
-def library_summary(libraries: DataFrame) -> DataFrame:
+def library_summary(libraries: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """A14."""
-    return libraries.agg(
+    return libraries.groupBy(*(keys or [])).agg(
         F.count("*").alias("total"), F.count_if(~F.col("is_dev_dependency")).alias("production"),
         F.count_if(F.col("is_dev_dependency")).alias("development"), F.count_if(F.col("vulnerabilities") > 0).alias("vulnerable"),
     )
@@ -142,10 +142,10 @@ def pivot_counts(stats: DataFrame) -> DataFrame:
     )
 
 
-def overall_severity(df: DataFrame, severity: str = "severity") -> DataFrame:
-    """The worst there is; none for no rows."""
+def overall_severity(df: DataFrame, severity: str = "severity", keys: list[str] | None = None) -> DataFrame:
+    """The worst there is; without keys none for no rows."""
     rank = F.array_position(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), F.col(severity))
-    return df.agg(F.coalesce(F.max_by(severity, rank), F.lit("none")).alias("severity"))
+    return df.groupBy(*(keys or [])).agg(F.coalesce(F.max_by(severity, rank), F.lit("none")).alias("severity"))
 
 
 def analysis_summary(results: DataFrame) -> DataFrame:

@@ -1,19 +1,27 @@
-"""Dependency graphs (G1-G15): edges, cycles, strongly connected components, layers, degrees.
+"""Dependency graphs (G1-G15): edges, cycles, strongly connected components, layers, degrees, all by project.
 
-Loops run a bounded or logarithmic number of joins on the driver's side; every round's table is checkpointed.
+A project whose edges fit one task is solved there by a plain walk.  Larger ones take rounds of joins, as many as their
+longest path; every round's table is checkpointed.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens import schemas
 from stratalens.functions import paths, scores
+from stratalens.operators import walks
 from stratalens.operators.joins import resolved_edges
+from stratalens.session import shared_dir, with_package
+
+#: Edges of a project that one task solves, and rows of a batch that it gives.
+ONE_TASK, BATCH = 500_000, 5_000
 
 # What is suggested for each cycle.
 SUGGESTIONS = (
@@ -25,10 +33,9 @@ SUGGESTIONS = (
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The table without its lineage, in the shared folder of spark.checkpoint.dir; one of our own where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "stratalens-checkpoints"))
+    """The table without its lineage, in the shared folder."""
+    shared_dir(df.sparkSession)
+    with_package(df.sparkSession)
     return df.checkpoint()
 
 
@@ -59,103 +66,159 @@ def edges(deps: DataFrame, files: DataFrame) -> DataFrame:
 
 def degrees(edge: DataFrame, nodes: DataFrame) -> DataFrame:
     """Fan-out, fan-in, and whether a node is an entry (no dependents) or a leaf (no dependencies)."""
-    ends = edge.select(F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edge.select(F.col("target").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
-    sums = ends.groupBy("id").agg(F.sum("o").alias("fan_out"), F.sum("i").alias("fan_in"))
-    out = nodes.select("id").distinct().join(sums, "id", "left")
+    one, none = F.lit(1), F.lit(0)
+    ends = edge.select("project_id", F.col("source").alias("id"), one.alias("o"), none.alias("i")).unionByName(edge.select("project_id", F.col("target").alias("id"), none.alias("o"), one.alias("i")))
+    sums = ends.groupBy("project_id", "id").agg(F.sum("o").alias("fan_out"), F.sum("i").alias("fan_in"))
+    out = nodes.select("project_id", "id").distinct().join(sums, ["project_id", "id"], "left")
     out = out.withColumn("fan_out", F.coalesce("fan_out", F.lit(0))).withColumn("fan_in", F.coalesce("fan_in", F.lit(0)))
     return out.withColumn("is_entry", F.col("fan_in") == 0).withColumn("is_leaf", F.col("fan_out") == 0)
 
 
 def adjacency(edge: DataFrame) -> DataFrame:
-    return edge.groupBy("source").agg(F.array_sort(F.collect_set("target")).alias("dependencies"))
+    return edge.groupBy("project_id", "source").agg(F.array_sort(F.collect_set("target")).alias("dependencies"))
+
+
+def _by_size(edge: DataFrame, most: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Distinct edges of the projects that one task can solve, and of the others; None where there are none."""
+    e = cut(edge.select("project_id", "source", "target").distinct())
+    sizes = e.groupBy("project_id").agg(F.count("*").alias("n"))
+    large = cut(sizes.filter(F.col("n") > most).select("project_id"))
+    if large.isEmpty():
+        return e, None
+    return e.join(large, "project_id", "left_anti"), cut(e.join(large, "project_id", "left_semi"))
+
+
+def _solved(edge: DataFrame, f: Callable[[list[tuple[str, str]]], Iterable[tuple]], schema: str) -> DataFrame:
+    """f(edges) of each project, whose edges fit one task; rows come out batch by batch."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    with_package(edge.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graphs = ((p, f([(x["source"], x["target"]) for x in pairs])) for b in batches for p, pairs in zip(b["project_id"], b["pairs"], strict=True))
+        rows = ((project, *r) for project, found in graphs for r in found)
+        while part := list(islice(rows, BATCH)):
+            yield pd.DataFrame(part, columns=["project_id", *names])
 
+    whole = edge.groupBy("project_id").agg(F.collect_list(F.struct("source", "target")).alias("pairs"))
+    return whole.mapInPandas(run, f"project_id string, {schema}")
 
-def within_components(edge: DataFrame) -> DataFrame:
+
+def strong_components(edge: DataFrame, most: int = ONE_TASK) -> DataFrame:
+    """(project_id, id, component): nodes of a project that reach each other, named by the least of them.
+
+    A project of up to `most` edges is solved in one task.  In larger ones least labels spread forward, then back from
+    each label's own node; what both reach is a component; rounds go with the longest path.
+    """
+    small, large = _by_size(edge, most)
+    out = _solved(small, walks.components, "id string, component string")
+    return out if large is None else out.unionByName(_spread_components(large))
+
+
+def within_components(edge: DataFrame, most: int = ONE_TASK) -> DataFrame:
     """Edges with is_circular: whether their ends are in one strong component, so that a cycle has them."""
-    comp = strong_components(edge)
-    a, b = (comp.select(F.col("id").alias(k), F.col("component").alias(f"__{k}")) for k in ("source", "target"))
-    return edge.join(a, "source").join(b, "target").withColumn("is_circular", F.col("__source") == F.col("__target")).select(*[c for c in edge.columns if c != "is_circular"], "is_circular")
+    comp = cut(strong_components(edge, most))
+    a, b = (comp.select("project_id", F.col("id").alias(k), F.col("component").alias(f"__{k}")) for k in ("source", "target"))
+    out = edge.join(a, ["project_id", "source"]).join(b, ["project_id", "target"]).withColumn("is_circular", F.col("__source") == F.col("__target"))
+    return out.select(*[c for c in edge.columns if c != "is_circular"], "is_circular")
 
 
-def simple_cycles(edge: DataFrame, longest: int | None = None) -> DataFrame:
-    """All simple cycles, or those of at most `longest` nodes, from their least node, closed; self imports are [a, a].
+def simple_cycles(edge: DataFrame, longest: int | None = None, most: int = ONE_TASK) -> DataFrame:
+    """All simple cycles of each project, or those of at most `longest` nodes, from their least node, closed; self
+    imports are [a, a].
 
-    A path only grows over nodes greater than its first, so each cycle is found once, and within a strong component.
+    A project of up to `most` edges is searched in one task, cycle by cycle.  In larger ones paths grow within strong
+    components, only over nodes greater than their first, so each cycle is found once.
     """
-    e = cut(within_components(edge.select("source", "target").distinct()).filter("is_circular").select("source", "target"))
-    found = e.filter("source = target").select(F.array("source", "target").alias("cycle"))
-    grown = e.filter("source < target").select(F.col("source").alias("first"), F.array("source", "target").alias("nodes"), F.col("target").alias("last"))
+    small, large = _by_size(edge, most)
+    found = _solved(small, partial(walks.cycles, longest=longest), "cycle array<string>")
+    if large is not None:
+        found = found.unionByName(_grown_cycles(large, longest))
+    size = F.size("cycle")
+    return found.select("project_id", "cycle", size.alias("length"), scores.cycle_severity(size).alias("severity"), F.array(*map(F.lit, SUGGESTIONS)).alias("suggestions"))
+
+
+def layers(edge: DataFrame, nodes: DataFrame, most: int = ONE_TASK) -> DataFrame:
+    """0 for a node without dependencies, else one more than the highest of them; nodes of a cycle share a layer."""
+    small, large = _by_size(edge.filter("source <> target"), most)
+    found = _solved(small, walks.layers, "id string, layer int")
+    if large is not None:
+        found = found.unionByName(_raised_layers(large))
+    return nodes.select("project_id", "id").distinct().join(found, ["project_id", "id"], "left").select("project_id", "id", F.coalesce("layer", F.lit(0)).alias("layer"))
+
+
+# ---- the same for projects that are too large for one task
+
+
+def _grown_cycles(edge: DataFrame, longest: int | None) -> DataFrame:
+    e = cut(within_components(edge, 0).filter("is_circular").select("project_id", "source", "target"))
+    found = e.filter("source = target").select("project_id", F.array("source", "target").alias("cycle"))
+    grown = e.filter("source < target").select("project_id", F.col("source").alias("first"), F.array("source", "target").alias("nodes"), F.col("target").alias("last"))
     size = 1
     while longest is None or size < longest:
         size += 1
-        step = cut(grown.join(e, F.col("last") == F.col("source")).filter("target >= first"))
+        step = cut(grown.withColumnRenamed("last", "source").join(e, ["project_id", "source"]).filter("target >= first"))
         if step.isEmpty():
             break
-        found = found.unionByName(step.filter("target = first").select(F.array_append("nodes", F.col("target")).alias("cycle")))
-        grown = step.filter("target > first and not array_contains(nodes, target)").select("first", F.array_append("nodes", F.col("target")).alias("nodes"), F.col("target").alias("last"))
-    size = F.size("cycle")
-    return found.select("cycle", size.alias("length"), scores.cycle_severity(size).alias("severity"), F.array(*map(F.lit, SUGGESTIONS)).alias("suggestions"))
+        closed, open_ = step.filter("target = first"), step.filter("target > first and not array_contains(nodes, target)")
+        found = found.unionByName(closed.select("project_id", F.array_append("nodes", F.col("target")).alias("cycle")))
+        grown = open_.select("project_id", "first", F.array_append("nodes", F.col("target")).alias("nodes"), F.col("target").alias("last"))
+    return found
 
 
 def _spread(labels: DataFrame, edge: DataFrame) -> DataFrame:
     """Each node's least label over all paths that lead to it."""
     while True:
-        near = labels.join(edge, F.col("id") == F.col("source")).select(F.col("target").alias("id"), "label")
-        nxt = cut(labels.unionByName(near).groupBy("id").agg(F.min("label").alias("label")))
-        if nxt.join(labels.withColumnRenamed("label", "__was"), "id").filter("label <> __was").isEmpty():
+        near = labels.withColumnRenamed("id", "source").join(edge, ["project_id", "source"]).select("project_id", F.col("target").alias("id"), "label")
+        nxt = cut(labels.unionByName(near).groupBy("project_id", "id").agg(F.min("label").alias("label")))
+        if nxt.join(labels.withColumnRenamed("label", "__was"), ["project_id", "id"]).filter("label <> __was").isEmpty():
             return nxt
         labels = nxt
 
 
-def strong_components(edge: DataFrame) -> DataFrame:
-    """(id, component): nodes that reach each other, named by the least of them.
-
-    Least labels spread forward, then back from each label's own node; what both reach is a component.
-    """
-    e = cut(edge.select("source", "target").distinct())
-    left = cut(e.select(F.col("source").alias("id")).unionByName(e.select(F.col("target").alias("id"))).distinct())
+def _spread_components(e: DataFrame) -> DataFrame:
+    node = ["project_id", "id"]
+    left = cut(e.select("project_id", F.col("source").alias("id")).unionByName(e.select("project_id", F.col("target").alias("id"))).distinct())
     done = left.limit(0).withColumn("component", F.col("id"))
     while not left.isEmpty():
         colour = _spread(left.withColumn("label", F.col("id")), e)
-        a, b = (colour.select(F.col("id").alias(k), F.col("label").alias(f"__{k}")) for k in ("source", "target"))
-        within = e.join(a, "source").join(b, "target").filter("__source = __target")
-        back = cut(within.select(F.col("target").alias("source"), F.col("source").alias("target")))
-        roots = colour.filter("id = label").select("id", "label")
-        reached = roots
+        a, b = (colour.select("project_id", F.col("id").alias(k), F.col("label").alias(f"__{k}")) for k in ("source", "target"))
+        within = e.join(a, ["project_id", "source"]).join(b, ["project_id", "target"]).filter("__source = __target")
+        back = cut(within.select("project_id", F.col("target").alias("id"), F.col("source").alias("to")))
+        reached = front = colour.filter("id = label").select("project_id", "id", "label")
         while True:
-            more = reached.join(back, F.col("id") == F.col("source")).select(F.col("target").alias("id"), "label").join(reached, "id", "left_anti").distinct()
-            more = cut(more)
-            if more.isEmpty():
+            more = front.join(back, node).select("project_id", F.col("to").alias("id"), "label").distinct().join(reached.select(*node), node, "left_anti")
+            front = cut(more)
+            if front.isEmpty():
                 break
-            reached = cut(reached.unionByName(more))
-        done = cut(done.unionByName(reached.select("id", F.col("label").alias("component"))))
-        left = cut(left.join(reached, "id", "left_anti"))
-        e = cut(e.join(left.withColumnRenamed("id", "source"), "source", "left_semi").join(left.withColumnRenamed("id", "target"), "target", "left_semi"))
+            reached = cut(reached.unionByName(front))
+        done = cut(done.unionByName(reached.select("project_id", "id", F.col("label").alias("component"))))
+        left = cut(left.join(reached.select(*node), node, "left_anti"))
+        ends = [left.withColumnRenamed("id", side) for side in ("source", "target")]
+        e = cut(e.join(ends[0], ["project_id", "source"], "left_semi").join(ends[1], ["project_id", "target"], "left_semi"))
     return done
 
 
-def layers(edge: DataFrame, nodes: DataFrame) -> DataFrame:
-    """0 for a node without dependencies, else one more than the highest of them; nodes of a cycle share a layer."""
-    e = edge.select("source", "target").filter("source <> target").distinct()
-    comp = strong_components(e)
-    a, b = (comp.select(F.col("id").alias(k), F.col("component").alias(f"__{k}")) for k in ("source", "target"))
-    dag = cut(e.join(a, "source").join(b, "target").filter("__source <> __target").select(F.col("__source").alias("source"), F.col("__target").alias("target")).distinct())
-    layer = cut(comp.select(F.col("component").alias("id")).distinct().withColumn("layer", F.lit(0)))
+def _raised_layers(e: DataFrame) -> DataFrame:
+    comp = cut(_spread_components(e))
+    a, b = (comp.select("project_id", F.col("id").alias(k), F.col("component").alias(f"__{k}")) for k in ("source", "target"))
+    dag = e.join(a, ["project_id", "source"]).join(b, ["project_id", "target"]).filter("__source <> __target")
+    dag = cut(dag.select("project_id", F.col("__source").alias("source"), F.col("__target").alias("id")).distinct())
+    layer = cut(comp.select("project_id", F.col("component").alias("id")).distinct().withColumn("layer", F.lit(0)))
     while True:
-        up = dag.join(layer, F.col("target") == F.col("id")).groupBy("source").agg((F.max("layer") + 1).alias("up"))
-        nxt = cut(layer.join(up, F.col("id") == F.col("source"), "left").select("id", F.coalesce("up", F.lit(0)).alias("layer")))
-        if nxt.join(layer.withColumnRenamed("layer", "was"), "id").filter("layer <> was").isEmpty():
+        up = dag.join(layer, ["project_id", "id"]).groupBy("project_id", F.col("source").alias("id")).agg((F.max("layer") + 1).alias("up"))
+        nxt = cut(layer.join(up, ["project_id", "id"], "left").select("project_id", "id", F.coalesce("up", F.lit(0)).alias("layer"), F.col("layer").alias("was")))
+        layer = nxt.drop("was")
+        if nxt.filter("layer <> was").isEmpty():
             break
-        layer = nxt
-    named = comp.join(layer.withColumnRenamed("id", "component"), "component").select("id", "layer")
-    return nodes.select("id").distinct().join(named, "id", "left").select("id", F.coalesce("layer", F.lit(0)).alias("layer"))
+    return comp.join(layer.withColumnRenamed("id", "component"), ["project_id", "component"]).select("project_id", "id", "layer")
 
 
 def metrics(edge: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Counts, edges per node and coupling; null where there are no nodes."""
-    out = edge.agg(F.count("*").alias("edges")).withColumn("nodes", nodes.agg(F.countDistinct("id")).scalar())
+    """Counts, edges per node and coupling of each project that has nodes."""
+    counts = nodes.groupBy("project_id").agg(F.countDistinct("id").alias("nodes"))
+    out = counts.join(edge.groupBy("project_id").agg(F.count("*").alias("edges")), "project_id", "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
     return out.select(
-        "nodes", "edges", F.try_divide(F.col("edges").cast("double"), F.col("nodes")).alias("avg_dependencies"),
+        "project_id", "nodes", "edges", F.try_divide(F.col("edges").cast("double"), F.col("nodes")).alias("avg_dependencies"),
         scores.coupling(F.col("edges"), F.col("nodes")).alias("coupling"), F.lit(0.8).alias("cohesion"), F.lit(0.5).alias("instability"), F.lit(0.3).alias("abstractness"),
     )
 

@@ -102,15 +102,18 @@ def analyze_project(files: DataFrame, manifests: DataFrame, *, resolution: str =
 def dependency_analysis(files: DataFrame, manifests: DataFrame, **options) -> dict[str, DataFrame]:
     """The analysis with insights and recommendations from the rules."""
     out = analyze_project(files, manifests, **options)
-    row = out["metrics"].select("nodes", "edges")
-    for df, name in ((out["cycles"], "cycles"), (out["libraries"], "libraries"), (graph.strong_components(out["edges"]).select("component").distinct(), "clusters")):
-        row = row.withColumn(name, df.agg(F.count("*")).scalar())
+    row = out["metrics"].select("project_id", "nodes", "edges")
+    clusters = graph.strong_components(out["edges"]).select("project_id", "component").distinct()
+    for df, name in ((out["cycles"], "cycles"), (out["libraries"], "libraries"), (clusters, "clusters")):
+        counts = df.groupBy("project_id").agg(F.count("*").alias(name))
+        row = row.join(counts, "project_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
     return out | {"insights": rules.insights(row), "recommendations": rules.recommendations(row)}
 
 
 def circular_dependencies(edge: DataFrame, longest: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The cycles, and the worst severity of each project that has any."""
     found = graph.simple_cycles(edge, longest)
-    return found, aggregates.overall_severity(found)
+    return found, aggregates.overall_severity(found, keys=["project_id"])
 
 
 def external_libraries(libraries: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,9 +10,10 @@ from stratalens.operators.filters import exists_any, path_contains
 
 
 def findings(row: DataFrame, rules: list[tuple[Column, dict[str, Column | str]]]) -> DataFrame:
-    """A row for each rule whose condition holds, in the order of the rules."""
+    """A row for each rule whose condition holds, in the order of the rules; with the project_id, if the metrics have one."""
+    keys = ["project_id"] if "project_id" in row.columns else []
     made = [F.when(cond, F.struct(*[(F.lit(v) if isinstance(v, str) else v.cast("string")).alias(k) for k, v in fields.items()])) for cond, fields in rules]
-    return row.select(F.explode(F.array_compact(F.array(*made))).alias("f")).select("f.*")
+    return row.select(F.explode(F.array_compact(F.array(*made))).alias("f"), *keys).select(*keys, "f.*")
 
 
 def _average() -> Column:
@@ -97,6 +98,7 @@ def pattern_evidence(components: DataFrame) -> DataFrame:
     ])
 
 
+# Descriptions of patterns, layers and methods.
 PATTERNS = {
     "MVC": "Model-View-Controller pattern separates application logic into three interconnected components.",
     "Layered": "Layered architecture organizes code into horizontal layers with defined responsibilities.",
