@@ -168,7 +168,7 @@ def timestamp_part(ts: Column) -> Column:
 def public_url(base: str, key: Column) -> Column:
     """the last four parts of a long enough key under `base`, else the encoded key."""
     parts = F.split(key, "/")
-    return F.when(F.size(parts) >= 5, F.concat_ws("/", F.lit(base), F.slice(parts, 2, 4))).otherwise(F.concat_ws("/", F.lit(base), F.url_encode(key)))
+    return F.when(F.size(parts) >= 5, F.concat_ws("/", F.lit(base), F.slice(parts, 2, 4))).otherwise(F.concat_ws("/", F.lit(base), F.replace(F.url_encode(key), F.lit("+"), F.lit("%20"))))
 
 
 def key_from_url(url: Column, folder: str = "avatars") -> Column:

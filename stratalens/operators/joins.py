@@ -16,8 +16,10 @@ def resolved_edges(deps: DataFrame, nodes: DataFrame, key: list[str] | None = No
 
 
 def library_versions(libraries: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Version from dependencies, else from devDependencies, and whether it is one of those."""
-    entries = lambda c, v: manifests.select("project_id", F.explode(c).alias("library", v))
+    """Version from dependencies, else from devDependencies, and whether it is one of those.
+
+    Should a project have several manifests, the least version counts, so a use stays one row."""
+    entries = lambda c, v: manifests.select("project_id", F.explode(c).alias("library", v)).groupBy("project_id", "library").agg(F.min(v).alias(v))
     out = libraries.join(entries("dependencies", "__dep"), ["project_id", "library"], "left").join(entries("dev_dependencies", "__dev"), ["project_id", "library"], "left")
     return out.withColumn("version", F.coalesce("__dep", "__dev")).withColumn("is_dev", F.col("__dev").isNotNull()).drop("__dep", "__dev")
 

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+import json
+import zipfile
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote, unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalens.operators.ordering import merged
+from stratalens.session import shared_dir, with_package
+
 
 def upsert(rows: DataFrame, path: str, key: str = "project_id") -> None:
     """K1: replace the partitions of the keys that `rows` has, and no others."""
@@ -109,17 +117,75 @@ def rolled_back(rows: DataFrame) -> DataFrame:
     return rows.withColumn("provider", F.lit("local"))
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """A folder of texts for each document, and a table of their sizes; (doc_id, name, content)."""
-    documents.select("doc_id", "name", F.col("content").alias("value")).write.partitionBy("doc_id", "name").mode("overwrite").text(path + "/texts")
-    documents.groupBy("doc_id").agg(F.count("*").alias("files"), F.sum(F.octet_length("content")).alias("total_size")).write.mode("overwrite").parquet(path + "/sizes")
+# ---- stored objects
+
+OBJECTS = "key string, content binary, metadata map<string,string>"
+SIDECAR = ".meta.json"
+
+
+def document_set(documents: DataFrame) -> DataFrame:
+    """(doc_id, name, content) texts of documents, a few each, as objects: <doc_id>/<name>.md, an archive of them and
+    .metadata.json with their names and sizes."""
+
+    def bundle(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, key = rows.sort_values("name"), str(rows["doc_id"].iloc[0])
+        files = [(f"{n}.md", c.encode()) for n, c in zip(rows["name"], rows["content"], strict=True)]
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, content in files:
+                z.writestr(zipfile.ZipInfo(name), content)
+        about = {"doc_id": key, "files": [n for n, _ in files], "total_size": sum(len(c) for _, c in files)}
+        every = [*files, (f"{key}_documentation.zip", packed.getvalue()), (".metadata.json", json.dumps(about).encode())]
+        return pd.DataFrame({"key": [f"{key}/{n}" for n, _ in every], "content": [c for _, c in every], "metadata": [{"doc_id": key}] * len(every)})
+
+    with_package(documents.sparkSession)
+    return documents.select("doc_id", "name", "content").groupBy("doc_id").applyInPandas(bundle, OBJECTS)
+
+
+def put_objects(objects: DataFrame, root: str) -> DataFrame:
+    """Write (key, content, metadata) below the root, each with its sidecar; (key, size) of what was written.
+
+    Objects are written by the tasks through Arrow's file systems and replace those of the same key, so a task that
+    runs again leaves the same."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for key, content, metadata in zip(batch["key"], batch["content"], batch["metadata"], strict=True):
+                store, path = fs.FileSystem.from_uri(f"{root.rstrip('/')}/{quote(key)}")
+                path = unquote(path)
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                for name, data in ((path, content), (path + SIDECAR, json.dumps(dict(metadata), sort_keys=True).encode() if metadata else None)):
+                    if data is not None:
+                        with store.open_output_stream(name, compression=None) as f:
+                            f.write(data)
+            yield pd.DataFrame({"key": batch["key"], "size": batch["content"].map(len)})
+
+    with_package(objects.sparkSession)
+    shared_dir(objects.sparkSession)
+    return objects.select("key", "content", "metadata").mapInPandas(run, "key string, size long").checkpoint()
+
+
+def merged_metadata(objects: DataFrame, more: DataFrame) -> DataFrame:
+    """(key, metadata) with those of `more`, whose values win."""
+    new = more.select("key", F.col("metadata").alias("__more"))
+    return objects.join(new, "key", "left").withColumn("metadata", merged(F.col("metadata"), F.col("__more"))).drop("__more")
 
 
 def copied(spark: SparkSession, source: str, target: str) -> None:
-    """Through the file system of the paths."""
+    """Through the file system of the paths, with the sidecar if there is one."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    a, b = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
-    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
+    for end in ("", SIDECAR):
+        a, b = (jvm.org.apache.hadoop.fs.Path(p + end) for p in (source, target))
+        if not end or a.getFileSystem(conf).exists(a):
+            jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
+
+
+def moved(spark: SparkSession, source: str, target: str) -> None:
+    """A copy, then the source goes."""
+    copied(spark, source, target)
+    removed(spark, source, source + SIDECAR)
 
 
 def removed(spark: SparkSession, *paths: str) -> int:
@@ -132,10 +198,32 @@ def removed(spark: SparkSession, *paths: str) -> int:
 
 
 def retention(objects: DataFrame, cutoff: Column) -> DataFrame:
-    """How many objects are older, and their bytes; `removed` deletes them."""
+    """How many objects are older, and their bytes."""
     return objects.filter(F.col("last_modified") < cutoff).agg(F.count("*").alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("freed"))
 
 
+def swept(objects: DataFrame, root: str, cutoff: Column) -> DataFrame:
+    """(key, size, last_modified) of stored objects: sessions, the first two folders of a key, without anything
+    newer than the cutoff are deleted by the tasks; a row with their number and their bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for session in batch["session"]:
+                store, path = fs.FileSystem.from_uri(f"{root.rstrip('/')}/{quote(session)}")
+                if store.get_file_info(unquote(path)).type != fs.FileType.NotFound:
+                    store.delete_dir(unquote(path))
+            yield batch[["freed"]]
+
+    with_package(objects.sparkSession)
+    shared_dir(objects.sparkSession)
+    session = F.array_join(F.slice(F.split("key", "/"), 1, 2), "/").alias("session")
+    old = objects.filter(F.size(F.split("key", "/")) > 2).groupBy(session).agg(F.max("last_modified").alias("last"), F.sum("size").alias("freed")).filter(F.col("last") < cutoff)
+    gone = old.select("session", "freed").checkpoint().mapInPandas(run, "freed long").checkpoint()
+    return gone.agg(F.count("*").alias("sessions"), F.coalesce(F.sum("freed"), F.lit(0)).alias("freed"))
+
+
 def envelope(success: Column, data: Column, message: Column) -> Column:
     """K20."""
     return F.to_json(F.struct(success.alias("success"), data.alias("data"), message.alias("message")))

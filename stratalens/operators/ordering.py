@@ -26,9 +26,9 @@ def examples(endpoints: DataFrame, methods: Sequence[str] = ("GET", "POST", "PUT
     """The first endpoint of each method in the methods' order, `most` at most; if none has one, the first rows."""
     rank = F.array_position(F.array(*map(F.lit, methods)), F.col("method"))
     first = latest(endpoints.filter(F.col("method").isin(*methods)), ["method"], [F.col(order)]).withColumn("__r", rank)
-    others = endpoints.withColumn("__r", F.lit(len(methods)) + 1 + F.row_number().over(Window.orderBy(order))).orderBy("__r").limit(most)
+    others = endpoints.orderBy(order).limit(most).withColumn("__r", F.lit(len(methods) + 1))
     chosen = first.unionByName(others.filter(first.agg(F.count("*")).scalar() == 0))
-    return chosen.orderBy("__r").limit(most).drop("__r")
+    return chosen.orderBy("__r", order).limit(most).drop("__r")
 
 
 def positioned(rows: DataFrame, keys: Sequence[str], by: Sequence[str], prefix: str, name: str = "id") -> DataFrame:

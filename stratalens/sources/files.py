@@ -14,6 +14,7 @@ from stratalens import schemas
 from stratalens.functions import paths
 from stratalens.functions import text as texts
 from stratalens.operators import filters
+from stratalens.session import with_package
 
 
 def binary(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
@@ -67,6 +68,7 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def archive_entries(archives: DataFrame) -> DataFrame:
     """(project_id, content) of ZIP files: a row for each entry; entries that would leave the folder are refused,
     and a file that isn't an archive has none."""
+    with_package(archives.sparkSession)
     return archives.select("project_id", "content").mapInPandas(_entries, "project_id string, path string, content binary")
 
 
@@ -76,20 +78,22 @@ def ingest_archive(archives: DataFrame) -> DataFrame:
 
 
 def manifests(files: DataFrame) -> DataFrame:
-    """The dependency maps of each project's package manifest."""
+    """The dependency maps of each project's package manifest, the one at its root."""
     m = texts.manifest(F.col("content"))
-    return files.filter(paths.basename(F.col("path")) == "package.json").select("project_id", m["dependencies"].alias("dependencies"), m["devDependencies"].alias("dev_dependencies"))
+    return files.filter(F.col("path") == "package.json").select("project_id", m["dependencies"].alias("dependencies"), m["devDependencies"].alias("dev_dependencies"))
 
 
 def stored(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
-    """All stored objects below a prefix, without sidecars."""
+    """All stored objects below a prefix, without sidecars; Spark's scan leaves out those without content."""
     rows = binary(spark, root).select(below(F.col("path"), root).alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
     rows = rows.filter(F.col("key").startswith(prefix) & ~F.col("key").endswith(".meta.json"))
     return rows.withColumn("content_type", paths.content_type(F.col("key")))
 
 
 def listing(spark: SparkSession, root: str, prefix: str = "", most: int = 1000) -> DataFrame:
-    """The first stored objects below a prefix in order of their keys, without sidecars."""
+    """The first stored objects below a prefix in order of their keys, without sidecars.
+
+    The order is the limit's, so Spark keeps no more than `most` rows of a task."""
     return stored(spark, root, prefix).orderBy("key").limit(most)
 
 
@@ -117,8 +121,8 @@ def answered(rows: DataFrame, prompt: str, schema: str, call: Callable[[pd.Serie
     return rows.withColumn("answer", F.coalesce(texts.fenced_json(ask(F.col(prompt)), schema), fallback))
 
 
-# Providers and their schemes; those without one aren't built.
-SCHEMES = {"local": "file", "oracle_cloud": "oci"}
+# Providers and the schemes of their Hadoop file systems.
+SCHEMES = {"local": "file", "oracle_cloud": "oci", "aws_s3": "s3a", "azure_blob": "abfss", "google_cloud": "gs"}
 
 
 def provider_root(provider: str, place: str, fallback: bool = True) -> str:
