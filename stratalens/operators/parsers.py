@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.functions import text as texts
+from stratalens.session import with_package
 
 PARSED = (
     "parse_success boolean, parse_errors array<string>,"
@@ -60,29 +62,89 @@ def _import(source: str, kind: str, line: int, names=(), type_only: bool = False
     return {"source": source, "import_type": kind, "is_type_only": type_only, "is_dynamic": dynamic, "line": line, "specifiers": [{"imported": a, "local": b, "is_type": type_only} for a, b in names]}
 
 
-_SKIP = re.compile(
-    r"""//[^\n]*|/\*[\s\S]*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\[\s\S]|[^`\\])*`|(?<=[=(,:;!&|?{}\n])[ \t]*/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"""
-)
 _NAME = r"[A-Za-z_$][\w$]*"
 _IMPORT = re.compile(r"""(?m)(?:^|(?<=[;}\s]))import\s+(type\s+(?!from\b))?([\w$*{}\s,]*?)\s*(?:\bfrom\s*)?(["'])\x00(\d+)\x00\3""")
 _DYNAMIC = re.compile(r"""\bimport\s*\(\s*(["'])\x00(\d+)\x00\1\s*\)""")
 _EXPORT_FROM = re.compile(rf"""\bexport\s+(type\s+)?(\*(?:\s+as\s+{_NAME})?|\{{[^}}]*\}})(?:\s*from\s*(["'])\x00(\d+)\x00\3)?""")
 _EXPORT_DEFAULT = re.compile(rf"\bexport\s+default\s+(?:(?:async\s+)?function\s*\*?\s*|(?:abstract\s+)?class\s+)?({_NAME})?")
-_DECLARED = re.compile(rf"\b(export\s+(?:default\s+)?)?(?:declare\s+)?(?:abstract\s+)?(?:(async\s+)?(function)\s*\*?\s*({_NAME})\s*(?:<[^>(]*>)?\(([^)]*)\)|(class|interface|enum)\s+({_NAME})|(type)\s+({_NAME})\s*(?:<[^=]*>)?=(?!=)|(const|let|var)\s+({_NAME})\s*(?::[^=;\n]+)?(=(?!=)\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*(?::[^=]+)?=>|{_NAME}\s*=>))?)")
-
-
-def _masked(source: str) -> tuple[str, list[str]]:
-    """The text with comments blanked and strings numbered; line breaks stay."""
+_HEAD = re.compile(rf"\b(export\s+(?:default\s+)?)?(?:declare\s+)?(?:abstract\s+)?(?:(?:async\s+)?(function)\b\s*\*?\s*({_NAME})|(class|interface|enum)\s+({_NAME})|(type)\s+({_NAME})\s*(?:<[^=]*>)?=(?!=)|(const|let|var)\b(?!\s+enum\b))")
+_FUNCTION = re.compile(rf"\s*(?::[^=;\n]+)?=(?!=)\s*(?:async\s*)?(?:function\b|(?:<[^>(]*>\s*)?\([^()]*\)\s*(?::[^=;]+)?=>|{_NAME}\s*=>)")
+_MODIFIERS = re.compile(r"(?:(?:public|private|protected|static|readonly|abstract|declare|override|accessor|async|get|set)\b(?!\s*[(=;:?!<])\s*)*\*?\s*")
+_TOKEN = re.compile(r"""//[^\n]*|/\*|["']|`|[{}()\[\]/]|\$\{""")
+_PLAIN = {q: re.compile(rf"(?:\\[\s\S]|[^{q}\\\n])*") for q in "\"'"}
+_TEMPLATE = re.compile(r"(?:\\[\s\S]|\$(?!\{)|[^`\\$])*")
+_REGEX = re.compile(r"/(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
+_PAIR = {")": "(", "]": "[", "}": "{"}
+
+
+def _masked(source: str) -> tuple[str, list[str], str | None]:
+    """The text with comments, templates and regular expressions blanked and strings numbered, the strings, and the first
+    syntax error; line breaks stay, and so does code inside ${...} of a template."""
+    source = source.replace("\0", " ")
     strings: list[str] = []
-
-    def one(m: re.Match) -> str:
-        s = m[0]
-        if s[0] in "\"'":
-            strings.append(s[1:-1])
-            return f"{s[0]}\0{len(strings) - 1}\0{s[0]}"
-        return re.sub(r"[^\n]", " ", s)
-
-    return _SKIP.sub(one, source.replace("\0", " ")), strings
+    out: list[str] = []
+    open_: list[str] = []
+    error, at = None, 0
+    line = lambda i: source.count("\n", 0, i) + 1
+    blank = lambda t: re.sub(r"[^\n]", " ", t)
+
+    def template(begin: int) -> int:
+        """Blank a template's text up to its end or the next ${."""
+        nonlocal error
+        end = _TEMPLATE.match(source, begin).end()
+        out.append(blank(source[begin:end]))
+        if source.startswith("${", end):
+            open_.append("${")
+            out.append(" {")
+            return end + 2
+        if end == len(source):
+            error = error or f"SyntaxError: unterminated template ({line(begin)})"
+        out.append(" " * (end < len(source)))
+        return end + 1
+
+    while m := _TOKEN.search(source, at):
+        out.append(source[at : m.start()])
+        t, at = m[0], m.end()
+        if t[:2] == "//":
+            out.append(" " * len(t))
+        elif t == "/*":
+            end = source.find("*/", at)
+            error = error or (f"SyntaxError: unterminated comment ({line(m.start())})" if end < 0 else None)
+            end = len(source) if end < 0 else end + 2
+            out.append(blank(source[m.start() : end]))
+            at = end
+        elif t in "\"'":
+            end = _PLAIN[t].match(source, at).end()
+            if source[end : end + 1] == t:
+                strings.append(source[at:end])
+                out.append(f"{t}\0{len(strings) - 1}\0{t}")
+                at = end + 1
+            else:
+                out.append(t)  # an apostrophe in the text of a tag
+        elif t == "`":
+            out.append(" ")
+            at = template(at)
+        elif t == "/":
+            before = "".join(out[-3:]).rstrip()
+            found = _REGEX.match(source, m.start()) if not before or before[-1] in "=(,:;!&|?{}[+-*%~^" or re.search(r"\b(?:return|typeof|case|in|of|yield|await)$", before) else None
+            out.append(blank(found[0]) if found else t)
+            at = found.end() if found else at
+        elif t in "{([" or t == "${":
+            open_.append(t[-1])
+            out.append(t)
+        else:
+            last = open_.pop() if open_ else ""
+            if last == "${":
+                out.append("}")
+                at = template(at)
+                continue
+            if last != _PAIR[t]:
+                error = error or f"SyntaxError: unexpected {t} ({line(m.start())})"
+            out.append(t)
+    out.append(source[at:])
+    if open_:
+        error = error or f"SyntaxError: {open_[-1]} is never closed"
+    return "".join(out), strings, error
 
 
 def import_kind(names: list[tuple[str, str]]) -> str:
@@ -105,26 +167,89 @@ def _names(clause: str) -> list[tuple[str, str]]:
     return out
 
 
+_DEPTH = re.compile(r"[{}()\[\],;\n]")
+_GOES_ON = re.compile(r"\s*(?:[=+\-*/%&|^?:.,<>)\]}]|\b(?:in|of|as|instanceof|satisfies|extends)\b)")
+
+
+def _end_of(code: str, at: int, stops: str = ";") -> int:
+    """Where a statement that goes on at `at` ends: at one of `stops`, at a bracket that closes more than was opened, or at
+    a line break that nothing goes on over, all outside of brackets."""
+    depth = 0
+    for m in _DEPTH.finditer(code, at):
+        c = m[0]
+        if c in "{([":
+            depth += 1
+        elif c in "})]":
+            depth -= 1
+            if depth < 0:
+                return m.start()
+        elif not depth and (c in stops or c == "\n" and (code[at : m.start()].rstrip()[-1:] or "=") not in tuple("=+-*/%&|^?:.,<(") and not _GOES_ON.match(code, m.end())):
+            return m.start()
+    return len(code)
+
+
 def _block_end(code: str, at: int) -> int:
     """Where the braces that open after `at` are closed, or the statement ends."""
     depth = 0
-    for m in re.compile(r"[{};]").finditer(code, at):
+    for m in _BRACES.finditer(code, at):
         depth += (m[0] == "{") - (m[0] == "}")
         if depth < 0 or depth == 0 and m[0] in "};":
             return m.start()
     return max(at, len(code) - 1)
 
 
+_BRACES = re.compile(r"[{};]")
+
+
+def _closed(code: str, at: int) -> int:
+    """One past the bracket that closes the one at `at`."""
+    depth = 0
+    for m in re.compile(r"[{}()\[\]]").finditer(code, at):
+        depth += 1 if m[0] in "{([" else -1
+        if not depth:
+            return m.end()
+    return len(code)
+
+
+def _declarators(code: str, at: int) -> Iterator[tuple[str, int, int, bool]]:
+    """(name, begin, end, whether it is bound to a function) of each identifier that const, let or var declares."""
+    while True:
+        end = _end_of(code, at, ",;")
+        if m := re.compile(rf"\s*({_NAME})").match(code, at, end):
+            yield m[1], m.start(1), end, bool(_FUNCTION.match(code, m.end(), end))
+        if code[end : end + 1] != ",":
+            return
+        at = end + 1
+
+
+def _parameters(code: str, at: int) -> list[str]:
+    """The names of what stands in the parentheses from `at`; of a pattern or a default only the name before it."""
+    inside, out, depth = code[at + 1 : _closed(code, at) - 1], [], 0
+    begin = 0
+    for m in re.compile(r"[{}()\[\]<>,]|$").finditer(inside):
+        if m[0] and m[0] in "{([<":
+            depth += 1
+        elif m[0] and m[0] in "})]>":
+            depth -= 1
+        elif depth <= 0 or not m[0]:
+            if name := re.search(rf"({_NAME})\s*\??\s*$", re.split(r"[:=]", inside[begin : m.start()], maxsplit=1)[0]):
+                out.append(name[1])
+            begin = m.end()
+    return out
+
+
 def parse_javascript(source: str) -> dict:
-    """Imports, dynamic imports, exports and declarations by a scanner that skips comments and strings.
+    """Imports, dynamic imports, exports and declarations by a scanner that skips comments, strings and regular
+    expressions; code inside ${...} of a template is seen.
 
-    Constructs inside template literals aren't seen; brackets that don't match are the only syntax errors.
+    Syntax errors are brackets that don't match and comments or templates without an end; tags in a file of components
+    are read as code.
     """
-    code, strings = _masked(source)
-    for a, b in ("{}", "()", "[]"):
-        if code.count(a) != code.count(b):
-            return _result(f"SyntaxError: unbalanced {a}{b}")
-    line = lambda at: code.count("\n", 0, at) + 1
+    code, strings, error = _masked(source)
+    if error:
+        return _result(error)
+    breaks = [m.start() for m in re.finditer("\n", code)]
+    line = lambda at: bisect_left(breaks, at) + 1
     imports = [(m.start(), _import(strings[int(m[4])], import_kind(n := _names(m[2])), line(m.start()), n, bool(m[1]))) for m in _IMPORT.finditer(code)]
     imports += [(m.start(), _import(strings[int(m[2])], "default", line(m.start()), dynamic=True)) for m in _DYNAMIC.finditer(code)]
     exports = []
@@ -136,33 +261,60 @@ def parse_javascript(source: str) -> dict:
             names = [{"local": a, "exported": b, "is_type": bool(m[1])} for a, b in _names(m[2])]
             exports.append((m.start(), {"export_type": "named", "name": None, "source": source_of, "line": line(m.start()), "specifiers": names}))
     exports += [(m.start(), {"export_type": "default", "name": m[1] or "default", "source": None, "line": line(m.start()), "specifiers": []}) for m in _EXPORT_DEFAULT.finditer(code)]
-    components = []
-    for m in _DECLARED.finditer(code):
-        exported = bool(m[1])
-        kind = m[3] or m[6] or m[8] or ("function" if m[12] else "constant" if m[10] == "const" else "variable")
-        name = m[4] or m[7] or m[9] or m[11]
-        end = _block_end(code, m.end())
-        parameters = [p.split(":")[0].split("=")[0].strip(" .?") for p in (m[5] or "").split(",") if p.strip()]
-        made = _component(kind, name, line(m.start()), line(end), exported, parameters=parameters)
-        components.append(made)
-        if exported and "default" not in m[1]:
-            exports.append((m.start(), {"export_type": "named", "name": name, "source": None, "line": line(m.start()), "specifiers": [{"local": name, "exported": name, "is_type": kind in ("type", "interface")}]}))
-        if kind == "class":
-            components += _members(code, m.end(), end, made, line)
+    components, shown = [], 0  # up to `shown` an export is around
+    for m in _HEAD.finditer(code):
+        kind, name = m[2] or m[4] or m[6] or m[8], m[3] or m[5] or m[7]
+        if m[8]:
+            found = [(n, a, b, "function" if f else "constant" if kind == "const" else "variable", []) for n, a, b, f in _declarators(code, m.end())]
+        else:
+            head = code.find("(", m.end()) if m[2] else -1
+            found = [(name, m.start(), _block_end(code, m.end() if head < 0 else _closed(code, head)), kind, _parameters(code, head) if head >= 0 else [])]
+        if m[1]:
+            shown = max([shown, *(f[2] for f in found)])
+        for n, begin, end, what, parameters in found:
+            at = line(begin if m[8] else m.start())
+            components.append(_component(what, n, at, line(end), begin < shown, parameters=parameters))
+            if m[1] and "default" not in m[1]:
+                exports.append((begin, {"export_type": "named", "name": n, "source": None, "line": at, "specifiers": [{"local": n, "exported": n, "is_type": what in ("type", "interface")}]}))
+            if what == "class" and (body := code.find("{", m.end())) >= 0:
+                components += _members(code, body, components[-1], line)
     order = lambda rows: [x for _, x in sorted(rows, key=lambda r: r[0])]
     return _result(imports=order(imports), exports=order(exports), components=components)
 
 
-def _members(code: str, begin: int, end: int, owner: dict, line) -> list[dict]:
-    """X6, X7, corrected: methods and the constructor of a class, at its own depth."""
-    out, depth = [], 0
-    for m in re.compile(rf"([{{}}])|(?:(?:public|private|protected|static|async|get|set)\s+)*({_NAME})\s*\(([^)]*)\)\s*(?::[^{{;]+)?(?=\{{)").finditer(code, begin, end + 1):
-        if m[1]:
-            depth += 1 if m[1] == "{" else -1
-        elif depth == 1 and m[2] not in ("if", "for", "while", "switch", "catch", "function"):
-            kind = "constructor" if m[2] == "constructor" else "method"
-            parameters = [p.split(":")[0].split("=")[0].strip(" .?").split(" ")[-1] for p in m[3].split(",") if p.strip()]
-            out.append(_component(kind, m[2], line(m.start(2)), line(_block_end(code, m.end())), False, owner["id"], parameters))
+def _members(code: str, body: int, owner: dict, line) -> list[dict]:
+    """X6, X7, corrected: the constructor, methods and properties of a class, whose braces open at `body`."""
+    out, at, end = [], body + 1, _closed(code, body) - 1
+    key = re.compile(rf"\s*(?:(#?{_NAME})|(\[|[\"'\d]))")
+    while at < end:
+        if code[at] in " \t\r\n;,":
+            at += 1
+            continue
+        if code[at] == "@":  # a decorator, with its arguments if it has some
+            at = re.compile(rf"@\s*(?:{_NAME}\.?)*").match(code, at).end()
+            at = _closed(code, at) if code[at : at + 1] == "(" else at
+            continue
+        mods = _MODIFIERS.match(code, at, end)
+        m = key.match(code, mods.end(), end)
+        if not m:
+            stop = mods.end()  # a static block, or what isn't understood
+            at = _closed(code, stop) if code[stop] in "{([" else max(stop, at + 1)
+            continue
+        name, begin, after = m[1] or "<anonymous>", m.start(1) if m[1] else m.start(2), m.end()
+        after = _closed(code, begin) if m[2] == "[" else re.compile(r"[\"']?[^\"'\n(=;:]*[\"']?").match(code, begin).end() if m[2] else after
+        head = re.compile(r"\s*[?!]?\s*(?:<[^>(]*>)?\s*\(").match(code, after, end)
+        seen = "private" if name[0] == "#" or "private" in mods[0] else "protected" if "protected" in mods[0] else "public"
+        if head:
+            close = _closed(code, head.end() - 1)
+            stop = _block_end(code, close)
+            kind = "constructor" if name == "constructor" else "method"
+            made = _component(kind, name, line(begin), line(stop), False, owner["id"], _parameters(code, head.end() - 1))
+            at = stop + 1
+        else:
+            stop = min(end, _end_of(code, after))
+            made = _component("property", name, line(begin), line(max(begin, stop - 1)), False, owner["id"]) | {"id": f"prop_{name}_{line(begin)}"}
+            at = stop + 1
+        out.append(made | {"visibility": seen})
     return out
 
 
@@ -183,6 +335,7 @@ def parsed(files: DataFrame) -> DataFrame:
         for names, contents in batches:
             yield pd.DataFrame([parse(p, c) for p, c in zip(names, contents, strict=True)])
 
+    with_package(files.sparkSession)
     rows = files.filter(texts.worth_parsing(F.col("content")))
     mark = F.when(F.col("path").rlike(r"(?i)\.py[wi]?$"), "#").otherwise("//")
     done = rows.withColumn("parsed", run("path", "content")).withColumn("metrics", texts.line_metrics(F.col("content"), mark))
