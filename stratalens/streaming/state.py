@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,10 +24,22 @@ def throttled(events: DataFrame, key: str, ts: str = "ts", limit: int = 100, wid
     return counts.select(key, F.col("w.start").alias("window_start"), "n", (F.col("n") > limit).alias("blocked"))
 
 
-def failure_windows(calls: DataFrame, key: str, failed: Column, ts: str = "ts", width: str = "5 minutes", limit: int = 3) -> DataFrame:
-    """T5 in batch: failures of each provider and window; from `limit` it is left out."""
-    counts = calls.groupBy(F.col(key), F.window(ts, width).alias("w")).agg(F.count_if(failed).alias("failures"))
-    return counts.select(key, F.col("w.start").alias("window_start"), "failures", (F.col("failures") >= limit).alias("is_open")).filter("failures > 0")
+def breaker(calls: DataFrame, key: str, ok: Column, order: Sequence[str] = ("ts",), limit: int = 3, reset_seconds: int = 300) -> DataFrame:
+    """T5 in batch: for each call the failures that count after it, and whether they open the breaker.
+
+    A failure adds one; a success sets them to none, and so does each failure `reset_seconds` later.  Calls and resets
+    are put in one order, a reset before calls of the same time, and what was counted up to the last reset is taken
+    off: two running sums for each key.  The first of `order` is the time.
+    """
+    ts, *ties = order
+    rows = calls.withColumn("__ok", ok).withColumn("__at", F.unix_micros(ts)).withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in calls.columns]))
+    tie = F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(ties)] or [F.lit(0).alias("t0")])
+    call = rows.select(key, "__at", F.lit(1).alias("__kind"), tie.alias("__tie"), "__ok", "__row")
+    later = call.filter(~F.col("__ok")).select(key, (F.col("__at") + reset_seconds * 1_000_000).alias("__at"), F.lit(0).alias("__kind"), "__tie", F.lit(True).alias("__ok"), F.lit(None).cast(call.schema["__row"].dataType).alias("__row"))
+    upto = Window.partitionBy(key).orderBy("__at", "__kind", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = call.unionByName(later).withColumn("__n", F.sum(F.when(F.col("__ok"), 0).otherwise(1)).over(upto))
+    n = n.withColumn("failures", F.col("__n") - F.coalesce(F.max(F.when(F.col("__ok"), F.col("__n"))).over(upto), F.lit(0)))
+    return n.filter("__kind = 1").select("__row.*", "failures", (F.col("failures") >= limit).alias("is_open"))
 
 
 def provider_order(stats: DataFrame) -> DataFrame:
@@ -35,23 +47,39 @@ def provider_order(stats: DataFrame) -> DataFrame:
     return stats.filter("not is_open").orderBy("failures", "provider")
 
 
-def breaker_stream(calls: DataFrame, limit: int = 3, reset_seconds: int = 300) -> DataFrame:
-    """T5 as a stream of (provider, ok, ts): the running failures of a provider, which a success or a pause resets."""
+def breaker_stream(calls: DataFrame, limit: int = 3, reset_seconds: int = 300, late: str = "10 minutes") -> DataFrame:
+    """T5 as a stream of (provider, ok, ts), with the rule of `breaker`; a call that is earlier than one of a batch before
+    counts at that one's time, and one that is `late` is left out.
+
+    State is the count, the last time, and the failures of the last `reset_seconds`; it goes when they have passed.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    wait = reset_seconds * 1_000_000
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, last = state.get if state.exists else (0, 0)
-        rows = []
-        for x in sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: r.ts):
-            at = int(x.ts.timestamp())
-            failures = 0 if x.ok or (last and at - last > reset_seconds) and x.ok else (0 if last and at - last > reset_seconds else failures) + 1
-            last = at if not x.ok else last
-            rows.append({"provider": key[0], "ts": x.ts, "failures": failures, "is_open": failures >= limit})
-        state.update((failures, last))
-        yield pd.DataFrame(rows)
-
-    return calls.groupBy("provider").applyInPandasWithState(
-        step, "provider string, ts timestamp, failures int, is_open boolean", "failures int, last long", "append", GroupStateTimeout.NoTimeout
+        if state.hasTimedOut:
+            state.remove()
+            return
+        failures, last, pending = state.get if state.exists else (0, 0, [])
+        pending = list(pending)
+        calls_ = pd.concat(list(batches)).sort_values(["ts", "ok"], kind="stable")
+        out = []
+        for ts, ok in zip(calls_["ts"], calls_["ok"], strict=True):
+            last = max(last, ts.value // 1000)
+            while pending and pending[0] + wait <= last:
+                pending.pop(0)
+                failures = 0
+            failures = 0 if ok else failures + 1
+            if not ok:
+                pending.append(last)
+            out.append((key[0], ts, failures, failures >= limit))
+        state.update((failures, last, pending))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, last // 1000 + reset_seconds * 1000))
+        yield pd.DataFrame(out, columns=["provider", "ts", "failures", "is_open"])
+
+    return calls.withWatermark("ts", late).groupBy("provider").applyInPandasWithState(
+        step, "provider string, ts timestamp, failures int, is_open boolean", "failures int, last long, pending array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
