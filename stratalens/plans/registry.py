@@ -6,64 +6,16 @@ are owners, line items are dependencies, parts are libraries, and the events of
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.functions import dates, paths, scores
 from stratalens.functions import text as texts
 from stratalens.operators import aggregates, filters, graph, joins, mutations, ordering, parsers
 from stratalens.plans import report, rules
+from stratalens.plans.queries import NOW, QUERIES, SQL, Tables, events, query
 from stratalens.streaming import state
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-NOW = "TIMESTAMP '2024-01-20 00:00:00'"
-
-
-class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _events(t: Tables) -> DataFrame:
-    return t.events.withColumn("ts", F.col("ts").cast("timestamp"))
-
-
-def _walk(t: Tables) -> DataFrame:
-    """An edge from each event of a user to the next one's type."""
-    out = state.transitions(t.events, "user_id", "event_type", ["ts", "event_id"])
-    return out.filter("next_state is not null").select(F.col("event_type").alias("source"), F.col("next_state").alias("target"))
-
-
-WALK = """e AS (SELECT event_type AS source, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target FROM events),
-w AS (SELECT * FROM e WHERE target IS NOT NULL)"""
-#: The foreign keys of the tables.
-LINKS = (("nation", "region"), ("customer", "nation"), ("supplier", "nation"), ("orders", "customer"), ("lineitem", "orders"), ("lineitem", "part"), ("lineitem", "supplier"))
-VALUES = ", ".join(f"('{a}', '{b}')" for a, b in LINKS)
-
-
-def _links(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(list(LINKS), "source string, target string")
-
-
-def _nodes(edge: DataFrame) -> DataFrame:
-    return edge.select(F.col("source").alias("id")).unionByName(edge.select(F.col("target").alias("id"))).distinct()
-
 
 # ---- files
 
@@ -157,15 +109,6 @@ def import_resolve_edges(t):
     return graph.edges(graph.dependencies(imports), files).groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-@query("""
-SELECT p_brand AS library, count(*) AS usage_count, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS n_files
-FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand
-""")
-def external_library_rollup(t):
-    uses = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("library"), F.col("l_suppkey").alias("source"))
-    return uses.groupBy("library").agg(F.count("*").alias("usage_count"), F.countDistinct("source").alias("n_files"))
-
-
 @query("SELECT l_suppkey AS name, count(*) AS usage FROM lineitem GROUP BY 1 ORDER BY usage DESC, name LIMIT 5")
 def library_top_k(t):
     return ordering.ranked(aggregates.histogram(t.lineitem, "l_suppkey", "name", "usage"), F.desc("usage"), "name", 5)
@@ -174,11 +117,10 @@ def library_top_k(t):
 
 @query("SELECT category, count(*) AS n FROM (SELECT CASE WHEN contains(lower(p_type), 'steel') THEN 'steel' WHEN contains(lower(p_type), 'copper') THEN 'copper' WHEN contains(lower(p_name), 'a') THEN 'a' ELSE 'General Library' END AS category FROM part) GROUP BY 1")
 def library_category_theta(t):
-    names = F.concat_ws("|", "p_type", "p_name")
     keys = {"steel": "steel", "copper": "copper"}
     kind = aggregates.library_category(F.col("p_type"), keys, "?")
     named = F.when(kind != "?", kind).when(F.lower("p_name").contains("a"), "a").otherwise("General Library")
-    return aggregates.histogram(t.part.withColumn("names", names), named, "category")
+    return aggregates.histogram(t.part, named, "category")
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (p_size > 10) AS production, count(*) FILTER (p_size <= 10) AS development, count(*) FILTER (p_retailprice > 1500) AS vulnerable FROM part")
@@ -186,111 +128,6 @@ def library_summary_counts(t):
     return aggregates.library_summary(t.part.select((F.col("p_size") <= 10).alias("is_dev_dependency"), F.when(F.col("p_retailprice") > 1500, 1).otherwise(0).alias("vulnerabilities")))
 
 
-@query("""
-SELECT p.p_partkey AS library, coalesce(p.p_brand, p.p_type) AS version, p.p_size > 40 AS is_dev
-FROM part p
-""")
-def library_versions(t):
-    libs = t.part.select(F.lit("p").alias("project_id"), F.col("p_partkey").cast("string").alias("library"))
-    entry = lambda c, where: F.map_from_entries(F.collect_list(F.when(where, F.struct(F.col("p_partkey").cast("string"), F.col(c)))))
-    manifest = t.part.agg(entry("p_brand", F.lit(True)).alias("dependencies"), entry("p_type", F.col("p_size") > 40).alias("dev_dependencies")).withColumn("project_id", F.lit("p"))
-    return joins.library_versions(libs, manifest).select(F.col("library").cast("long").alias("library"), "version", "is_dev")
-
-
-# ---- graph
-
-
-@query(f"WITH {WALK} SELECT CAST(coalesce(max(n), 0) AS BIGINT) AS max_fan_out FROM (SELECT source, count(*) AS n FROM w GROUP BY source)")
-def node_degree_fanout(t):
-    return aggregates.max_fan_out(_walk(t))
-
-
-@query(f"""
-WITH e(source, target) AS (VALUES {VALUES}), n AS (SELECT source AS id FROM e UNION SELECT target FROM e)
-SELECT id, (SELECT count(*) FROM e WHERE source = id) AS fan_out, (SELECT count(*) FROM e WHERE target = id) AS fan_in,
-       id NOT IN (SELECT target FROM e) AS is_entry, id NOT IN (SELECT source FROM e) AS is_leaf FROM n
-""")
-def entry_leaf_flags(t):
-    edge = _links(t)
-    return graph.degrees(edge, _nodes(edge))
-
-
-@query(f"WITH {WALK} SELECT DISTINCT a.source, a.target FROM w a JOIN w b ON a.source = b.target AND a.target = b.source WHERE a.source < a.target")
-def mutual_dependencies(t):
-    return joins.mutual(_walk(t))
-
-
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT source, target FROM (SELECT role AS source, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS target FROM conversations) WHERE target IS NOT NULL),
-p AS (SELECT source AS first, [source, target] AS nodes, target AS last FROM e WHERE target >= source
-      UNION ALL SELECT first, list_append(nodes, e.target), e.target FROM p JOIN e ON p.last = e.source
-      WHERE p.last <> p.first AND (e.target = first OR (e.target > first AND NOT list_contains(nodes, e.target))))
-SELECT array_to_string(nodes, '>') AS cycle, len(nodes) AS length, CASE WHEN len(nodes) <= 2 THEN 'critical' WHEN len(nodes) <= 4 THEN 'high' WHEN len(nodes) <= 6 THEN 'medium' ELSE 'low' END AS severity
-FROM p WHERE last = first
-""")
-def simple_cycles(t):
-    walk = state.transitions(t.conversations, "conv_id", "role", ["turn"]).filter("next_state is not null")
-    found = graph.simple_cycles(walk.select(F.col("role").alias("source"), F.col("next_state").alias("target")))
-    return found.select(F.array_join("cycle", ">").alias("cycle"), F.col("length").cast("long").alias("length"), "severity")
-
-
-@query(f"""
-WITH RECURSIVE e(source, target) AS (VALUES {VALUES}), n AS (SELECT source AS id FROM e UNION SELECT target FROM e),
-p AS (SELECT id, 0 AS layer FROM n UNION ALL SELECT e.source, layer + 1 FROM p JOIN e ON e.target = p.id)
-SELECT id, CAST(max(layer) AS INTEGER) AS layer FROM p GROUP BY id
-""")
-def dag_layers(t):
-    edge = _links(t)
-    return graph.layers(edge, _nodes(edge))
-
-
-@query(f"""
-WITH RECURSIVE {WALK}, d AS (SELECT DISTINCT source, target FROM w), r AS (SELECT source, target FROM d UNION SELECT r.source, d.target FROM r JOIN d ON r.target = d.source),
-n AS (SELECT source AS id FROM d UNION SELECT target FROM d)
-SELECT n.id, least(n.id, (SELECT min(a.target) FROM r a JOIN r b ON a.source = b.target AND a.target = b.source WHERE a.source = n.id)) AS component FROM n
-""")
-def strong_components(t):
-    return graph.strong_components(_walk(t))
-
-
-@query(f"""
-WITH {WALK}, m AS (SELECT (SELECT count(*) FROM w) AS edges, (SELECT count(*) FROM (SELECT source FROM w UNION SELECT target FROM w)) AS nodes)
-SELECT nodes, edges, edges::DOUBLE / nodes AS avg_dependencies, least(1.0, edges::DOUBLE / (nodes * nodes)) AS coupling, CAST(0.8 AS DOUBLE) AS cohesion, CAST(0.5 AS DOUBLE) AS instability, CAST(0.3 AS DOUBLE) AS abstractness FROM m
-""")
-def graph_metrics(t):
-    edge = _walk(t)
-    return graph.metrics(edge, _nodes(edge))
-
-
-METRICS = f"""{WALK}, m AS (SELECT (SELECT count(*) FROM w) AS edges, (SELECT count(*) FROM (SELECT source FROM w UNION SELECT target FROM w)) AS nodes, 3 AS cycles, (SELECT count(DISTINCT p_brand) FROM part) AS libraries, 1 AS clusters)"""
-
-
-def _row(t: Tables) -> DataFrame:
-    edge = _walk(t)
-    libraries = t.part.agg(F.countDistinct("p_brand")).scalar()
-    return graph.metrics(edge, _nodes(edge)).withColumn("libraries", libraries).withColumn("cycles", F.lit(3)).withColumn("clusters", F.lit(1))
-
-
-@query(f"""
-WITH {METRICS} SELECT 'circular_dependency' AS type, 'high' AS severity, 'Found 3 circular dependencies' AS message FROM m
-UNION ALL SELECT 'complexity', 'medium', 'Large number of dependencies detected' FROM m WHERE nodes > 100
-UNION ALL SELECT 'external_dependencies', 'medium', 'High number of external dependencies' FROM m WHERE libraries > 50
-UNION ALL SELECT 'coupling', 'medium', 'High coupling detected - files have many dependencies' FROM m WHERE edges / nodes > 10
-""")
-def rule_insights(t):
-    return rules.insights(_row(t))
-
-
-@query(f"""
-WITH {METRICS} SELECT 'refactor' AS type, 'high' AS priority, 'Break circular dependencies by extracting shared functionality' AS description FROM m
-UNION ALL SELECT 'optimization', 'medium', 'Consider reducing external dependencies' FROM m WHERE libraries > 50
-UNION ALL SELECT 'architecture', 'medium', 'High coupling detected - consider architectural refactoring' FROM m WHERE edges / nodes > 10
-UNION ALL SELECT 'organization', 'low', 'Large codebase with few logical groupings' FROM m WHERE nodes > 100
-""")
-def rule_recommendations(t):
-    return rules.recommendations(_row(t))
-
-
 # ---- scores and texts
 
 MI = "greatest(0.0, least(100.0, 171 - 5.2 * ln(loc) - 0.23 * (cx::DOUBLE / n)))"
@@ -460,11 +297,6 @@ def distinct_and_except(t):
     return ordering.distinct(t.part, "p_brand").exceptAll(ordering.distinct(t.part.filter("p_size = 1"), "p_brand"))
 
 
-@query("SELECT o_orderkey, list_filter([o_orderstatus, o_orderpriority], lambda x: x NOT IN ('F', '1-URGENT')) AS invalid FROM orders")
-def invalid_sections(t):
-    return t.orders.select("o_orderkey", F.filter(F.array("o_orderstatus", "o_orderpriority"), lambda x: ~x.isin("F", "1-URGENT")).alias("invalid"))
-
-
 NULLED = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS timezone, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'x' END AS auto_save FROM events"
 
 
@@ -485,25 +317,17 @@ def json_payload_parse(t):
 
 @query(f"SELECT count(*) AS n_files, CAST(coalesce(sum(user_id), 0) AS BIGINT) AS freed FROM events WHERE ts < {NOW}")
 def retention_sweep(t):
-    return mutations.retention(_events(t).select(F.col("ts").alias("last_modified"), F.col("user_id").alias("size")), F.expr(NOW))
+    return mutations.retention(events(t).select(F.col("ts").alias("last_modified"), F.col("user_id").alias("size")), F.expr(NOW))
 
 
 @query(f"SELECT event_id, ts + INTERVAL 1 HOUR > {NOW} + INTERVAL 5 MINUTE AS valid FROM events")
 def url_expiry_refresh(t):
-    return _events(t).select("event_id", dates.still_valid(F.col("ts") + F.expr("INTERVAL 1 HOUR"), F.expr(NOW)).alias("valid"))
+    return events(t).select("event_id", dates.still_valid(F.col("ts") + F.expr("INTERVAL 1 HOUR"), F.expr(NOW)).alias("valid"))
 
 
 @query("SELECT user_id, count(*) AS n, count(*) > 2 AS blocked, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') AS window_start FROM events GROUP BY user_id, window_start")
 def throttle_fixed_window(t):
-    return state.throttled(_events(t), "user_id", limit=2).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-
-
-@query("""
-SELECT user_id, window_start, failures, failures >= 3 AS is_open
-FROM (SELECT user_id, time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1, 2) WHERE failures > 0
-""")
-def circuit_breaker_failures(t):
-    return state.failure_windows(_events(t), "user_id", F.col("event_type") == "error").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return state.throttled(events(t), "user_id", limit=2).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("SELECT event_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_state FROM events")
@@ -533,33 +357,4 @@ def provider_usage(t):
 # ---- reports and parsers
 
 
-@query(None)
-def readme_report(t):
-    facts = t.documents.agg(F.count("*").alias("files"), F.sum(texts.line_count(F.col("text"))).alias("lines"), F.array_sort(F.collect_set("lang")).alias("languages"), F.array_sort(F.collect_set("source")).alias("directories"))
-    project = facts.select(
-        F.lit("corpus").alias("name"), F.lit("All documents").alias("description"), F.lit("completed").alias("status"), F.lit("library").alias("type"), "languages", "directories", "files", "lines",
-        F.col("files").alias("components"), F.lit(0).alias("dependencies"), F.lit(1.0).alias("complexity"), scores.maintainability(F.col("lines"), F.lit(1.0)).alias("maintainability_index"),
-        F.array().cast("array<struct<name:string,description:string>>").alias("features"), F.array().cast("array<string>").alias("libraries"),
-    )
-    return report.readme(project)
-
-
-def _snippets(t: Tables) -> DataFrame:
-    rows = [
-        ("p", "a.py", "import os, sys\nfrom .b import x as y\n\ndef f(a):\n    class C:\n        pass\n"),
-        ("p", "bad.py", "def f(:\n    return 1\n"),
-        ("p", "src/a.ts", "import d, { e as g } from './b';\nimport 'm';\nexport class K extends J { constructor(x) { } run(y) { return y; } }\nexport const h = (q) => q;\n"),
-    ]
-    return parsers.parsed(t.spark.createDataFrame(rows, "project_id string, path string, content string"))
-
-
-@query(None)
-def parsed_components(t):
-    return filters.components_of(_snippets(t)).select("path", "id", "raw_type", "type", "is_exported", "parent_id")
-
-
-@query(None)
-def parsed_imports(t):
-    return parsers.imports_of(_snippets(t)).select("path", "ord", "source", "import_type", "line")
-
-
+from stratalens.plans import registry_code, registry_columns, registry_tables  # noqa: E402, F401

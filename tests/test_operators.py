@@ -2,13 +2,14 @@
 
 import io
 import random
+import time
 import zipfile
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from stratalens.operators import aggregates, filters, graph, joins, mutations, ordering, parsers
+from stratalens.operators import aggregates, filters, graph, joins, mutations, ordering, parsers, walks
 from stratalens.plans import library, report, rules
 from stratalens.sources import files as sources
 from stratalens.streaming import state
@@ -85,27 +86,72 @@ def test_joins(spark, projects):
     assert [tuple(r) for r in joins.mutual(edges).collect()] == [("a", "b")]
 
 
-def walk(spark, pairs):
-    return spark.createDataFrame(pairs, "source string, target string")
+def walk(spark, pairs, project="p"):
+    return spark.createDataFrame([(project, *x) for x in pairs], "project_id string, source string, target string")
 
 
-def test_cycles_and_layers(spark):
-    got = {tuple(r.cycle): r.severity for r in graph.simple_cycles(walk(spark, [("a", "b"), ("b", "a"), ("c", "c"), ("b", "c"), ("c", "d"), ("d", "b")])).collect()}
+@pytest.mark.parametrize("most", [0, 1000])
+def test_cycles_and_layers(spark, most):
+    got = {tuple(r.cycle): r.severity for r in graph.simple_cycles(walk(spark, [("a", "b"), ("b", "a"), ("c", "c"), ("b", "c"), ("c", "d"), ("d", "b")]), most=most).collect()}
     assert got == {("a", "b", "a"): "high", ("c", "c"): "critical", ("b", "c", "d", "b"): "high"}
     edge = walk(spark, [("a", "b"), ("b", "c"), ("a", "c")])
-    nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("z",)], "id string")
-    assert {r.id: r.layer for r in graph.layers(edge, nodes).collect()} == {"a": 2, "b": 1, "c": 0, "z": 0}
+    nodes = spark.createDataFrame([("p", x) for x in "abcz"], "project_id string, id string")
+    assert {r.id: r.layer for r in graph.layers(edge, nodes, most).collect()} == {"a": 2, "b": 1, "c": 0, "z": 0}
     flags = {r.id: (r.is_entry, r.is_leaf) for r in graph.degrees(edge, nodes).collect()}
     assert flags == {"a": (True, False), "b": (False, False), "c": (False, True), "z": (True, True)}
 
 
-def test_cycles_of_any_length(spark):
-    ring = [(f"n{i}", f"n{(i + 1) % 9}") for i in range(9)]
-    found = graph.simple_cycles(walk(spark, [*ring, ("n3", "x")]))
-    assert [len(r.cycle) for r in found.collect()] == [10]
-
-
-def test_strong_components_equal_reachability(spark):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_cycles_of_any_length(spark, most):
+    ring = [(f"n{i}", f"n{(i + 1) % 10}") for i in range(10)]
+    edge = walk(spark, [*ring, ("n3", "x")])
+    assert [len(r.cycle) for r in graph.simple_cycles(edge, most=most).collect()] == [11]
+    assert graph.simple_cycles(edge, 9, most).count() == 0 and graph.simple_cycles(edge, 10, most).count() == 1
+
+
+@pytest.mark.parametrize("most", [0, 2, 1000])
+def test_projects_stay_apart(spark, most):
+    """Two projects without a cycle whose paths together would have one, and a third with one."""
+    edge = walk(spark, [("a", "b"), ("b", "c")]).unionByName(walk(spark, [("c", "a")], "q")).unionByName(walk(spark, [("a", "b"), ("b", "a"), ("b", "z")], "r"))
+    nodes = edge.select("project_id", F.col("source").alias("id")).unionByName(edge.select("project_id", F.col("target").alias("id")))
+    assert [(r.project_id, r.cycle) for r in graph.simple_cycles(edge, most=most).collect()] == [("r", ["a", "b", "a"])]
+    got = {(r.project_id, r.id): r.component for r in graph.strong_components(edge, most).collect()}
+    assert got == {("p", "a"): "a", ("p", "b"): "b", ("p", "c"): "c", ("q", "a"): "a", ("q", "c"): "c", ("r", "a"): "a", ("r", "b"): "a", ("r", "z"): "z"}
+    got = {(r.project_id, r.id): r.layer for r in graph.layers(edge, nodes, most).collect()}
+    assert got == {("p", "a"): 2, ("p", "b"): 1, ("p", "c"): 0, ("q", "a"): 0, ("q", "c"): 1, ("r", "a"): 1, ("r", "b"): 1, ("r", "z"): 0}
+    assert {(r.project_id, r.nodes, r.edges) for r in graph.metrics(edge, nodes).collect()} == {("p", 3, 2), ("q", 2, 1), ("r", 3, 3)}
+    assert {(r.project_id, r.source): r.is_circular for r in graph.within_components(edge, most).filter("target <> 'z'").collect()} == {("p", "a"): False, ("p", "b"): False, ("q", "c"): False, ("r", "a"): True, ("r", "b"): True}
+
+
+def test_walks_equal_plain_search():
+    """All simple cycles, components and layers of random graphs, by search over all paths."""
+    r = random.Random(9)
+    for _ in range(150):
+        n = r.randint(1, 7)
+        edges = [(f"n{r.randrange(n)}", f"n{r.randrange(n)}") for _ in range(r.randint(1, 16))]
+        near = defaultdict(set)
+        for a, b in edges:
+            near[a].add(b)
+        found = set()
+
+        def search(path):
+            for b in near[path[-1]]:
+                if b == path[0]:
+                    found.add((*path, b))
+                elif b > path[0] and b not in path:
+                    search([*path, b])
+
+        for a in sorted(near):
+            search([a])
+        got = [tuple(c) for (c,) in walks.cycles(edges)]
+        assert len(got) == len(set(got)) and set(got) == found
+        for longest in (1, 2, 3):
+            got = [tuple(c) for (c,) in walks.cycles(edges, longest)]
+            assert len(got) == len(set(got)) and set(got) == {c for c in found if len(c) <= longest + 1}
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_strong_components_equal_reachability(spark, most):
     r = random.Random(4)
     pairs = [(f"n{r.randrange(12)}", f"n{r.randrange(12)}") for _ in range(20)]
     reach = defaultdict(set)
@@ -117,7 +163,7 @@ def test_strong_components_equal_reachability(spark):
             if k in reach[i]:
                 reach[i] |= reach[k]
     want = {x: min([x, *[y for y in nodes if y in reach[x] and x in reach[y]]]) for x in nodes}
-    assert {r.id: r.component for r in graph.strong_components(walk(spark, pairs)).collect()} == want
+    assert {r.id: r.component for r in graph.strong_components(walk(spark, pairs), most).collect()} == want
 
 
 PYTHON = "import os, sys\nfrom . import x\nfrom .m import y as z\n\nasync def g():\n    pass\n\nclass C:\n    def f(self, a):\n        pass\n"
@@ -148,10 +194,46 @@ def test_javascript_parser():
     assert [(i["source"], i["import_type"], i["is_dynamic"]) for i in got["imports"]] == [("m1", "default", False), ("m2", "namespace", False), ("m3", "side_effect", False), ("m6", "default", True)]
     assert [(e["export_type"], e["name"], e["source"]) for e in got["exports"]] == [("named", None, "./m4"), ("all", "*", "./m5"), ("default", "K", None), ("named", "h", None)]
     kinds = {(c["raw_type"], c["name"], c["is_exported"]) for c in got["components"]}
-    assert {("class", "K", True), ("constructor", "constructor", False), ("method", "run", False), ("function", "h", True), ("constant", "inner", False), ("interface", "I", False), ("type", "T", False)} <= kinds
+    assert {("class", "K", True), ("constructor", "constructor", False), ("method", "run", False), ("function", "h", True), ("constant", "inner", True), ("interface", "I", False), ("type", "T", False)} <= kinds
     assert not parsers.parse("a.js", "function f( { ")["parse_success"]
 
 
+def test_javascript_members_and_declarators():
+    text = """const a = 1, b = (x) => x,
+  c = { k: [1, 2] };
+let { p, q } = a, z
+export class A<T> extends B implements C {
+  private readonly x: number = 1;
+  static y = { a: 1, b: [2] }
+  #hidden;
+  z?: string
+  @Input() label = 'q';
+  constructor(private svc: Svc, public n = 3) { super(); }
+  async *gen<T>(a: T, { b, c }: X = {}): Promise<void> { for (const i of a) { yield i; } }
+  get v(): number { return this.#hidden; }
+  static { init(); }
+  handler = (e) => { this.go(e); };
+}
+const el = <div className="x">don't {a ? <b>hi</b> : null}</div>;
+const t = `x ${function inside(y) { return `${y}`; }} z`;
+"""
+    got = parsers.parse("a.tsx", text)
+    assert got["parse_success"]
+    found = [(c["raw_type"], c["name"], c["start_line"], c["visibility"]) for c in got["components"]]
+    assert [x for x in found if x[0] == "property"] == [("property", "x", 5, "private"), ("property", "y", 6, "public"), ("property", "#hidden", 7, "private"), ("property", "z", 8, "public"), ("property", "label", 9, "public"), ("property", "handler", 14, "public")]
+    assert {x[1] for x in found if x[0] in ("constant", "variable")} == {"a", "c", "z", "i", "el", "t"}
+    assert {x[1] for x in found if x[0] in ("function", "method", "constructor")} == {"b", "gen", "v", "constructor", "inside"}
+    assert {c["name"]: c["parameters"] for c in got["components"] if c["raw_type"] in ("constructor", "function")}["constructor"] == ["svc", "n"]
+
+
+def test_javascript_syntax_errors_and_long_files():
+    for text in ("f( [ ) ]", "function f( { ", "/* x", "`a ${b", "const x = 1 }"):
+        assert parsers.parse("a.js", text)["parse_errors"][0].startswith("SyntaxError")
+    began = time.process_time()
+    assert len(parsers.parse("a.ts", "const a = 1;\nclass C { x = 1; }\n" * 40_000)["components"]) == 120_000
+    assert time.process_time() - began < 30
+
+
 def test_analysis_of_a_tree(spark, tmp_path):
     tree = {"src/a.ts": "import { b } from './b.ts';\nimport x from 'lodash/fp';\n", "src/b.ts": "import { a } from './a.ts';\nexport const b = 1;\n", "src/c.py": "import os\n\ndef f():\n    return 1\n", "node_modules/z.js": "import 'q'; // skipped\n"}
     for name, content in tree.items():
@@ -250,13 +332,58 @@ def test_throttle_and_breaker_streams(spark, tmp_path):
     q = state.throttled(stream, "provider", limit=3, late="1 minute").writeStream.format("memory").queryName("throttle").outputMode("complete").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.provider, r.n, r.blocked) for r in spark.table("throttle").collect()} == {("k", 4, True), ("j", 1, False)}
-    calls = [("k", False, f"2024-01-01 00:0{i}:00") for i in range(3)] + [("k", True, "2024-01-01 00:04:00"), ("k", False, "2024-01-01 00:30:00")]
-    df = spark.createDataFrame(calls, "provider string, ok boolean, t string").select("provider", "ok", F.col("t").cast("timestamp").alias("ts"))
-    df.coalesce(1).write.parquet(str(tmp_path / "calls"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "calls"))
-    q = state.breaker_stream(stream).writeStream.format("memory").queryName("breaker").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert [(r.failures, r.is_open) for r in spark.table("breaker").orderBy("ts").collect()] == [(1, False), (2, False), (3, True), (0, False), (1, False)]
+
+
+def by_events(calls, limit=3, wait=300):
+    """The breaker event by event: a failure adds one and sets a timer, which sets the count to none, as a success does."""
+    out = []
+    for key in sorted({k for k, _, _ in calls}):
+        n, timers = 0, []
+        for _, ok, at in sorted((c for c in calls if c[0] == key), key=lambda c: c[2]):
+            if any(x <= at for x in timers):
+                n, timers = 0, [x for x in timers if x > at]
+            n = 0 if ok else n + 1
+            timers += [] if ok else [at + wait]
+            out.append((key, at, n, n >= limit))
+    return sorted(out)
+
+
+def test_breaker_in_batch_and_as_a_stream(spark, tmp_path):
+    r = random.Random(5)
+    calls = sorted({(r.choice("kj"), r.random() < 0.15, 1_704_067_200 + at) for at in r.sample(range(4000), 160)}, key=lambda c: c[2])
+    rows = [(k, ok, at) for k, ok, at in calls]
+    df = spark.createDataFrame(rows, "provider string, ok boolean, at long").select("provider", "ok", F.timestamp_seconds("at").alias("ts"))
+    take = lambda rows: sorted((x.provider, int(x.ts.timestamp()), x.failures, x.is_open) for x in rows)
+    want = by_events(rows)
+    assert take(state.breaker(df, "provider", F.col("ok")).collect()) == want and any(x[3] for x in want)
+    for i in range(4):
+        df.orderBy("ts").limit((i + 1) * 40).exceptAll(df.orderBy("ts").limit(i * 40)).coalesce(1).write.parquet(str(tmp_path / "calls" / f"part={i}"))
+    stream = spark.readStream.schema("provider string, ok boolean, ts timestamp, part int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "calls")).select("provider", "ok", "ts")
+    q = state.breaker_stream(stream, late="2 hours").writeStream.format("memory").queryName("breaker").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert take(spark.table("breaker").collect()) == want
+
+
+def test_stored_objects(spark, tmp_path):
+    root = f"file://{tmp_path}/o"
+    rows = spark.createDataFrame([("a/s1/x y.md", bytearray(b"one"), {"k": "v"}), ("a/s2/é.md", bytearray(b"three"), None), ("loose.md", bytearray(b"."), None)], "key string, content binary, metadata map<string,string>")
+    assert {(r.key, r["size"]) for r in mutations.put_objects(rows, root).collect()} == {("a/s1/x y.md", 3), ("a/s2/é.md", 5), ("loose.md", 1)}
+    got = {r.key: (r["size"], r.metadata) for r in sources.object_metadata(spark, root).collect()}
+    assert got == {"a/s1/x y.md": (3, {"k": "v"}), "a/s2/é.md": (5, None), "loose.md": (1, None)}
+    mutations.moved(spark, f"{root}/a/s1/x y.md", f"{root}/a/s2/z.md")
+    assert {r.key: r.metadata for r in sources.object_metadata(spark, root).collect()}["a/s2/z.md"] == {"k": "v"}
+    swept = lambda at: tuple(mutations.swept(sources.stored(spark, root), root, F.lit(at).cast("timestamp")).first())
+    assert swept("2001-01-01") == (0, 0) and swept("2999-01-01") == (1, 8)
+    assert [r.key for r in sources.stored(spark, root).collect()] == ["loose.md"]
+
+
+def test_only_the_root_manifest_counts(spark):
+    files = spark.createDataFrame([("p", "package.json", '{"dependencies": {"x": "1"}}'), ("p", "sub/package.json", '{"dependencies": {"x": "2"}}'), ("q", "package.json", "no json")], "project_id string, path string, content string")
+    found = sources.manifests(files)
+    assert {r.project_id: r.dependencies for r in found.collect()} == {"p": {"x": "1"}, "q": None}
+    uses = spark.createDataFrame([("p", "x"), ("q", "x")], "project_id string, library string")
+    both = found.unionByName(found.withColumn("dependencies", F.transform_values("dependencies", lambda k, v: F.lit("0"))))
+    assert sorted(tuple(r) for r in joins.library_versions(uses, both).collect()) == [("p", "x", "0", False), ("q", "x", None, False)]
 
 
 def test_library_queries(spark, projects):
