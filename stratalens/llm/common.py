@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import tempfile
-import time
 import uuid
 from pathlib import Path
 
@@ -14,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Has Spark remove the shuffles of an execution at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows in an Arrow batch at most; texts may be long, so the default of 10,000 is too many.
 BATCH_ROWS = 512
 
@@ -34,9 +34,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir.  Where it is unset, one of our own if
+    everything runs in this process; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "stratalens-shared")
         spark.sparkContext.setCheckpointDir(base)
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
@@ -47,7 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """Written intermediate tables of one query, in the shared folder.
 
-    A written table cuts the lineage and survives the loss of any executor.
+    A written table cuts the lineage and survives the loss of any executor.  What a result isn't read from is dropped;
+    the rest stays until `close`, or until the shared folder is cleaned.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -59,24 +63,29 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(self.path(name))
+        """Write a table; the shuffles that led to it go as soon as it is there."""
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(self.path(name))
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, *names: str, release: bool = True) -> None:
-        """Delete tables that nothing reads any more, and have Spark clean the shuffles of finished steps."""
-        jvm = self.spark._jvm
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-        if release:
-            self.release()
-
-    def release(self) -> None:
-        """Have the driver notice which shuffles nothing refers to; it takes a second collection to reach them all."""
-        for _ in range(3):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.3)
+
+    def close(self) -> None:
+        """Delete all tables, when the result has been used."""
+        self.drop("")
+
+
+def text_key(text: Column) -> Column:
+    """64 bits of a text's SHA-256, by which rows that repeat an id are told apart."""
+    return F.xxhash64(F.sha2(text, 256))
 
 
 def rekeyed(key: Column) -> Column:

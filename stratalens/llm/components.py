@@ -21,28 +21,30 @@ def connected_components(edges: DataFrame, space: Workspace, name: str) -> DataF
     """edges (a, b long) without loops; returns (id, component), the least id of those that links reach.
 
     Alternates the two star operations: each node links its larger neighbours to the least node near it, then its
-    smaller ones.  Rounds go with the logarithm of the longest path; each is written, which cuts the lineage.  Ids
-    that are null take no part; an empty table gives an empty result.
+    smaller ones.  Rounds go with the logarithm of the longest path; each is written, which cuts the lineage.  They end
+    when all edges are stars: no node has two edges down, and none that has one has another below it.  Ids that are
+    null take no part; an empty table gives an empty result.
     """
     now = space.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
-    sign = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
-    before, turn = sign(now), 0
-    while before[0]:
+    turn = 0
+    while not _stars(now):
         turn += 1
         sym = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _minima(sym, F.least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         small = _minima(large.filter("v < u"), lambda m, w: F.col(m))
         nxt = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         nxt = space.write(nxt, f"{name}-{turn}")
-        space.drop(f"{name}-{turn - 1}", release=False)
-        now, after = nxt, sign(nxt)
-        if after == before:
-            break
-        before = after
+        space.drop(f"{name}-{turn - 1}")
+        now = nxt
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _stars(edges: DataFrame) -> bool:
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or down = 1 and up = 1").isEmpty()
+
+
 def forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Of the links, those that join what earlier ones left apart."""
     root: dict[int, int] = {}
