@@ -10,8 +10,8 @@ regions and regions with one anchor come out side by side, and there all repeats
 
 from __future__ import annotations
 
-import bisect
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import partial
 
@@ -20,14 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import Workspace, on_group, rekeyed
+from stratalens.llm.common import Workspace, on_group, rekeyed, text_key
 from stratalens.llm.tokens import in_batches
 
 LENGTH, GRAM = 100, 40
 #: Suffix bytes that a task sorts at once, and those of a range of keys on average.
 RUN_BYTES, RANGE_BYTES = 24 << 20, 8 << 20
-#: One of so many anchors carries its first bytes, from which the ranges are cut.
-SAMPLED = 16
+#: Ranges at most; beyond that they grow.
+RANGES = 1 << 17
+#: One of so many anchors carries its key; of those at most about so many, and so many for a range, tell the cuts.
+SAMPLED, SAMPLE, SAMPLE_OF_RANGE = 64, 400_000, 32
+#: Regions whose strings are compared together, if no gram has more.
+TOGETHER = 20_000
 #: Window starts that are looked at together.
 SPAN = 1 << 20
 
@@ -90,29 +94,28 @@ def _keys(batches: Iterator[pa.RecordBatch], more: tuple[str, ...] = ()) -> Iter
             yield row[0], row[1], (row[2].as_py() or "").encode("utf-8", "replace"), *row[3:]
 
 
-def _prefix(data: bytes) -> int:
-    """The first 8 bytes as a signed number in the order of the bytes."""
-    return int.from_bytes(data[:8].ljust(8, b"\0"), "big") - (1 << 63)
-
-
-def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int, sampled: int) -> Iterator[pa.RecordBatch]:
     for rows in in_batches(_keys(batches, ("row",)), 2):
         texts = [r[2] for r in rows]
         keys = np.array([r[3] for r in rows], np.int64)
-        for owner, anchor, _, _, hashes in regions(texts, length, gram):
-            sampled = ((hashes ^ keys[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(SAMPLED) == 0
-            prefix = np.zeros(len(owner), np.int64)
-            for i in np.flatnonzero(sampled).tolist():
-                prefix[i] = _prefix(texts[owner[i]][anchor[i] : anchor[i] + 8])
+        for owner, anchor, first, last, hashes in regions(texts, length, gram):
+            chosen = ((hashes ^ keys[owner].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(sampled) == 0
+            shown: list[bytes | None] = [None] * len(owner)
+            for i in np.flatnonzero(chosen).tolist():
+                shown[i] = _key(texts[owner[i]], int(anchor[i]), int(first[i]), int(last[i]) + length)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64)), pa.array(keys[owner]), pa.array(anchor, pa.int64()), pa.array(prefix, pa.int64(), mask=~sampled)],
-                ["h", "row", "at", "prefix"],
+                [pa.array(hashes.view(np.int64)), pa.array(keys[owner]), pa.array(anchor, pa.int64()), pa.array(shown, pa.binary())],
+                ["h", "row", "at", "key"],
             )
 
 
-# An item of a run: (key, right, doc, version, at, windows).  The key is the suffix from the anchor, and backwards what is
-# left of it; right is the length of the first part; version is a hash of the text, for rows that repeat an id; at is the
-# place of the first window.
+def _key(text: bytes, anchor: int, begin: int, end: int) -> bytes:
+    """The suffix from the anchor to the end of its region, and backwards what the region has left of it."""
+    return text[anchor:end] + text[begin:anchor][::-1]
+
+
+# An item of a run: (key, right, doc, version, at, windows).  Right is the length of the key's first part; version is a
+# hash of the text, for rows that repeat an id; at is the place of the first window.
 
 
 def shared_lengths(keys: list[bytes]) -> np.ndarray:
@@ -262,127 +265,124 @@ def merged(runs: list[Run]) -> Iterator[tuple[int, tuple]]:
             node //= 2
 
 
-def window_repeats(classes: list[tuple], length: int) -> list[tuple]:
-    """(doc, version, at, windows) of strings of `length` bytes that an earlier region of the same anchor has."""
-    seen: set[bytes] = set()
-    out = []
-    for key, right, doc, version, at, windows in sorted(classes, key=lambda x: x[2:5]):
-        text = key[right:][::-1] + key[:right]
-        begin = None
-        for i in range(windows):
-            w = text[i : i + length]
-            if w in seen:
-                begin = i if begin is None else begin
-            else:
-                seen.add(w)
-                if begin is not None:
-                    out.append((doc, version, at + begin, i - begin))
-                    begin = None
-        if begin is not None:
-            out.append((doc, version, at + begin, windows - begin))
-    return out
-
-
-def _runs(batches: Iterator[pa.RecordBatch], cuts: list[int], length: int, gram: int, run_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Sorted runs of the wanted suffixes, a front-coded piece for each range of keys.
-
-    Cuts that are equal hold a prefix with more keys than a range should have: its pieces go to one of the ranges
-    between them in turn, and `hot` tells that these ranges hold only a part of what has the prefix.
+def window_repeats(items: list[tuple], shares: list[int], cuts: list[bytes], near: list[bytes], length: int, gram: int) -> tuple[np.ndarray, list[tuple]]:
+    """items in order of their keys, with what each shares with the one before: (doc, version, at, windows) of the windows
+    that equal one at an earlier place, and (cut, offset, left, doc, version, at) of the first of each kind whose part
+    from the anchor on a cut shares that this range is `near`: others may lie beyond it.
     """
+    right, doc, version, at, windows = (np.array([x[i] for x in items], np.int64) for i in range(1, 6))
+    left = np.array([len(x[0]) for x in items], np.int64) - right
+    behind = [x[0][x[1] :] for x in items]
+    back = sorted(range(len(items)), key=behind.__getitem__)
+    shared_back = shared_lengths([behind[i] for i in back])
+    share = np.array(shares, np.int64)
+    open_from = np.array([max((common(x[0], c, 0) for c in near if c[:gram] == x[0][:gram]), default=0) for x in items]) if near else np.zeros(len(items), np.int64)
+    anchor = at + left
+    order = np.lexsort((anchor, version, doc))
+    new = np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(version[order]) != 0) | (np.diff(anchor[order]) != 0)])
+    place = np.cumsum(new)
+    back_at = np.empty(len(items), np.int64)
+    back_at[back] = np.arange(len(items))
+    back_at = back_at[order]
+    lo, hi, open_from = (left - windows + 1)[order], left[order], open_from[order]
+    most = length - gram
+    again = np.zeros((len(items), most + 3), bool)
+    going: list[tuple] = []
+    for x in range(most + 1):
+        i = np.flatnonzero((lo <= x) & (x <= hi))
+        if not len(i):
+            continue
+        kind = np.cumsum(share < length - x)[order[i]] * len(items) + np.cumsum(shared_back < x)[back_at[i]]
+        _, first, inverse = np.unique(kind, return_index=True, return_inverse=True)
+        again[i, most + 1 - x] = place[i] != place[i[first]][inverse]
+        for k in i[first][open_from[i[first]] >= length - x].tolist():
+            key, r, d, v, a, _ = items[order[k]]
+            going.append((bisect_left(cuts, key[: length - x]), x, key[r : r + x], d, v, a + len(key) - r - x))
+    edge = np.diff(again.astype(np.int8), axis=1)
+    row, begin = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1]
+    i = order[row]
+    return np.stack([doc[i], version[i], anchor[i] - most + begin, end - begin], axis=1), going
+
+
+def _runs(batches: Iterator[pa.RecordBatch], cuts, length: int, gram: int, run_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Sorted runs of the wanted suffixes, a front-coded piece for each range of keys."""
     held: list[tuple] = []
-    size = turn = 0
+    size, limits = 0, cuts.value[0]
 
     def pieces():
         held.sort()
         at = 0
         out = []
         while at < len(held):
-            p = _prefix(held[at][0])
-            a, b = bisect.bisect_left(cuts, p), bisect.bisect_right(cuts, p)
-            hot = b - a > 1
-            if hot:
-                end = bisect.bisect_right(held, p, at, key=lambda x: _prefix(x[0]))
-            else:
-                end = bisect.bisect_left(held, cuts[b], at, key=lambda x: _prefix(x[0])) if b < len(cuts) else len(held)
-                if b < len(cuts) and end == at:
-                    end = len(held)
-            kept, repeats = collapsed(held[at:end])
-            out.append((a + (turn + 17 * _partition()) % (b - a) if hot else b, hot, pack_run(kept, repeats)))
+            b = bisect_right(limits, held[at][0])
+            end = bisect_left(held, limits[b], at, key=lambda x: x[0]) if b < len(limits) else len(held)
+            out.append((b, pack_run(*collapsed(held[at:end]))))
             at = end
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.binary())], ["range", "hot", "run"])
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["range", "run"])
 
     for rows in in_batches(_keys(batches, ("places",)), 2):
         texts = [r[2] for r in rows]
-        wanted = [set(r[3]) for r in rows]
+        wanted = np.sort(np.concatenate([np.array(r[3], np.int64) + (i << 40) for i, r in enumerate(rows)]))
         for owner, anchor, first, last, _ in regions(texts, length, gram):
-            for o, a, s, e in zip(owner.tolist(), anchor.tolist(), first.tolist(), last.tolist(), strict=True):
-                if a in wanted[o]:
-                    t = texts[o]
-                    key = t[a : e + length] + t[s:a][::-1]
-                    held.append((key, e + length - a, rows[o][0], rows[o][1], s, e - s + 1))
-                    size += len(key)
+            code = anchor + (owner << 40)
+            kept = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)] == code)
+            for o, a, s, e in zip(owner[kept].tolist(), anchor[kept].tolist(), first[kept].tolist(), last[kept].tolist(), strict=True):
+                key = _key(texts[o], a, s, e + length)
+                held.append((key, e + length - a, rows[o][0], rows[o][1], s, e - s + 1))
+                size += len(key)
             if size >= run_bytes:
                 yield pieces()
-                held, size, turn = [], 0, turn + 1
+                held, size = [], 0
     if held:
         yield pieces()
 
 
-def _partition() -> int:
-    from pyspark import TaskContext
-
-    context = TaskContext.get()
-    return context.partitionId() if context else 0
-
-
-def _merge(table: pa.Table, length: int, gram: int) -> pa.Table:
-    """Repeats as (doc, version, at, windows); of a hot prefix the windows that are left, as (doc, version, at, 0, hash)."""
+def _merge(table: pa.Table, cuts, length: int, gram: int) -> pa.Table:
+    """Repeats as (doc, version, at, windows), and windows that others in the next ranges may equal, with windows 0."""
     runs = [Run(x.as_py()) for x in table.column("run")]
-    hot = table.column("hot")[0].as_py()
-    out: list[tuple] = []
-    left: list[tuple] = []
-    group: list[tuple] = []
-    same: list[tuple] = []
-
-    def end_same():
-        for right in {x[1] for x in same}:
-            first, *others = sorted((x for x in same if x[1] == right), key=lambda x: x[2:5])
-            group.append(first)
-            out.extend(x[2:] for x in others if x[2:] != first[2:])
-        same.clear()
-
-    def end_group():
-        end_same()
-        if hot:
-            for key, right, doc, version, at, windows in group:
-                text = key[right:][::-1] + key[:right]
-                hashes = [int.from_bytes(hashlib.blake2b(text[i : i + length], digest_size=8).digest(), "little", signed=True) for i in range(windows)]
-                left.extend((doc, version, at + i, h) for i, h in enumerate(hashes))
-        elif len(group) > 1:
-            out.extend(window_repeats(group, length))
-        group.clear()
-
-    before = 0
+    at = table.column("range")[0].as_py()
+    limits, inner = cuts.value
+    near = [limits[i] for i in (at - 1, at) if 0 <= i < len(limits) and inner[i]]
+    found = [np.zeros((0, 4), np.int64), *(r.repeats for r in runs if len(r.repeats))]
+    going: list[tuple] = []
+    items: list[tuple] = []
+    shares: list[int] = []
+
+    def end():
+        rows, more = window_repeats(items, shares, limits, near, length, gram)
+        found.append(rows)
+        going.extend(more)
+        items.clear()
+        shares.clear()
+
     for share, item in merged(runs):
-        if share < gram:
-            end_group()
-        elif share < before or share < len(item[0]):
-            end_same()
-        same.append(item)
-        before = len(item[0])
-    end_group()
-    arrays = [np.array(out, np.int64).reshape(-1, 4), *(r.repeats for r in runs if len(r.repeats))]
-    rows = np.concatenate(arrays)
-    extra = np.array(left, np.int64).reshape(-1, 4)
+        if share < gram and len(items) >= TOGETHER:
+            end()
+        items.append(item)
+        shares.append(share)
+    if items:
+        end()
+    rows = np.concatenate(found)
+    none = len(rows)
+    column = lambda i, j: np.concatenate([rows[:, i], np.array([x[j] for x in going], np.int64)])
     return pa.table({
-        "doc": np.concatenate([rows[:, 0], extra[:, 0]]),
-        "version": np.concatenate([rows[:, 1], extra[:, 1]]),
-        "at": np.concatenate([rows[:, 2], extra[:, 2]]),
-        "windows": np.concatenate([rows[:, 3], np.zeros(len(extra), np.int64)]),
-        "h": pa.array(np.concatenate([np.zeros(len(rows), np.int64), extra[:, 3]]), pa.int64(), mask=np.arange(len(rows) + len(extra)) < len(rows)),
+        "doc": column(0, 3), "version": column(1, 4), "at": column(2, 5), "windows": np.concatenate([rows[:, 3], np.zeros(len(going), np.int64)]),
+        "cut": pa.array([None] * none + [x[0] for x in going], pa.int32()), "x": pa.array([None] * none + [x[1] for x in going], pa.int32()), "behind": pa.array([None] * none + [x[2] for x in going], pa.binary()),
     })
 
 
+def cut_points(sample: list[bytes], n: int, gram: int) -> tuple[list[bytes], list[bool]]:
+    """Keys that cut all into about n ranges, and which of them lie inside a gram: only where it fills whole ranges."""
+    sample = sorted(sample)
+    points = [sample[i * len(sample) // n] for i in range(1, n)] if sample else []
+    count: dict[bytes, int] = {}
+    for p in points:
+        count[p[:gram]] = count.get(p[:gram], 0) + 1
+    cuts = {p[:gram]: False for p in points} | {p: True for p in points if count[p[:gram]] > 1 and len(p) > gram}
+    return sorted(cuts), [cuts[p] for p in sorted(cuts)]
+
+
 def removed_spans(places: list[tuple[int, int]], length: int) -> list[list[int]]:
     """[begin, end) of what the windows cover, in order and apart."""
     out: list[list[int]] = []
@@ -412,50 +412,54 @@ def _report(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeats(docs: DataFrame, space: Workspace, *, length: int = LENGTH, gram: int = GRAM, run_bytes: int = RUN_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def repeats(
+    docs: DataFrame, space: Workspace, *, length: int = LENGTH, gram: int = GRAM, run_bytes: int = RUN_BYTES, range_bytes: int = RANGE_BYTES, sampled: int = SAMPLED
+) -> DataFrame:
     """docs (doc, version, text): (doc, version, ats, windows), the repeated strings of each text that has any.
 
     Anchors carry one key for a document and its version.  Should two have the same, more of their suffixes are sorted,
-    with the same result: what repeats is told by the document and its version themselves.
+    with the same result: what repeats is told by the document and its version themselves.  The driver gets a sample
+    of keys, of bounded number and length.
     """
     docs = docs.withColumn("row", F.xxhash64("doc", "version"))
-    anchors = space.write(docs.mapInArrow(partial(_anchors, length=length, gram=gram), "h long, row long, at long, prefix long"), "anchors")
+    anchors = space.write(docs.mapInArrow(partial(_anchors, length=length, gram=gram, sampled=sampled), "h long, row long, at long, key binary"), "anchors")
     twice = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select(rekeyed(F.col("h")).alias("k"))
-    wanted = anchors.withColumn("k", rekeyed(F.col("h"))).join(twice.hint("merge"), "k").select("row", "at", "prefix")
+    wanted = anchors.withColumn("k", rekeyed(F.col("h"))).join(twice.hint("merge"), "k").select("row", "at", "key")
     wanted = space.write(wanted, "wanted")
     space.drop("anchors")
-    n = max(1, wanted.count() * 130 // range_bytes)
-    cuts: list[int] = []
-    if n > 1:
-        got = wanted.agg(F.percentile_approx("prefix", [i / n for i in range(1, n)], 20 * n)).first()[0]
-        cuts = sorted(got or [])
-    by_row = wanted.groupBy("row").agg(F.collect_list("at").alias("places"))
+    total = wanted.count()
+    n = max(1, min(RANGES, total * 130 // range_bytes))
+    part = min(1.0, min(SAMPLE, SAMPLE_OF_RANGE * n) / max(1, total / sampled))
+    shown = wanted.filter(F.col("key").isNotNull() & (F.pmod(F.xxhash64("row", "at"), F.lit(1 << 20)) < int(part * (1 << 20)))).select("key")
+    cuts = docs.sparkSession.sparkContext.broadcast(cut_points([bytes(r.key) for r in shown.collect()], n, gram) if n > 1 else ([], []))
+    by_row = wanted.groupBy("row").agg(F.collect_set("at").alias("places"))  # rows that repeat an id and a text have the same
     runs = docs.join(by_row.hint("merge"), "row").select("doc", "version", "text", "places")
-    runs = runs.mapInArrow(partial(_runs, cuts=cuts, length=length, gram=gram, run_bytes=run_bytes), "range int, hot boolean, run binary")
-    found = runs.groupBy("range", "hot").applyInArrow(on_group(_merge, length=length, gram=gram), "doc long, version long, at long, windows long, h long")
+    runs = runs.mapInArrow(partial(_runs, cuts=cuts, length=length, gram=gram, run_bytes=run_bytes), "range int, run binary")
+    found = runs.groupBy("range").applyInArrow(on_group(_merge, cuts=cuts, length=length, gram=gram), "doc long, version long, at long, windows long, cut int, x int, behind binary")
     found = space.write(found, "found")
     space.drop("wanted")
     place = F.struct("doc", "version", "at")
-    left = found.filter("h is not null").select("h", "doc", "version", "at")
-    first = left.groupBy("h").agg(F.min(place).alias("first")).select(rekeyed(F.col("h")).alias("k"), "first")
-    again = left.withColumn("k", rekeyed(F.col("h"))).join(first.hint("merge"), "k").filter(place != F.col("first")).select("doc", "version", "at", F.lit(1).cast("long").alias("windows"))
-    every = found.filter("h is null").select("doc", "version", "at", "windows").unionByName(again)
+    going = found.filter("windows = 0").select("cut", "x", "behind", "doc", "version", "at")
+    first = going.groupBy("cut", "x", "behind").agg(F.min(place).alias("first"))
+    again = going.join(first.hint("merge"), ["cut", "x", "behind"]).filter(place != F.col("first")).select("doc", "version", "at", F.lit(1).cast("long").alias("windows"))
+    every = found.filter("windows > 0").select("doc", "version", "at", "windows").unionByName(again)
     return every.groupBy("doc", "version").agg(F.collect_list(F.struct("at", "windows")).alias("p")).select("doc", "version", F.col("p.at").alias("ats"), F.col("p.windows").alias("windows"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("doc"), text_key(text).alias("version"), text.alias("text"))
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256, when each byte goes that a string of
     `length` bytes covers which also starts earlier: in a document of smaller id, or earlier in the same one.
 
-    Texts are judged as they came in, as UTF-8.  A null or empty text has no bytes.  Documents without an id come last.
-    Rows that repeat an id and a text are one document, each with the same result; rows that repeat only the id are
-    ordered by a hash of their texts.  Other columns are dropped; an empty table gives an empty result.
+    Texts are judged as they came in, as UTF-8, the longest in bounded parts.  A null or empty text has no bytes.
+    Documents without an id come last.  Rows that repeat an id and a text are one document, each with the same result;
+    rows that repeat only the id are told apart and ordered by a 64-bit hash of their texts' SHA-256.  Other columns
+    are dropped, whatever their names; an empty table gives an empty result.
     """
     space = Workspace(docs.sparkSession, "suffixes")
     keyed = _keyed(docs, id_col, text_col)
