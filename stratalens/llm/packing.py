@@ -1,8 +1,8 @@
 """Packing documents into sequences of bounded length by hierarchical best fit.
 
 Each partition of the scan encodes its documents, cuts long ones, and packs the pieces best-fit decreasing.  Sequences
-that are nearly full are final.  The others become items of the next round, in which fewer tasks pack them again best
-fit, until they fit one task or a round no longer merges any.
+that are nearly full are final, and so are those that the shortest of the others doesn't fit into.  The rest become
+items of the next round, in which fewer tasks pack them again best fit, until one task has packed all that was left.
 """
 
 from __future__ import annotations
@@ -17,14 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.llm.common import Workspace
-from stratalens.llm.tokens import Encoder, cached, in_batches, rows_of, spliced
+from stratalens.llm.tokens import LONG_CHARS, Encoder, cached, in_batches, rows_of
 
 #: A sequence with no more room than this is final.
 SLACK = 4
 #: Items that one task packs in the rounds after the first.
 ROUND_ITEMS = 100_000
-#: Documents beyond this many characters are encoded in overlapping chunks.
-LONG_CHARS = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, bin_length long"
 
 
@@ -77,8 +75,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
         for i, (doc_id, text) in enumerate(rows):
             ids = got.get(i)
             if ids is None:
-                found = (x for p in spliced(enc.library, text) for x in p) if len(text) >= long_chars else enc.library.encode(text, add_special_tokens=False).ids
-                ids = np.fromiter(found, np.uint32)
+                ids = np.fromiter((x for p in enc.spliced(text) for x in p), np.uint32) if len(text) >= long_chars else enc.ids(text)
             ids = np.append(ids, end_id).astype("<u4")
             for k, (at, n) in enumerate(cut(len(ids), capacity)):
                 ids_in.append(doc_id)
@@ -111,36 +108,49 @@ def _merge(batches: Iterator[pa.RecordBatch], capacity: int, turn: int) -> Itera
         )
 
 
+def _joinable(items: DataFrame, capacity: int, slack: int) -> tuple[int, int]:
+    """The length up to which sequences may still take the shortest one, and how many there are.
+
+    The driver gets a count for each length, `capacity` rows at most."""
+    counts = {n: k for n, k in items.filter(F.col("bin_length") < capacity - slack).groupBy("bin_length").agg(F.count("*")).collect()}
+    most = min(capacity - slack - 1, capacity - min(counts, default=capacity))
+    return most, sum(k for n, k in counts.items() if n <= most)
+
+
 def pack(
     docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, slack: int = SLACK, round_items: int = ROUND_ITEMS
 ) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset.
 
-    A null or empty text is the end id alone.  A null id stays null, repeated rows are packed each, other columns are
-    dropped, an empty table gives an empty result.  Sequences are gapless from 0 and hold at most `capacity` ids.
-    Pieces don't move for packing; only unfinished sequences, a row each, go to the next round.
+    A null or empty text is the end id alone; a very long one is encoded from chunks and cut.  A null id stays null,
+    repeated rows are packed each, other columns are dropped, whatever their names, an empty table gives an empty
+    result.  Sequences are gapless from 0 and hold at most `capacity` ids.  Pieces don't move for packing; only
+    unfinished sequences, a row each, go to the next round.
     """
     space = Workspace(docs.sparkSession, "packing")
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     packed = space.write(rows.mapInArrow(partial(_pieces, path=tokenizer, capacity=capacity, end_id=end_id, long_chars=LONG_CHARS), PIECES), "pieces")
-    unfinished = lambda df, n: df.filter(F.col(n) < capacity - slack)
-    items = unfinished(packed.filter("offset = 0"), "bin_length").select("bin", "bin_length")
-    moved, turn, left = None, 1, items.count()
+    items = packed.filter("offset = 0").select("bin", "bin_length")
+    most, left = _joinable(items, capacity, slack)
+    moved, turn, tasks = None, 1, -(-left // round_items)
     while left > 1:
-        tasks = -(-left // round_items)
-        merged = items.repartition(tasks, F.xxhash64(F.lit(turn), "bin")).mapInArrow(partial(_merge, capacity=capacity, turn=turn), "bin long, into long, shift long, into_length long")
+        taken = items.filter(F.col("bin_length") <= most)
+        merged = taken.repartition(tasks, F.xxhash64(F.lit(turn), "bin")).mapInArrow(partial(_merge, capacity=capacity, turn=turn), "bin long, into long, shift long, into_length long")
         merged = space.write(merged, f"round-{turn}")
         step = merged.select("bin", "into", "shift")
         if moved is None:
             moved = step
         else:
             on = step.select(F.col("bin").alias("into"), F.col("into").alias("next"), F.col("shift").alias("more"))
-            moved = moved.join(on, "into", "left").select("bin", F.coalesce("next", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
+            moved = moved.join(on.hint("merge"), "into", "left").select("bin", F.coalesce("next", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
             moved = space.write(moved, f"moved-{turn}")
-        items = unfinished(merged.filter("shift = 0"), "into_length").select(F.col("into").alias("bin"), F.col("into_length").alias("bin_length"))
-        before, left = left, items.count()
-        if tasks == 1 or left > 0.95 * before:
+        if tasks == 1:
             break
+        items = merged.filter("shift = 0").select(F.col("into").alias("bin"), F.col("into_length").alias("bin_length"))
+        before = left
+        most, left = _joinable(items, capacity, slack)
+        # Where a round merges few, more of them must meet in one task.
+        tasks = min(-(-left // round_items), tasks if left <= 0.95 * before else max(1, tasks // 4))
         turn += 1
     out = ["doc_id", "piece", "start", "length", "ids_crc32"]
     if moved is None:

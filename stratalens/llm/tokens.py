@@ -1,11 +1,13 @@
 """Token counts and ids of whole texts as a byte-level BPE tokenizer's library gives them.
 
 Huge documents are encoded in overlapping chunks and spliced where both encodings have a pre-token boundary that no
-later text can move.  Of other documents each distinct pre-token is encoded by the library once and remembered.
+later text can move.  Of other documents each distinct pre-token is encoded by the library once and remembered; what is
+remembered is compared with the text, letter by letter, before its ids are used.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import types
@@ -25,11 +27,13 @@ from stratalens.llm.common import prepare
 LONG_CHARS = 32_768
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 512
-#: Characters before the end of a chunk in which no boundary is proven stable: more than any special token has.
-MARGIN = 64
+#: The pattern looks at most so far past the end of a match.
+LOOK_AHEAD = 3
 BATCH_CHARS = 1 << 19
-#: Distinct pre-tokens that are remembered at once; then the memory is emptied and filled anew.
-REMEMBERED = 1_500_000
+#: Distinct pre-tokens, and characters of them, that are remembered at once; then the memory is emptied and filled anew.
+REMEMBERED, REMEMBERED_CHARS = 1_500_000, 1 << 25
+#: A text with a longer pre-token goes to the library whole.
+LONGEST = 128
 SPACE, LETTER, NUMBER, OTHER, END, UNSURE = 1, 2, 3, 4, 0, 255
 
 
@@ -74,21 +78,32 @@ def pretoken_starts(points: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """The library's tokenizer with a memory of pre-tokens; `end` is put after each text's ids."""
+    """The library's tokenizer with a memory of pre-tokens, and what splicing may rely on.
+
+    `known` tells whether the file has no normaliser and splits by the byte-level pattern alone, which pre-tokens and
+    stable boundaries are derived from; with any other file each text goes to the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.library.no_truncation()
+        self.library.no_padding()
+        added = self.library.get_added_tokens_decoder().values()
+        self.specials = [t.content for t in added]
+        self.known = _is_byte_level(json.loads(self.library.to_str())) and not any(t.lstrip or t.rstrip or t.single_word for t in added)
+        #: Characters before the end of a chunk in which a longer match or a special token may still reach over a boundary.
+        self.margin = max([LOOK_AHEAD, *map(len, self.specials)]) + 1
         self.forget()
 
     def forget(self) -> None:
-        """Keys in order with their rows; by row the count of ids and their place in `flat`."""
+        """Keys in order with their rows; by row the count of ids and their place in `flat`, and the pre-token itself."""
         self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.counts, self.at = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.flat, self.used, self.n = np.zeros(1 << 14, np.uint32), 0, 0
+        self.counts, self.at, self.sizes, self.spelt = (np.zeros(1 << 12, np.int64) for _ in range(4))
+        self.flat, self.letters = np.zeros(1 << 14, np.uint32), np.zeros(1 << 14, np.uint16)
+        self.used = self.written = self.n = 0
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         if not self.n:
@@ -99,21 +114,23 @@ class Encoder:
     def _remember(self, keys: np.ndarray, words: list[str]) -> None:
         """keys: in order, none known."""
         ids = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        while self.n + len(ids) > len(self.counts):
-            self.counts, self.at = np.resize(self.counts, 2 * len(self.counts)), np.resize(self.at, 2 * len(self.at))
-        total = int(sizes.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.counts[self.n : self.n + len(ids)] = sizes
-        self.at[self.n : self.n + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        letters = np.frombuffer("".join(words).encode("utf-16-le"), np.uint16)
+        counts, sizes = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids, words))
+        new = slice(self.n, self.n + len(ids))
+        for name, end in (("counts", new.stop), ("at", new.stop), ("sizes", new.stop), ("spelt", new.stop), ("flat", self.used + int(counts.sum())), ("letters", self.written + len(letters))):
+            while end > len(held := getattr(self, name)):
+                setattr(self, name, np.resize(held, 2 * len(held)))
+        self.counts[new], self.at[new] = counts, self.used + np.cumsum(counts) - counts
+        self.sizes[new], self.spelt[new] = sizes, self.written + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + int(counts.sum())] = np.fromiter(chain.from_iterable(ids), np.uint32)
+        self.letters[self.written : self.written + len(letters)] = letters
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.rows = np.insert(self.keys, at, keys), np.insert(self.rows, at, np.arange(self.n, self.n + len(ids)))
-        self.used, self.n = self.used + total, self.n + len(ids)
+        self.keys, self.rows = np.insert(self.keys, at, keys), np.insert(self.rows, at, np.arange(new.start, new.stop))
+        self.used, self.written, self.n = self.used + int(counts.sum()), self.written + len(letters), new.stop
 
-    def _memo(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows of the texts' pre-tokens, and each text's first and one past its last; the END mark stands last."""
+    def _memo(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the texts' pre-tokens; each text's first and one past its last; and which texts have a pre-token that is
+        too long or not the one that is remembered under its key.  The END mark stands after each text."""
         joined = "\U0010ffff".join(texts) + "\U0010ffff" * 3
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         known = np.minimum(points, 0x206F)
@@ -124,25 +141,38 @@ class Encoder:
         place = np.arange(len(points)) - np.repeat(starts, sizes)
         powers = np.cumprod(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
         value = _random()[known]
-        value[classes == END] = 0
         value *= powers[place]
         keys = np.add.reduceat(value, starts)
         keys ^= keys >> np.uint64(29)
-        unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if self.n + len(unique) > REMEMBERED:
+        mark, long = classes[starts] == END, sizes > LONGEST
+        marks = np.flatnonzero(mark)[: len(texts)]
+        words = np.flatnonzero(~mark & ~long)
+        rows = np.full(len(starts), -1)
+        unique, first, inverse = np.unique(keys[words], return_index=True, return_inverse=True)
+        if self.n + len(unique) > REMEMBERED or self.written + len(joined) > REMEMBERED_CHARS:
             self.forget()
-        rows = self._find(unique)
-        missing = np.flatnonzero((rows < 0) & (unique != 0))
+        found = self._find(unique)
+        missing = np.flatnonzero(found < 0)
         if len(missing):
-            at = first[missing]
+            at = words[first[missing]]
             self._remember(unique[missing], [joined[a:b] for a, b in zip(starts[at].tolist(), (starts[at] + sizes[at]).tolist(), strict=True)])
-            rows[missing] = np.arange(self.n - len(missing), self.n)
-        rows = rows[inverse]
-        marks = np.flatnonzero(keys == 0)[: len(texts)]
-        return rows, np.concatenate([[0], marks[:-1] + 1]), marks
+            found[missing] = np.arange(self.n - len(missing), self.n)
+        rows[words] = found[inverse]
+        same = rows >= 0
+        same[same] = self.sizes[rows[same]] == sizes[same]
+        spelt = np.repeat(np.where(same, self.spelt[rows], 0) - starts, sizes) + np.arange(len(points))
+        unlike = np.flatnonzero((np.take(self.letters, spelt, mode="clip") != known) & np.repeat(same, sizes))
+        same[np.searchsorted(starts, unlike, "right") - 1] = False
+        bad = ~mark & ~same
+        bad_texts = np.zeros(len(texts), bool)
+        bad_texts[np.searchsorted(marks, np.flatnonzero(bad))] = True
+        rows[bad] = -1
+        return rows, np.concatenate([[0], marks[:-1] + 1]), marks, bad_texts
 
     def sure(self, text: str) -> bool:
         """Whether the pre-tokens of a text can be told here."""
+        if not self.known:
+            return False
         if text.isascii():
             bad = any(c in text for c in "\x1c\x1d\x1e\x1f")
         else:
@@ -150,17 +180,34 @@ class Encoder:
             bad = points.max() > 0x206F or bool((_classes()[points] == UNSURE).any())
         return not bad and not any(s in text for s in self.specials)
 
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def counts_of(self, texts: list[str]) -> list[int]:
-        rows, first, last = self._memo(texts, None)
+        rows, first, last, bad = self._memo(texts)
         total = np.concatenate([[0], np.cumsum(np.where(rows < 0, 0, self.counts[rows]))])
-        return (total[last] - total[first]).tolist()
+        out = (total[last] - total[first]).tolist()
+        for i in np.flatnonzero(bad).tolist():
+            out[i] = len(self.ids(texts[i]))
+        return out
 
     def ids_of(self, texts: list[str]) -> list[np.ndarray]:
-        rows, first, last = self._memo(texts, None)
+        rows, first, last, bad = self._memo(texts)
         counts = np.where(rows < 0, 0, self.counts[rows])
         total = np.concatenate([[0], np.cumsum(counts)])
         ids = self.flat[np.repeat(self.at[rows] - total[:-1], counts) + np.arange(total[-1])]
-        return [ids[a:b] for a, b in zip(total[first], total[last], strict=True)]
+        return [self.ids(t) if b else ids[x:y] for t, b, x, y in zip(texts, bad.tolist(), total[first], total[last], strict=True)]
+
+    def spliced(self, text: str) -> Iterator[list[int]]:
+        """The ids of a huge text, piece by piece; whole if the tokenizer isn't known."""
+        return spliced(self.library, text, margin=self.margin) if self.known else iter([self.library.encode(text, add_special_tokens=False).ids])
+
+
+def _is_byte_level(file: dict) -> bool:
+    """Whether a tokenizer file has no normaliser, splits by the byte-level pattern alone, and merges without chance."""
+    split, model = file["pre_tokenizer"] or {}, file["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    return bool(plain and file["normalizer"] is None and model["type"] == "BPE" and not model.get("dropout"))
 
 
 def cached(kind, *key):
@@ -172,17 +219,22 @@ def cached(kind, *key):
     return held[name]
 
 
-def _boundaries(encoding, base: int) -> dict[int, int]:
-    """Where pre-tokens start, and the index of the token there."""
-    out, before = {}, object()
-    for i, (word, (at, _)) in enumerate(zip(encoding.word_ids, encoding.offsets, strict=True)):
-        if word is None or word != before:
-            out.setdefault(base + at, i)
-        before = word
+def _boundaries(encoding, base: int, low: int, high: int, backward: bool) -> dict[int, int]:
+    """Where pre-tokens start in low..high, and the index of the token there; looked for from one end of the chunk."""
+    out, n, offsets = {}, len(encoding), None
+    for i in range(n - 1, -1, -1) if backward else range(n):
+        if (chars := encoding.token_to_chars(i)) is None:
+            offsets = offsets or encoding.offsets
+            chars = offsets[i]
+        at = base + chars[0]
+        if at < low if backward else at > high:
+            break
+        if low <= at <= high and (i == 0 or (word := encoding.token_to_word(i)) is None or word != encoding.token_to_word(i - 1)):
+            out[at] = i
     return out
 
 
-def spliced(library, text: str, *, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, margin: int = MARGIN) -> Iterator[list[int]]:
+def spliced(library, text: str, *, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, margin: int = 64) -> Iterator[list[int]]:
     """The ids of a huge text, piece by piece.
 
     The pattern looks at no text before the place where it stands, so once two encodings share a boundary they agree
@@ -190,33 +242,31 @@ def spliced(library, text: str, *, chunk: int = CHUNK_CHARS, overlap: int = OVER
     and no special token can reach over it.  Where the overlap holds no common stable boundary it is doubled.
     """
     encode = partial(library.encode, add_special_tokens=False)
-    n, start, entry = len(text), 0, 0
+    n, start, entry, first = len(text), 0, 0, 0  # the left chunk counts from its token `first`, at the place `entry`
     end = min(n, chunk + overlap)
     left = encode(text[:end])
-    at = _boundaries(left, 0)
     while end < n:
-        wider, nxt = overlap, None
-        while nxt is None:
+        wider, common = overlap, {}
+        while not common:
             begin = (max(end - wider, entry) // chunk) * chunk
             begin = begin if begin > entry else entry + max(1, (end - entry) // 2)
             right_end = min(n, max(begin + chunk, end) + wider)
             right = encode(text[begin:right_end])
-            right_at = _boundaries(right, begin)
-            common = [p for p in at if entry < p <= end - margin and p in right_at]
-            if common:
-                nxt = max(common)
-            else:
+            stable = _boundaries(left, start, max(begin, entry + 1), end - margin, True)
+            common = stable and {p: i for p, i in _boundaries(right, begin, begin, end - margin, False).items() if p in stable}
+            if not common:
                 wider *= 2
                 end = min(n, end + wider)
                 left = encode(text[start:end])
-                at = _boundaries(left, start)
+                first = left.char_to_token(entry - start)
                 if end == n:
                     break
-        if nxt is None:
+        if not common:
             break
-        yield left.ids[at[entry] : at[nxt]]
-        left, at, start, entry, end = right, right_at, begin, nxt, right_end
-    yield left.ids[at[entry] :] if len(left.ids) else []
+        nxt = max(common)
+        yield left.ids[first : stable[nxt]]
+        left, start, entry, first, end = right, begin, nxt, common[nxt], right_end
+    yield left.ids[first:]
 
 
 def in_batches(rows: Iterator[tuple], text_at: int, limit: int = BATCH_CHARS) -> Iterator[list[tuple]]:
@@ -246,7 +296,7 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, limit: int, long_chars:
         short = []
         for i, (_, text) in enumerate(rows):
             if len(text) >= long_chars:
-                counts[i] = sum(map(len, spliced(enc.library, text)))
+                counts[i] = sum(map(len, enc.spliced(text)))
             elif enc.sure(text):
                 short.append(i)
             else:
@@ -263,9 +313,10 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, limit: int, long_chars:
 def token_counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, long_chars: int = LONG_CHARS) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_tokens and over_limit (more than `limit` tokens).
 
-    `tokenizer` is the path of a tokenizer file of the tokenizers library, which each executor has.  A null or empty
-    text has no bytes and no tokens; a null id stays null; repeated rows are counted each; other columns are dropped;
-    an empty table gives an empty result.  No shuffle: a map over the scan, in batches of bounded size.
+    `tokenizer` is the path of a tokenizer file of the tokenizers library, which each executor has; one that isn't
+    byte-level as assumed here encodes each text whole.  A null or empty text has no bytes and no tokens; a text of
+    `long_chars` or more is spliced from chunks; a null id stays null; repeated rows are counted each; other columns
+    are dropped, whatever their names; an empty table gives an empty result.  No shuffle: a map over the scan.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
