@@ -16,8 +16,10 @@ from stratalens.llm.common import Workspace
 
 #: A word is a run of anything but white space of ASCII.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Blocks of a source at most; windows over the blocks of one source see no more rows than these.
-BLOCKS = 4096
+#: Blocks of a source: as many as give each so many documents if the source has them all, within these bounds.
+BLOCK_DOCS, BLOCKS = 20_000, (4096, 1 << 20)
+#: Words of an output shard on average, the bounds of their number, and the parts of a shard that tasks write.
+SHARD_WORDS, SHARDS, SHARD_PARTS = 32_000_000, (16, 1 << 16), 64
 
 
 def n_words(text: Column) -> Column:
@@ -76,6 +78,8 @@ def splitting_tree(counts: DataFrame, shards: int, seed: int) -> DataFrame:
     nodes = counts.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "counts")
     width = shards
     while width > 1:
+        if width < shards and -(-shards // width) == 256:  # from here on many tasks split the nodes
+            nodes = nodes.repartition("lo")
         nodes = (
             nodes.withColumn("total", F.expr("aggregate(counts, 0L, (s, x) -> s + x)"))
             .withColumn("mid", F.expr("lo + (hi - lo) div 2").cast("int"))
@@ -128,7 +132,7 @@ def mix(
     weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     share: float = 1.5,
     most: float = 2.0,
-    shards: int = 16,
+    shards: int | None = None,
     seed: int = 20_240_607,
     whole_documents: bool = False,
 ) -> DataFrame:
@@ -137,22 +141,28 @@ def mix(
 
     Sources are taken by code point, null last, and weigh `weights` in turn.  A null text has size 0 and is never drawn.
     A document is taken in part only at the end of its source's last pass; with `whole_documents` it is then taken
-    whole or not at all, whichever is nearer.  Repeated rows are documents of their own.  An empty table gives an
-    empty result.  The draws depend on ids and `seed` alone, so reruns agree.
-
-    The summary by source (a row each) passes through one window; that by block has at most 4096 rows for a source;
-    documents meet it by an equi-join on (source, block), which spreads the largest source over all its blocks.
+    whole or not at all, whichever is nearer.  Repeated rows are documents of their own; a null id is a value like any
+    other.  Texts of any length are counted whole.  No column is added to `doc`, so clashing names don't matter.  An
+    empty table gives an empty result.  The draws depend on `seed` and on ids, texts and sources alone, ties go by the
+    other columns, so reruns agree.
+
+    The summary by source (a row each) passes through one window; that by block has a row for some thousand documents;
+    documents meet it by an equi-join on (source, block), which spreads the largest source over all its blocks, and
+    rows without an id, or with the same one, by their texts.  Only rows that repeat id, text and source share a block.
+    Blocks and, if `shards` isn't given, shards grow with the data.
     """
+    n_blocks = min(BLOCKS[1], max(BLOCKS[0], docs.count() // BLOCK_DOCS))
     skey = F.when(F.col(source_col).isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), F.col(source_col)))
     base = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)]).alias("doc"),
         n_words(F.col(text_col)).alias("size"),
         skey.alias("skey"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(BLOCKS)).cast("int").alias("block"),
-        F.xxhash64(F.lit(seed + 1), F.col(id_col)).alias("place"),
-    )
+        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("place"),
+        F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c, t in docs.dtypes if c in (keep or docs.columns) and c != text_col and "map<" not in t]).alias("tie"),
+    ).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "place"), F.lit(n_blocks)).cast("int"))
     # Written, as the summary is read several times and each reading would count the words of all texts again.
     blocks = Workspace(docs.sparkSession, "mixing").write(base.groupBy("skey", "block").agg(F.sum("size").alias("words")), "blocks")
+    shards = shards or min(SHARDS[1], max(SHARDS[0], int(share * (blocks.agg(F.sum("words")).first()[0] or 0)) // SHARD_WORDS))
     sources = source_targets(blocks.groupBy("skey").agg(F.sum("words").alias("source_size")), weights, share, most)
     in_order = Window.partitionBy("skey").orderBy(F.xxhash64(F.lit(seed + 2), "skey", "block"), "block")
     blocks = (
@@ -190,7 +200,7 @@ def mix(
         .agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"))
     )
     plan = blocks.select("skey", "block", "source_size", "target", "passes", "words", "last").join(drawn.hint("merge"), ["skey", "block"], "left")
-    within = Window.partitionBy("skey", "block").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("skey", "block").orderBy("place", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = F.when(F.col("upto") - F.col("size") / 2 <= F.col("last"), F.col("size")).otherwise(F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("last") - (F.col("upto") - F.col("size"))))
     return (
@@ -215,13 +225,15 @@ def mix(
     )
 
 
-def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", seed: int = 20_240_607, **options) -> DataFrame:
-    """The mix itself: the columns of `docs`, a row for each copy taken whole, grouped by shard and shuffled in it."""
-    mixed = mix(docs, id_col=id_col, seed=seed, whole_documents=True, **options)
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 20_240_607, **options) -> DataFrame:
+    """The mix itself: the columns of `docs`, a row for each copy taken whole, grouped by shard and shuffled in it.
+
+    A document without words has nothing to be drawn and isn't in the mix; for the rest see `mix`."""
+    mixed = mix(docs, id_col=id_col, text_col=text_col, seed=seed, whole_documents=True, **options)
     return (
         mixed.select("doc", F.explode("draws").alias("d"))
-        .withColumn("order", F.xxhash64(F.lit(seed + 5), F.col("doc")[id_col], "d.pass"))
-        .repartition("d.shard", F.pmod("order", F.lit(64)))
+        .withColumn("order", F.xxhash64(F.lit(seed + 5), F.col("doc")[id_col], F.col("doc")[text_col], "d.pass"))
+        .repartition("d.shard", F.pmod("order", F.lit(SHARD_PARTS)))
         .sortWithinPartitions("d.shard", "order")
         .select("doc.*")
     )
