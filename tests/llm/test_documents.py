@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -102,6 +103,16 @@ def test_mixing_takes_what_targets_say(docs):
     assert Counter((r.doc_id, r["size"], r.taken) for r in got) == Counter((r.doc_id, r["size"], r.taken) for r in again)
 
 
+def test_mixing_spreads_rows_of_one_id_and_reruns_agree(spark):
+    """Rows without an id, with one id, and rows that share even the text but not the rest."""
+    r = random.Random(3)
+    rows = [(None if i % 2 else 7, " ".join("w" * r.randint(1, 30)), "a", i) for i in range(2000)] + [(1, "one two three", "a", i) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, other int")
+    got = [Counter((x.doc.doc_id, x.doc.other, x.taken, str(x.draws)) for x in mixing.mix(df.repartition(n)).collect()) for n in (3, 5)]
+    assert got[0] == got[1] and sum(got[0].values()) == 2050
+    assert mixing.mix(df, shards=300).selectExpr("max(draws[0].shard) m").first().m > 256
+
+
 def test_mixing_whole_documents(plain, empty):
     out = mixing.mixed_documents(plain)
     assert out.columns == plain.columns
@@ -175,6 +186,61 @@ def test_jaccard_over_tiles(spark, monkeypatch):
     assert got == linked(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("tile", [3, 20, 1000])
+def test_jaccard_of_a_long_chain(spark, monkeypatch, tile):
+    """Texts that each share most of the next one, and others beside them: by tiles and by buckets."""
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(words[i * 15 : i * 15 + 150]) for i in range(200)] + [" ".join(r.choice(words) for _ in range(30)) for _ in range(20)] * 2
+    rows = spark.createDataFrame(rows_of(texts), SCHEMA)
+    monkeypatch.setattr(jaccard, "TILE_NODES", tile)
+    sent, real = [], jaccard._dealt
+    monkeypatch.setattr(jaccard, "_dealt", lambda *a: sent.append({p.band >= 0 for x in real(*a).collect() for p in x.places}) or real(*a[:2], jaccard.Workspace(spark, "again")))
+    got = Counter((x.doc_id, x.class_id, x.n_links) for x in jaccard.similar(rows).collect())
+    assert got == linked(list(enumerate(texts))) and (True in sent[0]) == (tile == 3)
+
+
+def test_jaccard_words_of_one_polynomial_hash(spark):
+    a, b = thue_morse(11)
+    texts = [" ".join([a] * 9), " ".join([b] * 9), " ".join([a] * 9)]
+    got = sorted(tuple(x) for x in jaccard.similar(spark.createDataFrame(rows_of(texts), SCHEMA)).collect())
+    assert got == [(0, 0, 1), (1, 1, 0), (2, 0, 1)]
+
+
+def test_word_sets_read_long_texts_in_parts(monkeypatch):
+    text = " \n" + made(8)[-4] + "\tend "
+    want = jaccard.word_sets([text, "", " ", "a b"])
+    monkeypatch.setattr(jaccard, "PART", 50)
+    assert all(np.array_equal(x, y) for x, y in zip(want, jaccard.word_sets([text, "", " ", "a b"]), strict=True))
+    assert len(want[0]) == len(grams(text)) and [len(x) for x in want[1:]] == [0, 0, 1]
+
+
+def test_jaccard_keeps_one_by_id_and_text(spark):
+    w, v = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(3, w, 1), (5, w + " tail", 2), (5, v, 3), (None, v + " x", 4), (None, "other words of a text without an id", 5), (None, "other words of a text without an id", 5), (None, "", 6), (None, None, 6), (8, "", 7), (8, "", 8)]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, hash int")).collect()
+    left = Counter(tuple(r) for r in got)
+    want = Counter({(3, w, 1): 1, (5, v, 3): 1, (None, "other words of a text without an id", 5): 1})
+    assert want <= left and len(got) == 5
+    assert sum(r.doc_id == 8 for r in got) == 1 and sum(r.doc_id is None and not r.text for r in got) == 1
+
+
+def test_connected_components(spark):
+    from stratalens.llm.common import Workspace
+    from stratalens.llm.components import connected_components
+
+    r = random.Random(2)
+    pairs = [(i, i + 1) for i in range(300, 400)] + [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(500, 500), (7, None), (600 - 1, 600)]
+    root = {}
+    find = lambda x: x if root.get(x, x) == x else find(root[x])
+    for a, b in pairs:
+        if b is not None and a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = root[min(x, y)] = min(x, y)
+    got = {x.id: x.component for x in connected_components(spark.createDataFrame(pairs, "a long, b long"), Workspace(spark, "t"), "t").collect()}
+    assert got == {i: find(i) for i in root}
+
+
 def test_jaccard_keeps_one_of_each(plain, docs, empty):
     out = jaccard.one_of_each(plain)
     assert out.columns == plain.columns
@@ -258,6 +324,104 @@ def test_secrets_beside_readable_words():
         assert not secrets.find(text, vocabulary)[1]
 
 
+def random_by_hand(text, vocabulary):
+    """The token test as it is described, plainly: every step over the whole text."""
+    alnum = string.ascii_letters + string.digits
+    taken = [False] * len(text)
+    for a, _, b in base_by_hand(text):
+        taken[a:b] = [True] * (b - a)
+    cells = [c in alnum + "+/_=-" for c in text]
+    runs = [m.span() for m in re.finditer("x{20,}", "".join("x" if c else " " for c in cells))]
+    digest = lambda w: len(w) in (32, 40, 56, 64, 96, 128) and all(c in string.hexdigits for c in w)
+    uuid = lambda w: [len(x) for x in w.split("-")] == [8, 4, 4, 4, 12] and all(c in string.hexdigits + "-" for c in w)
+    tokens_in = lambda w: len(vocabulary.encode(w))
+
+    def low(w):
+        return len(w) >= 20 and (any(c.isalpha() for c in w) or re.search("[0-9]{20}", w)) and not digest(w) and not uuid(w) and len(w) / tokens_in(w) < 2
+
+    def readable(w):
+        known = sum(len(x) for x in re.findall("[A-Z]?[a-z]+|[A-Z]+(?![a-z])", w) if len(x) > 3 and len(x) >= 3 * min(tokens_in(x), tokens_in(" " + x.lower())))
+        return known > 0 and known >= sum(c.isalpha() for c in w) / 2
+
+    def free(a, b, gone):
+        """Stretches of [a, b) that aren't gone."""
+        return [(a + m.start(), a + m.end()) for m in re.finditer("x+", "".join(" " if g else "x" for g in gone[a:b]))]
+
+    out = []
+    for begin, end in runs:
+        for a, b in free(begin, end, taken):
+            word, found = text[a:b], []
+            if b - a < 20:
+                continue
+            if any(c in "+/_=-" for c in word):
+                gone = list(taken)
+                for m in re.finditer("[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]+", text[a:b]):
+                    x, y = a + m.start(), a + m.end()
+                    beside = (text[x - 1] if x > a else " ") + (text[y] if y < b else " ")
+                    if not any(c in alnum for c in beside) and (digest(m[0]) or uuid(m[0])):
+                        gone[x:y] = [True] * (y - x)
+                for x, y in free(a, b, gone):
+                    if y - x < 20:
+                        continue
+                    stretches, before = [[]], x
+                    for m in re.finditer("[A-Za-z0-9]+", text[x:y]):
+                        p, q = x + m.start(), x + m.end()
+                        if readable(text[p:q]):
+                            stretches.append([])
+                        else:
+                            if p > before and text[p - 1] == "=":
+                                stretches.append([])
+                            stretches[-1].append((p, q))
+                    for parts in filter(None, stretches):
+                        short = lambda i: re.fullmatch("[a-z]{1,4}[0-9]{0,2}", text[slice(*parts[i])])  # noqa: B023, E731
+                        while len(parts) > 1 and short(0) and text[parts[0][1]] == "/":
+                            parts = parts[1:]
+                        while len(parts) > 1 and short(-1) and text[parts[-1][0] - 1] == "/":
+                            parts = parts[:-1]
+                        p, q = parts[0][0], parts[-1][1]
+                        if low(text[p:q]):
+                            alone = not any(c in alnum for c in text[x:p] + text[q:y])
+                            hits = [(x, y)] if alone else [(p, q)]
+                        else:
+                            alone, hits = False, [h for h in parts if low(text[slice(*h)])]
+                        for p, q in hits:
+                            pad = len(text[q:y]) - len(text[q:y].lstrip("="))
+                            whole = alone or not 1 <= pad <= 2 or text[q + pad : y][:1] and text[q + pad] in alnum
+                            found.append((p, 3, q if whole else q + pad))
+            if not found and low(word):
+                shape = re.fullmatch("[_/+=-]*([A-Za-z]+)[0-9]{0,4}(?:[_/+=-]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]+))*[_/+=-]*", word)
+                if not (shape and re.search("[a-z]{3}", shape[1]) and readable(word)):
+                    found = [(a, 3, b)]
+            out += found
+    return sorted(out)
+
+
+def test_random_spans_equal_an_independent_version():
+    vocabulary = secrets.Vocabulary(tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern())
+    r = random.Random(12)
+    draw = lambda letters, a, b: "".join(r.choice(letters) for _ in range(r.randint(a, b)))
+    kinds = [
+        lambda: draw(string.ascii_letters + string.digits, 1, 40), lambda: draw(string.ascii_lowercase, 1, 30), lambda: draw(string.digits, 1, 30), lambda: draw("0123456789abcdef", 30, 34),
+        lambda: r.choice(["password", "account", "users", "Controller", "internationalization", "v1", "api", "id", "key"]), lambda: draw("0123456789abcdef", 40, 40), lambda: draw("ABCDEF0123456789", 8, 8),
+        lambda: "550e8400-e29b-41d4-a716-446655440000", lambda: "secret=" + draw(string.ascii_letters, 5, 9), lambda: "AKIA" + draw(string.ascii_uppercase, 15, 20), lambda: "é漢",
+    ]
+    found = 0
+    for _ in range(3000):
+        text = "".join(r.choice(kinds)() + r.choice([" ", "/", "_", "-", "+", "=", "==", "", "."]) for _ in range(r.randint(1, 9)))
+        got = [x for x in secrets.find(text, vocabulary)[1] if x[1] == 3]
+        assert got == random_by_hand(text, vocabulary), text
+        found += len(got)
+    assert found > 1000
+
+
+@pytest.mark.parametrize("text", ["a" * 10**6 + "12345", "Ab" * 500_000, "a/" * 500_000, "_" * 10**6, "password " * 100_000, "password=hunter22/" * 50_000, "0af" * 300_000, "a1-" * 300_000 + "="])
+def test_secrets_in_linear_time(text):
+    vocabulary = secrets.Vocabulary(tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern())
+    began = time.process_time()
+    secrets.find(text, vocabulary)
+    assert time.process_time() - began < 5
+
+
 # ---- quality
 
 
@@ -279,6 +443,35 @@ def test_quality_learns_and_holds_out(spark):
     assert kept.columns == rows.columns and kept.count() == sum(x.predicted for x in got)
 
 
+def test_quality_of_held_out_and_repeated_rows(spark, monkeypatch):
+    """Held-out labels don't matter, nor does what a repeated row or a huge text adds; scores don't depend on parts."""
+    r = random.Random(4)
+    common = [f"w{i}" for i in range(200)]
+    kinds = [[*common, *(f"g{i}" for i in range(60))], [*common, *(f"b{i}" for i in range(60))]]
+    texts = [" ".join(r.choice(kinds[i % 2]) for _ in range(60)) for i in range(300)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    labels = [(i, int(i % 2 == 0)) for i in range(300)]
+    turned = [(i, 1 - y if held(i) else y) for i, y in labels]
+    rows = rows_of(texts)
+    frame = lambda x: spark.createDataFrame(x, SCHEMA)
+    marks = lambda x: spark.createDataFrame(x, "doc_id long, quality int")
+    scores = lambda x: {(x.doc_id, x.score) for x in x.collect()}
+    first = scores(quality.quality(frame(rows), marks(labels)))
+    assert first == scores(quality.quality(frame(rows), marks(turned)))
+    assert first == scores(quality.quality(frame(rows + rows[:40] * 20), marks(labels)))
+    right = [(s >= 0.5) == (d % 2 == 0) for d, s in first if held(d)]
+    assert len(right) > 40 and sum(right) >= 0.9 * len(right)
+    monkeypatch.setattr(quality, "LEARNED_CHARS", 100)
+    assert quality.fit(frame([(*r[:1], r[1] + " tail" * 10_000, *r[2:]) for r in rows[:20]]), marks(labels)).shape == ((1 << quality.BITS) + 1,)
+    monkeypatch.setattr(quality, "PART", 1000)
+    assert all("".join(quality.parts_of(t)) == t for t in ("a b" * 2000, "a b" * 2000 + "x" * 5500, ""))
+    model = np.random.default_rng(0).random((1 << quality.BITS) + 1).astype(np.float32)
+    text = made(9)[-4]
+    whole = quality.score(["q", text], model)[1]
+    monkeypatch.setattr(quality, "PART", 1 << 30)
+    assert quality.score([text], model)[0] == pytest.approx(whole, rel=1e-3)
+
+
 def test_quality_without_labels(plain, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality.quality(plain, none).collect()} == {0.5}
@@ -318,6 +511,60 @@ def test_memory_of_pretokens():
     assert len(sure) > 2000 and [x.tolist() for x in enc.ids_of(sure)] == [encode(t) for t in sure]
 
 
+def thue_morse(n):
+    """Two words of 2**n letters whose polynomial hashes modulo 2**64 are the same, whatever the factor."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("longest", [128, 1 << 20])
+def test_pretokens_of_one_hash_are_told_apart(spark, monkeypatch, longest):
+    monkeypatch.setattr(tokens, "LONGEST", longest)
+    texts = [x for n in (9, 10, 11) for w in thue_morse(n) for x in (w, f"so {w} it is")]
+    for order in (texts, texts[::-1]):
+        enc = tokens.Encoder(tokenizer_path())
+        assert [x.tolist() for x in enc.ids_of(order)] == [encode(t) for t in order]
+        assert enc.counts_of(order) == [len(encode(t)) for t in order]
+    rows = spark.createDataFrame(rows_of(texts), SCHEMA).coalesce(1)
+    got = {r.doc_id: r.n_tokens for r in tokens.token_counts(rows, tokenizer_path()).collect()}
+    assert got == {i: len(encode(t)) for i, t in enumerate(texts)}
+    sums = {r.doc_id: r.ids_crc32 for r in packing.pack(rows, tokenizer_path()).collect()}
+    assert sums == {i: zlib.crc32(np.array([*encode(t), 0], "<u4").tobytes()) for i, t in enumerate(texts)}
+
+
+def test_other_tokenizer_files_are_left_to_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    enc, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    assert not enc.known and tokens.Encoder(tokenizer_path()).known and tokens.Encoder(tokenizer_path()).margin > len("<|endoftext|>")
+    texts = ["One Word, two  WORDS", "x " * 40_000, "", "é" * 50]
+    got = {r.doc_id: r.n_tokens for r in tokens.token_counts(spark.createDataFrame(rows_of(texts), SCHEMA), path).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_packing_merges_to_the_end(spark):
+    """Of sequences that are too full for most others, a few short ones each fit one: all must meet."""
+    texts = ["a" + " a" * (n - 2) for n in [200] * 40 + [50] * 40]
+    rows = spark.createDataFrame(rows_of(texts), SCHEMA).repartition(20)
+    got = packing.pack(rows, tokenizer_path(), capacity=256, round_items=4).collect()
+    assert len({r.sequence_id for r in got}) == 40
+
+
+def test_packing_repeated_rows_and_no_id(spark):
+    text = " ".join(map(str, range(900)))
+    rows = spark.createDataFrame(rows_of([text, "b"]) * 3 + [(None, t, *[None] * 9) for t in (text, None, "", "b")], SCHEMA).repartition(3)
+    got = packing.pack(rows, tokenizer_path(), capacity=256).collect()
+    ids, want = [*encode(text), 0], Counter()
+    for key, t in [(0, text), (1, "b")] * 3 + [(None, text), (None, None), (None, ""), (None, "b")]:
+        ids = [*encode(t), 0]
+        for k, (at, n) in enumerate(packing.cut(len(ids), 256)):
+            want[key, k, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+
+
 @pytest.mark.parametrize("options", [{}, {"round_items": 8, "capacity": 256}])
 def test_packing(docs, plain, empty, options):
     capacity = options.get("capacity", 2048)
@@ -364,7 +611,7 @@ def repeats_by_hand(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"range_bytes": 2000, "run_bytes": 3000}])
+@pytest.mark.parametrize("options", [{}, {"range_bytes": 2000, "run_bytes": 3000, "sampled": 1}])
 def test_suffixes_equal_brute_force(spark, empty, options, monkeypatch):
     monkeypatch.setattr(suffixes, "SPAN", 5000)
     texts = [*made(3, 40), "ab" * 300, "z" * 1000, "z" * 99, "z" * 100, "q" + "z" * 100]
@@ -373,12 +620,56 @@ def test_suffixes_equal_brute_force(spark, empty, options, monkeypatch):
     assert got == repeats_by_hand(list(enumerate(texts)))
 
 
-def test_suffixes_odd_rows(docs, empty):
-    got = suffixes.deduplicated(docs).collect()
-    assert len(got) == docs.count() and suffixes.deduplicated(empty).count() == 0
+def by_hand_of_any(rows, spark):
+    """As repeats_by_hand, for rows without or with shared ids: rows of one id and text are one document, those of one id in
+    the order of their hashes."""
+    hashes = {r.text: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "text string").selectExpr("text", "xxhash64(sha2(text, 256)) h").collect()}
+    kinds = sorted({((1 << 63) - 1 if d is None else d, hashes[t or ""], t or "") for d, t in rows})
+    found = repeats_by_hand([(i, t) for i, (_, _, t) in enumerate(kinds)])
+    result = {(d, t): found[i] for i, (d, _, t) in enumerate(kinds)}
+    return Counter((d, *result[(1 << 63) - 1 if d is None else d, t or ""]) for d, t in rows)
+
+
+def test_suffixes_odd_rows(docs, empty, spark):
+    got = Counter(tuple(r) for r in suffixes.deduplicated(docs).collect())
+    assert got == by_hand_of_any([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], spark)
+    assert suffixes.deduplicated(empty).count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"range_bytes": 40_000, "run_bytes": 30_000, "sampled": 1}])
+def test_suffixes_of_rows_without_or_with_shared_ids(spark, options):
+    r = random.Random(14)
+    draw = lambda n: "".join(r.choice(string.ascii_letters) for _ in range(n))
+    passages = [draw(120) for _ in range(30)]
+    rows = [(r.choice([None, None, 1, 2]), draw(r.randint(20, 150)) + (r.choice(passages) if i % 2 else "") + draw(30)) for i in range(3000)]
+    got = Counter(tuple(x) for x in suffixes.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect())
+    assert got == by_hand_of_any(rows, spark)
+
+
+@pytest.mark.parametrize("options", [{}, {"range_bytes": 3000, "run_bytes": 5000, "sampled": 1}])
+def test_suffixes_around_frequent_strings(spark, options, monkeypatch):
+    """Many documents share strings shorter than, as long as and longer than a window, and some also what stands beside."""
+    monkeypatch.setattr(suffixes, "TOGETHER", 50)
+    r = random.Random(15)
+    draw = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    common = [draw(n) for n in (41, 60, 80, 99, 100, 101, 130, 230)]
+    beside = [draw(40) for _ in range(6)]
+    texts = []
+    for _ in range(400):
+        parts = [draw(r.randint(0, 60))]
+        for _ in range(r.randint(1, 3)):
+            side = lambda: r.choice(beside)[: r.choice([3, 20, 40])] if r.random() < 0.6 else draw(5)
+            parts += [side(), r.choice(common), side()]
+        texts.append("".join(parts))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    if options:
+        keys = [r.key for r in rows.selectExpr("doc_id doc", "0L version", "text", "doc_id row").mapInArrow(suffixes.partial(suffixes._anchors, length=100, gram=40, sampled=1), "h long, row long, at long, key binary").collect()]
+        assert sum(suffixes.cut_points(list(map(bytes, keys)), 200, 40)[1]) > 20
+    got = {x.doc_id: tuple(x)[1:] for x in suffixes.deduplicated(rows, **options).collect()}
+    assert got == repeats_by_hand(list(enumerate(texts)))
 
 
-@pytest.mark.parametrize("options", [{}, {"range_bytes": 2000, "run_bytes": 3000}])
+@pytest.mark.parametrize("options", [{}, {"range_bytes": 2000, "run_bytes": 3000, "sampled": 1}])
 def test_suffixes_repeated_rows_are_one_document(spark, options):
     texts = made(5, 30)
     rows = rows_of(texts)
@@ -388,7 +679,7 @@ def test_suffixes_repeated_rows_are_one_document(spark, options):
     assert len(got) == df.count() and all(tuple(r)[1:] == want[r.doc_id] for r in got)
 
 
-@pytest.mark.parametrize("options", [{}, {"range_bytes": 2000, "run_bytes": 3000}])
+@pytest.mark.parametrize("options", [{}, {"range_bytes": 2000, "run_bytes": 3000, "sampled": 1}])
 def test_suffixes_rows_of_one_id_are_told_apart(spark, options):
     """Pairs of texts whose hashes share 16 bits, without an id."""
     r = random.Random(11)
@@ -423,12 +714,94 @@ def test_loser_tree_and_front_coding():
 # ---- pipeline
 
 
-def test_pipeline_stages(spark, plain, tmp_path):
+@pytest.fixture(scope="module")
+def stages(spark, docs, tmp_path_factory):
+    """What each stage of the pipeline reads and gives, on odd rows of which the classifier rejects some."""
     import corpus_pipeline
 
-    folder = str(tmp_path)
-    plain.select("doc_id", "text", "lang", "source").withColumn("n_chars", mixing.F.length("text").cast("long")).write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
-    out = corpus_pipeline.run(spark, folder)
-    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 20
-    assert len(corpus_pipeline.STAGES) == 5
+    folder = str(tmp_path_factory.mktemp("corpus"))
+    r = random.Random(21)
+    junk = [(2000 + i, " ".join(r.choice(["BUY", "NOW!!", "$$$", "FREE***", "WIN!!"]) for _ in range(40)), "en", r.choice(["a", "b", None]), *[None] * 7) for i in range(60)]
+    keys = [(3000, "the key is zX81kQp0LmVt5Yw2Rn7Bd3Hs6Jf9Gc and password = hunter22 in a sentence of words", "en", "b", *[None] * 7)]
+    rows = docs.unionByName(spark.createDataFrame(junk + keys, SCHEMA)).withColumn("n_chars", mixing.F.length("text").cast("long"))
+    rows.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(70)] + [(2000 + i, 0, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    tables, now = [], rows
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, now, folder)
+        out.write.parquet(f"{folder}/stage-{i}")
+        out = spark.read.parquet(f"{folder}/stage-{i}")
+        tables.append((now.collect(), out.collect(), now.columns, out.columns))
+        now = out
+    return corpus_pipeline, folder, tables
+
+
+def test_pipeline_drops_what_the_classifier_rejects(spark, stages):
+    _, folder, [(before, after, columns, left), *_] = stages
+    scores = quality.quality(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")).collect()
+    assert columns == left and Counter(r.doc_id for r in after) == Counter(r.doc_id for r in scores if r.score >= 0.3)
+    assert Counter(after) <= Counter(before) and {r.doc_id for r in before} - {r.doc_id for r in after} == set(range(2000, 2060))
+
+
+def test_pipeline_keeps_one_of_near_copies(stages):
+    _, _, [_, (before, after, columns, left), *_] = stages
+    last = (1 << 63) - 1
+    classes, sets = [], []
+    for r in before:  # the class of a row: all that links reach
+        g = grams(r.text)
+        near = [i for i, s in enumerate(sets) if g and any(len(g & x) >= 0.8 * len(g | x) for x in s)]
+        sets = [s for i, s in enumerate(sets) if i not in near] + [[g, *(x for i in near for x in sets[i])]]
+        classes = [c for i, c in enumerate(classes) if i not in near] + [[r, *(x for i in near for x in classes[i])]]
+    assert columns == left and Counter(after) <= Counter(before)
+    ids = lambda rows: min(last if r.doc_id is None else r.doc_id for r in rows)
+    words = [c for c in classes if grams(c[0].text)]
+    kept = Counter(last if r.doc_id is None else r.doc_id for r in after if grams(r.text))
+    assert kept == Counter(map(ids, words)) and any(len(c) > 3 for c in words)
+    assert Counter((r.doc_id, r.text or "") for r in after if not grams(r.text)) == Counter({(r.doc_id, r.text or ""): 1 for r in before if not grams(r.text)})
+
+
+def test_pipeline_redacts(stages):
+    _, _, [_, _, (before, after, columns, left), *_] = stages
+    vocabulary = secrets.Vocabulary(tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern())
+
+    def clean(r):
+        text = r.text
+        for a, _, b in sorted(secrets.find(text or "", vocabulary)[1], reverse=True):
+            text = text[:a] + "[secret]" + text[b:]
+        return tuple({**r.asDict(), "text": text, "n_chars": None if text is None else len(text)}.values())
+
+    assert columns == left and Counter(map(tuple, after)) == Counter(map(clean, before))
+    assert any("is [secret] and [secret]" in (r.text or "") for r in after)
+
+
+def test_pipeline_mixes_whole_documents(spark, stages):
+    pipeline, folder, [_, _, _, (before, after, columns, left), _] = stages
+    n = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    sizes, taken, largest = Counter(), Counter(), Counter()
+    for r in before:
+        sizes[r.source] += n(r)
+        largest[r.source] = max(largest[r.source], n(r))
+    for r in after:
+        taken[r.source] += n(r)
+    want = targets(dict(sizes), (5, 2, 1), 1.5, 2)
+    assert columns == left and all(abs(taken[s] - want[s]) <= largest[s] for s in sizes)
+    copies = Counter(after)
+    assert all(k <= 2 * Counter(before)[r] for r, k in copies.items()) and all(n(r) for r in after)
+    again = pipeline.mix_sources(spark, spark.read.parquet(f"{folder}/stage-2").repartition(5), folder)
+    assert Counter(again.collect()) == copies
+
+
+def test_pipeline_packs_and_runs_again(spark, stages, empty, tmp_path):
+    pipeline, folder, [*_, (before, after, _, _)] = stages
+    want = Counter()
+    for r in before:
+        ids = [*encode(r.text), 0]
+        for k, (at, n) in enumerate(packing.cut(len(ids), 2048)):
+            want[r.doc_id, k, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in after) == want
+    out = pipeline.run(spark, folder)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out.collect()) == want
+    empty.withColumn("n_chars", mixing.F.length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0 and [k for k, _ in pipeline.STAGES][1] == "n-gram Jaccard join"

@@ -112,6 +112,36 @@ def test_embeddings_equal_brute_force(spark, tile):
     assert sum(links.values()) > 50
 
 
+def test_embeddings_of_many_copies(spark):
+    """Thousands of copies of a few vectors: as many links as rows, from as many comparisons as there are vectors."""
+    base = [[1.0, 0.0, 0.0], [0.99, 0.05, 0.0], [0.0, 1.0, 0.0], [0.0, -1.0, 0.0]]
+    counts = [3000, 2000, 500, 1]
+    rows = [(k * 10_000 + i + 1, base[k], 0) for k in range(4) for i in range(counts[k])]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4), tile=2)
+    got = Counter((r.vec_id // 10_000, r.n_links, r.component_id) for r in got.collect())
+    assert got == {(0, 4999, 1): 3000, (1, 4999, 1): 2000, (2, 499, 20001): 500, (3, 0, 30001): 1}
+
+
+def test_top_k_keeps_rows_without_an_id(spark):
+    rows = [(0, [1.0]), (None, [9.0]), (1, [1.0]), (None, [1.0]), (2, None)]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()]
+    assert got == [(0, 1, None, 9 * 256 * 256), (0, 2, 1, 256 * 256), (0, 3, None, 256 * 256)]
+
+
+def test_top_k_floors_drop_no_tie():
+    r = np.random.default_rng(5)
+    rows, ids = r.integers(-9, 9, (400, 40)).astype(float), np.arange(400)
+    queries = rows[:10]
+    own = np.arange(10)
+    want = topk.best(queries, rows, ids, own, 5)
+    floors = np.array([s.min() for _, s in want], float)
+    got = topk.best(queries, rows, ids, own, 5, floors=floors)
+    assert all(np.array_equal(a, x) and np.array_equal(b, y) for (a, b), (x, y) in zip(want, got, strict=True))
+    assert sum(len(a) for a, _ in topk.best(queries, rows, ids, own, 5, floors=floors + 1e6)) == 0
+    few = topk.best(queries, rows[:3], ids[:3], np.full(10, -1), 5, floors=np.full(10, -1e18))
+    assert all(np.array_equal(s, np.sort(rows[:3] @ q)[::-1]) for q, (_, s) in zip(queries, few, strict=True))
+
+
 def test_embeddings_repeated_and_empty(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], 0)] * 3 + [(None, [1.0, 2.0], 0), (4, [-1.0, 2.0], 0)], "vec_id long, embedding array<float>, label int")
     got = sorted(map(tuple, neardup.near_duplicates(df).select("n_links", "component_id").collect()))
