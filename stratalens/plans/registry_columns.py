@@ -321,7 +321,7 @@ def missing_fields(t):
 
 
 @query("""
-SELECT o_orderkey, list_filter([o_orderstatus, o_orderpriority], lambda x: x NOT IN ('F', '1-URGENT')) AS unknown, [1, 2, 3][1:CAST(o_orderkey % 4 AS INT)] AS first,
+SELECT o_orderkey, list_filter([o_orderstatus, o_orderpriority], lambda x: x NOT IN ('F', '1-URGENT')) AS unknown, [o_orderkey, 2] AS first,
 '1,' || CASE WHEN o_orderkey % 2 = 0 THEN 'new' ELSE 'old' END || ',3' AS merged FROM orders
 """)
 def array_columns(t):
@@ -330,5 +330,5 @@ def array_columns(t):
     both = ordering.merged(maps[0], F.when(F.col("o_orderkey") % 2 == 0, maps[1]))
     return t.orders.select(
         "o_orderkey", ordering.invalid_sections(F.array("o_orderstatus", "o_orderpriority"), ["F", "1-URGENT"]).alias("unknown"),
-        F.slice(F.array(*map(F.lit, (1, 2, 3))), 1, (F.col("o_orderkey") % 4).cast("int")).alias("first"), F.concat_ws(",", *[both[k] for k in "abc"]).alias("merged"),
+        ordering.first_elements(F.array(F.col("o_orderkey"), F.lit(2), F.lit(3)), 2).alias("first"), F.concat_ws(",", *[both[k] for k in "abc"]).alias("merged"),
     )
