@@ -41,6 +41,7 @@ def recommendations(m: DataFrame) -> DataFrame:
     ])
 
 
+# The words and thresholds of this rule.
 def dependency_insights(m: DataFrame) -> DataFrame:
     """(dependencies, max_fan_out)."""
     depth = F.least(F.col("dependencies") / 10, F.lit(8.0))
@@ -50,6 +51,7 @@ def dependency_insights(m: DataFrame) -> DataFrame:
     ])
 
 
+# The words and thresholds of this rule.
 def quality_insights(m: DataFrame) -> DataFrame:
     """(maintainability_index, complexity, components, dependencies)."""
     return findings(m, [
@@ -59,6 +61,7 @@ def quality_insights(m: DataFrame) -> DataFrame:
     ])
 
 
+# The words and thresholds of this rule.
 def immediate_actions(m: DataFrame) -> DataFrame:
     """(maintainability_index, components, directories)."""
     modular = F.col("directories") > F.col("components") / 10
@@ -68,6 +71,7 @@ def immediate_actions(m: DataFrame) -> DataFrame:
     ])
 
 
+# The words and thresholds of this rule.
 def long_term(m: DataFrame) -> DataFrame:
     """(components)."""
     always = F.lit(True)
@@ -79,6 +83,7 @@ def long_term(m: DataFrame) -> DataFrame:
     ])
 
 
+# The words and thresholds of this rule.
 def pattern_evidence(components: DataFrame) -> DataFrame:
     """(name, path) of components: what speaks for a pattern, and what is suggested."""
     has = lambda w: exists_any(path_contains(F.col("path"), [w]))
@@ -140,6 +145,7 @@ def architecture_patterns(found: Column) -> Column:
     return F.concat(F.coalesce(found, F.array().cast("array<string>")), F.array(F.lit("Modular Architecture")))
 
 
+# The words and thresholds of this rule.
 def features(components: DataFrame, endpoints: DataFrame) -> DataFrame:
     """D13."""
     named = lambda *w: path_contains(F.col("name"), w)
@@ -155,6 +161,7 @@ def features(components: DataFrame, endpoints: DataFrame) -> DataFrame:
     ])
 
 
+# The words and thresholds of this rule.
 def data_sources(components: DataFrame, endpoints: DataFrame) -> DataFrame:
     """D14."""
     row = components.agg(F.count_if(path_contains(F.col("path"), ["model", "schema"])).alias("models"))
@@ -165,6 +172,7 @@ def data_sources(components: DataFrame, endpoints: DataFrame) -> DataFrame:
     ])
 
 
+# The words and thresholds of this rule.
 def data_components(components: DataFrame, kind: str, most: int = 5) -> DataFrame:
     """Processors or storages, the first in order of paths."""
     words, text = {
