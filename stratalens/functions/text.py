@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 # What a comment line starts with, by language.
 COMMENT = {"javascript": "//", "typescript": "//", "python": "#"}
+# What trimming takes off.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def js_trim(text: Column) -> Column:
-    """all Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^[\s﻿]+|[\s﻿]+$", "")
+    """white space of any kind, line ends and the byte order mark at both ends."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def line_count(text: Column) -> Column:
