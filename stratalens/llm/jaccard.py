@@ -40,7 +40,7 @@ NO_ID = (1 << 63) - 1
 #: Members of small components that are verified together.
 BUNDLE = 512
 #: Bytes of a text that are split into words at once; distinct words whose hashes are remembered, and their longest.
-PART, REMEMBERED, LONGEST = 1 << 18, 1_000_000, 64
+PART, REMEMBERED, LONGEST = 1 << 18, 300_000, 64
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 

@@ -31,7 +31,9 @@ OVERLAP_CHARS = 512
 LOOK_AHEAD = 3
 BATCH_CHARS = 1 << 19
 #: Distinct pre-tokens, and characters of them, that are remembered at once; then the memory is emptied and filled anew.
-REMEMBERED, REMEMBERED_CHARS = 1_500_000, 1 << 25
+REMEMBERED, REMEMBERED_CHARS = 1_200_000, 1 << 24
+#: Words that the library gets at once.
+WORDS_AT_ONCE = 2048
 #: A text with a longer pre-token goes to the library whole.
 LONGEST = 128
 SPACE, LETTER, NUMBER, OTHER, END, UNSURE = 1, 2, 3, 4, 0, 255
@@ -100,8 +102,8 @@ class Encoder:
 
     def forget(self) -> None:
         """Keys in order with their rows; by row the count of ids and their place in `flat`, and the pre-token itself."""
-        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.counts, self.at, self.sizes, self.spelt = (np.zeros(1 << 12, np.int64) for _ in range(4))
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.counts, self.at, self.sizes, self.spelt = (np.zeros(1 << 12, np.int32) for _ in range(4))
         self.flat, self.letters = np.zeros(1 << 14, np.uint32), np.zeros(1 << 14, np.uint16)
         self.used = self.written = self.n = 0
 
@@ -113,19 +115,23 @@ class Encoder:
 
     def _remember(self, keys: np.ndarray, words: list[str]) -> None:
         """keys: in order, none known."""
-        ids = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        counts, parts = [], []
+        for i in range(0, len(words), WORDS_AT_ONCE):
+            ids = [e.ids for e in self.library.encode_batch_fast(words[i : i + WORDS_AT_ONCE], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            parts.append(np.fromiter(chain.from_iterable(ids), np.uint32))
         letters = np.frombuffer("".join(words).encode("utf-16-le"), np.uint16)
-        counts, sizes = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids, words))
-        new = slice(self.n, self.n + len(ids))
+        counts, sizes = np.concatenate(counts), np.fromiter(map(len, words), np.int64, len(words))
+        new = slice(self.n, self.n + len(words))
         for name, end in (("counts", new.stop), ("at", new.stop), ("sizes", new.stop), ("spelt", new.stop), ("flat", self.used + int(counts.sum())), ("letters", self.written + len(letters))):
             while end > len(held := getattr(self, name)):
                 setattr(self, name, np.resize(held, 2 * len(held)))
         self.counts[new], self.at[new] = counts, self.used + np.cumsum(counts) - counts
         self.sizes[new], self.spelt[new] = sizes, self.written + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + int(counts.sum())] = np.fromiter(chain.from_iterable(ids), np.uint32)
+        self.flat[self.used : self.used + int(counts.sum())] = np.concatenate(parts)
         self.letters[self.written : self.written + len(letters)] = letters
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.rows = np.insert(self.keys, at, keys), np.insert(self.rows, at, np.arange(new.start, new.stop))
+        self.keys, self.rows = np.insert(self.keys, at, keys), np.insert(self.rows, at, np.arange(new.start, new.stop, dtype=np.int32))
         self.used, self.written, self.n = self.used + int(counts.sum()), self.written + len(letters), new.stop
 
     def _memo(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -211,12 +217,13 @@ def _is_byte_level(file: dict) -> bool:
 
 
 def cached(kind, *key):
-    """One object for each key in a Python worker, kept over tasks."""
-    held = sys.modules.setdefault("_stratalens_cache", types.ModuleType("_stratalens_cache")).__dict__
-    name = f"{kind.__name__}:{key}"
-    if name not in held:
-        held[name] = kind(*key)
-    return held[name]
+    """An object that a Python worker keeps over tasks, until it is asked for another one, so that it holds one at most."""
+    held = sys.modules.setdefault("_stratalens_cache", types.ModuleType("_stratalens_cache"))
+    name = (kind.__name__, *key)
+    if getattr(held, "name", None) != name:
+        held.made = None
+        held.name, held.made = name, kind(*key)
+    return held.made
 
 
 def _boundaries(encoding, base: int, low: int, high: int, backward: bool) -> dict[int, int]:
