@@ -1,4 +1,7 @@
-"""Near-duplicate embeddings: int8 tile products with error bounds, and full precision where a pair may be near enough."""
+"""Near-duplicate embeddings: int8 tile products with error bounds, and full precision where a pair may be near enough.
+
+Vectors of a label that are the same are one node with a number of copies, so a group of copies is compared once.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import Workspace, on_group
+from stratalens.llm.common import Workspace, on_group, rekeyed
 from stratalens.llm.components import connected_components, forest
 
 #: Vectors of a tile on average.
@@ -64,27 +67,27 @@ def near_pairs(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> It
 
 
 def _tile(columns: dict, threshold: float) -> list[tuple]:
-    uid, side = columns["uid"], columns["side"]
+    uid, side, copies = columns["uid"], columns["side"], columns["copies"]
     x = columns["vector"]
     left, right = side != 1, side != 0
     same = not (side != 2).any()
     ids, others = uid[left], uid[right]
-    links: dict[int, int] = {}
+    links = [np.zeros(left.sum(), np.int64), np.zeros(right.sum(), np.int64)]
     found: list[tuple[int, int]] = []
     a, b = x[left], x[right]
     if len(a) and len(b):
         for i, j in near_pairs(a, b, threshold, same):
-            for u in (ids[i], others[j]):
-                for k, n in zip(*np.unique(u, return_counts=True), strict=True):
-                    links[int(k)] = links.get(int(k), 0) + int(n)
+            links[0] += np.bincount(i, copies[right][j], len(ids)).astype(np.int64)
+            links[1] += np.bincount(j, copies[left][i], len(others)).astype(np.int64)
             found = forest(found + list(zip(ids[i].tolist(), others[j].tolist(), strict=True)))
-    return [(u, None, n) for u, n in links.items()] + [(p, q, 0) for p, q in found]
+    linked = [(u, None, n) for u, ns in zip((ids, others), links, strict=True) for u, n in zip(u.tolist(), ns.tolist(), strict=True) if n]
+    return linked + [(p, q, 0) for p, q in found]
 
 
 def _compare(table: pa.Table, threshold: float) -> pa.Table:
     vectors = table.column("vector").combine_chunks()
     values = np.asarray(vectors.flatten(), np.float64).reshape(len(vectors), -1)
-    rows = _tile({"uid": np.asarray(table.column("uid")), "side": np.asarray(table.column("side")), "vector": values}, threshold)
+    rows = _tile({k: np.asarray(table.column(k)) for k in ("uid", "side", "copies")} | {"vector": values}, threshold)
     return pa.table({k: pa.array([r[i] for r in rows], pa.int64()) for i, k in enumerate(("a", "b", "links"))})
 
 
@@ -96,8 +99,11 @@ def near_duplicates(
     Only vectors of one label (not null) and one length are compared, each pair once: the vectors of a label are dealt
     to tiles by hash, and each pair of tiles is a group of its own, so a label with a third of all rows becomes many
     groups of bounded size.  Vectors that are null, empty, zero or not finite link with nothing.  Repeated rows are
-    vectors of their own, which link with each other.  A null id takes part and gives a null component if it is alone
-    or least.  Other columns are dropped; an empty table gives an empty result.
+    vectors of their own, which link with each other.  A null id takes part and gives a null component if its group
+    has no other.  Other columns are dropped, whatever their names; an empty table gives an empty result.
+
+    The work grows with the square of a label's distinct vectors, as each pair is looked at; what is sent grows with
+    their square over the tile's size.
     """
     space = Workspace(vectors.sparkSession, "neardup")
     rows = vectors.select(
@@ -107,14 +113,18 @@ def near_duplicates(
         F.col(vector_col).cast("array<double>").alias("vector"),
     )
     rows = space.write(rows.withColumn("good", valid(F.col("vector")) & F.col("label").isNotNull()), "rows")
-    good = rows.filter("good").withColumn("dims", F.size("vector"))
-    sizes = good.groupBy("label", "dims").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    kinds = rows.filter("good").groupBy("label", "vector").agg(F.min("uid").alias("uid"), F.count("*").alias("copies"), F.min("vec_id").alias("vec_id")).withColumn("dims", F.size("vector"))
+    kinds = space.write(kinds.select("*", *_keys()), "kinds")
+    key = rekeyed(F.xxhash64("label", "dims")).alias("k")
+    sizes = kinds.groupBy("label", "dims").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).select(key, "label", "dims", "tiles")
     dealt = (
-        good.join(sizes, ["label", "dims"])
+        kinds.select("*", key)
+        .join(sizes.hint("merge"), ["k", "label", "dims"])
         .withColumn("mine", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int"))
-        .select("uid", "vector", "label", "dims", "mine", F.explode(F.expr("sequence(0, tiles - 1)")).alias("other"))
+        .select("uid", "copies", "vector", "label", "dims", "mine", F.explode(F.expr("sequence(0, tiles - 1)")).alias("other"))
         .select(
             "uid",
+            "copies",
             "vector",
             "label",
             "dims",
@@ -125,10 +135,23 @@ def near_duplicates(
     )
     found = dealt.groupBy("label", "dims", "i", "j").applyInArrow(on_group(_compare, threshold=threshold), "a long, b long, links long")
     found = space.write(found, "found")
-    links = found.filter("b is null").groupBy(F.col("a").alias("uid")).agg(F.sum("links").alias("n_links"))
+    links = found.filter("b is null").groupBy(F.col("a").alias("uid")).agg(F.sum("links").alias("links"))
     comps = connected_components(found.filter("b is not null").select("a", "b"), space, "components").withColumnRenamed("id", "uid")
-    named = comps.join(rows.select("uid", "vec_id"), "uid").groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    member = comps.join(named, "component").select("uid", "component_id")
-    out = rows.select("uid", "vec_id").join(links, "uid", "left").join(member, "uid", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    named = comps.join(kinds.select("uid", "vec_id"), "uid").groupBy("component").agg(F.min("vec_id").alias("component_id")).select(rekeyed(F.col("component")).alias("k"), "component_id")
+    member = comps.withColumn("k", rekeyed(F.col("component"))).join(named.hint("merge"), "k").select("uid", "component_id")
+    known = kinds.join(links, "uid", "left").join(member, "uid", "left")
+    itself = F.col("copies") - 1 if threshold <= 1 else F.lit(0)
+    # Rows meet their kind by two hashes, if no two kinds share both; else by the vector itself.
+    apart = kinds.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    on = ["h1", "h2"] if apart else ["h1", "h2", "label", "vector"]
+    known = known.select(*on, (F.coalesce("links", F.lit(0)) + itself).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    known = space.write(known, "known")
+    space.drop("kinds", "found")
+    out = rows.filter("good").select("vec_id", "label", "vector", *_keys()).select("vec_id", *on).join(known.hint("merge"), on).select("vec_id", "n_links", "component_id")
+    alone = rows.filter("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = out.unionByName(alone)
+    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _keys() -> tuple[Column, Column]:
+    return F.xxhash64(F.lit(1), "label", "vector").alias("h1"), F.xxhash64(F.lit(2), "vector", "label").alias("h2")
