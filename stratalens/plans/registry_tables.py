@@ -425,6 +425,16 @@ def circuit_breaker(t):
     return state.breaker(events(t), "user_id", F.col("event_type") != "error", ("ts", "event_id")).select("event_id", "failures", "is_open")
 
 
+@query("""
+WITH r AS (SELECT event_id, event_type, ts, least(user_id % 5, 3) AS f, event_id % 2 = 0 AS limited FROM events),
+s AS (SELECT *, CASE WHEN limited THEN CASE f WHEN 0 THEN 1000 WHEN 1 THEN 5000 WHEN 2 THEN 13000 ELSE 28000 END ELSE CASE f WHEN 0 THEN 1000 WHEN 1 THEN 3000 ELSE 5000 END END AS span FROM r)
+SELECT event_id, CAST(least(f + 1, 3) AS INTEGER) AS attempts, f < 3 AS answered, CAST(sum(span) OVER (PARTITION BY event_type ORDER BY ts, event_id) - span AS BIGINT) AS start_ms FROM s
+""")
+def paced_requests(t):
+    """When each request of a provider starts."""
+    return state.paced(t.events, "event_type", ["ts", "event_id"], F.col("user_id") % 5, F.col("event_id") % 2 == 0).select("event_id", "attempts", "answered", "start_ms")
+
+
 @query("""
 SELECT provider, failures FROM (SELECT event_type AS provider, count(*) FILTER (value <= 20) AS failures FROM events GROUP BY 1) WHERE failures < 100000 ORDER BY failures, provider
 """)

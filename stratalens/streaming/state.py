@@ -83,6 +83,22 @@ def breaker_stream(calls: DataFrame, limit: int = 3, reset_seconds: int = 300, l
     )
 
 
+def paced(requests: DataFrame, key: str, order: Sequence[str], failures: Column, limited: Column, most: int = 3, spacing_ms: int = 1000, retry_ms: int = 2000) -> DataFrame:
+    """T6 as a plan: requests of a provider go one after another; the attempts of each, whether it is answered, and when it
+    starts, if calls take no time.
+
+    Attempts are `spacing_ms` apart at least.  After a failure a request waits `retry_ms`, or longer each time if it was
+    refused for its rate, then also after the last attempt; `most` failures end it.
+    """
+    failed = F.least(failures, F.lit(most)).cast("int")
+    waits = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.when(k == 0, 0).when(limited, scores.backoff_ms(k)).when(k < most, retry_ms).otherwise(0))
+    waited = F.aggregate(F.slice(waits, 1, failed + 1), F.lit(0).cast("long"), lambda s, x: s + x)
+    span = waited + F.when(limited & (failed == most), 0).otherwise(spacing_ms)
+    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = requests.withColumn("attempts", F.least(failed + 1, F.lit(most))).withColumn("answered", failed < most)
+    return rows.withColumn("start_ms", F.coalesce(F.sum(span).over(before), F.lit(0)).cast("long"))
+
+
 def next_job_state(status: Column, progress: Column) -> Column:
     """Progress is kept within 0..100; all of it completes a job, some of it has it processing."""
     p = scores.clamp_progress(progress)

@@ -5,12 +5,14 @@ import random
 import time
 import zipfile
 from collections import defaultdict
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from stratalens.operators import aggregates, filters, graph, joins, mutations, ordering, parsers, walks
 from stratalens.plans import library, report, rules
+from stratalens.session import shared_dir
 from stratalens.sources import files as sources
 from stratalens.streaming import state
 
@@ -377,6 +379,13 @@ def test_stored_objects(spark, tmp_path):
     assert [r.key for r in sources.stored(spark, root).collect()] == ["loose.md"]
 
 
+def test_a_cluster_needs_a_shared_folder():
+    fake = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,3000]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(fake(master))
+
+
 def test_only_the_root_manifest_counts(spark):
     files = spark.createDataFrame([("p", "package.json", '{"dependencies": {"x": "1"}}'), ("p", "sub/package.json", '{"dependencies": {"x": "2"}}'), ("q", "package.json", "no json")], "project_id string, path string, content string")
     found = sources.manifests(files)
