@@ -75,7 +75,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
         for i, (doc_id, text) in enumerate(rows):
             ids = got.get(i)
             if ids is None:
-                ids = np.fromiter((x for p in enc.spliced(text) for x in p), np.uint32) if len(text) >= long_chars else enc.ids(text)
+                ids = np.concatenate(list(enc.spliced(text))) if len(text) >= long_chars else enc.ids(text)
             ids = np.append(ids, end_id).astype("<u4")
             for k, (at, n) in enumerate(cut(len(ids), capacity)):
                 ids_in.append(doc_id)

@@ -12,7 +12,7 @@ import os
 import sys
 import types
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 from itertools import chain
 
@@ -79,6 +79,46 @@ def pretoken_starts(points: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
+class Chunk:
+    """An encoded chunk: its ids, where its pre-tokens start, and the index of the id there."""
+
+    def __init__(self, ids: np.ndarray, starts: np.ndarray, first: np.ndarray):
+        self.ids, self.starts, self.first = ids, starts, first
+
+    def boundaries(self, low: int, high: int, backward: bool) -> dict[int, int]:
+        a, b = np.searchsorted(self.starts, [low, high + 1])
+        return dict(zip(self.starts[a:b].tolist(), self.first[a:b].tolist(), strict=True))
+
+    def index(self, at: int) -> int:
+        """The index of the id at a boundary."""
+        return int(self.first[np.searchsorted(self.starts, at)])
+
+
+class LibraryChunk:
+    """A chunk as the library encodes it; boundaries are looked for from one end of it, as far as they are asked for."""
+
+    def __init__(self, library, text: str):
+        self.encoding = library.encode(text, add_special_tokens=False)
+        self.ids = np.array(self.encoding.ids, np.uint32)
+
+    def boundaries(self, low: int, high: int, backward: bool) -> dict[int, int]:
+        e, n = self.encoding, len(self.encoding)
+        out, offsets = {}, None
+        for i in range(n - 1, -1, -1) if backward else range(n):
+            if (chars := e.token_to_chars(i)) is None:
+                offsets = offsets or e.offsets
+                chars = offsets[i]
+            at = chars[0]
+            if at < low if backward else at > high:
+                break
+            if low <= at <= high and (i == 0 or (word := e.token_to_word(i)) is None or word != e.token_to_word(i - 1)):
+                out[at] = i
+        return out
+
+    def index(self, at: int) -> int:
+        return self.encoding.char_to_token(at)
+
+
 class Encoder:
     """The library's tokenizer with a memory of pre-tokens, and what splicing may rely on.
 
@@ -134,9 +174,10 @@ class Encoder:
         self.keys, self.rows = np.insert(self.keys, at, keys), np.insert(self.rows, at, np.arange(new.start, new.stop, dtype=np.int32))
         self.used, self.written, self.n = self.used + int(counts.sum()), self.written + len(letters), new.stop
 
-    def _memo(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Rows of the texts' pre-tokens; each text's first and one past its last; and which texts have a pre-token that is
-        too long or not the one that is remembered under its key.  The END mark stands after each text."""
+    def _memo(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the texts' pre-tokens; each text's first and one past its last; which texts have a pre-token that is too
+        long or not the one that is remembered under its key; where pre-tokens start.  The END mark stands after each text.
+        """
         joined = "\U0010ffff".join(texts) + "\U0010ffff" * 3
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         known = np.minimum(points, 0x206F)
@@ -173,7 +214,7 @@ class Encoder:
         bad_texts = np.zeros(len(texts), bool)
         bad_texts[np.searchsorted(marks, np.flatnonzero(bad))] = True
         rows[bad] = -1
-        return rows, np.concatenate([[0], marks[:-1] + 1]), marks, bad_texts
+        return rows, np.concatenate([[0], marks[:-1] + 1]), marks, bad_texts, starts
 
     def sure(self, text: str) -> bool:
         """Whether the pre-tokens of a text can be told here."""
@@ -190,23 +231,37 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def counts_of(self, texts: list[str]) -> list[int]:
-        rows, first, last, bad = self._memo(texts)
+        rows, first, last, bad, _ = self._memo(texts)
         total = np.concatenate([[0], np.cumsum(np.where(rows < 0, 0, self.counts[rows]))])
         out = (total[last] - total[first]).tolist()
         for i in np.flatnonzero(bad).tolist():
             out[i] = len(self.ids(texts[i]))
         return out
 
-    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
-        rows, first, last, bad = self._memo(texts)
+    def _spelt(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows one after another, and how many there are before each."""
         counts = np.where(rows < 0, 0, self.counts[rows])
         total = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.flat[np.repeat(self.at[rows] - total[:-1], counts) + np.arange(total[-1])]
+        return self.flat[np.repeat(self.at[rows] - total[:-1], counts) + np.arange(total[-1])], total
+
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        rows, first, last, bad, _ = self._memo(texts)
+        ids, total = self._spelt(rows)
         return [self.ids(t) if b else ids[x:y] for t, b, x, y in zip(texts, bad.tolist(), total[first], total[last], strict=True)]
 
-    def spliced(self, text: str) -> Iterator[list[int]]:
+    def chunk(self, text: str) -> Chunk:
+        """The encoding of a chunk whose pre-tokens can be told here, with all of its boundaries."""
+        rows, _, last, bad, starts = self._memo([text])
+        if bad[0]:
+            return LibraryChunk(self.library, text)
+        ids, total = self._spelt(rows[: last[0]])
+        return Chunk(ids, starts[: last[0]], total[:-1])
+
+    def spliced(self, text: str) -> Iterator[np.ndarray]:
         """The ids of a huge text, piece by piece; whole if the tokenizer isn't known."""
-        return spliced(self.library, text, margin=self.margin) if self.known else iter([self.library.encode(text, add_special_tokens=False).ids])
+        if not self.known:
+            return iter([self.ids(text)])
+        return spliced(self.chunk if self.sure(text) else partial(LibraryChunk, self.library), text, margin=self.margin)
 
 
 def _is_byte_level(file: dict) -> bool:
@@ -226,30 +281,14 @@ def cached(kind, *key):
     return held.made
 
 
-def _boundaries(encoding, base: int, low: int, high: int, backward: bool) -> dict[int, int]:
-    """Where pre-tokens start in low..high, and the index of the token there; looked for from one end of the chunk."""
-    out, n, offsets = {}, len(encoding), None
-    for i in range(n - 1, -1, -1) if backward else range(n):
-        if (chars := encoding.token_to_chars(i)) is None:
-            offsets = offsets or encoding.offsets
-            chars = offsets[i]
-        at = base + chars[0]
-        if at < low if backward else at > high:
-            break
-        if low <= at <= high and (i == 0 or (word := encoding.token_to_word(i)) is None or word != encoding.token_to_word(i - 1)):
-            out[at] = i
-    return out
-
-
-def spliced(library, text: str, *, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, margin: int = 64) -> Iterator[list[int]]:
+def spliced(encode: Callable[[str], Chunk | LibraryChunk], text: str, *, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, margin: int = 64) -> Iterator[np.ndarray]:
     """The ids of a huge text, piece by piece.
 
     The pattern looks at no text before the place where it stands, so once two encodings share a boundary they agree
     from there on.  A boundary of the left chunk is stable if it lies `margin` before the chunk's end: no longer match
     and no special token can reach over it.  Where the overlap holds no common stable boundary it is doubled.
     """
-    encode = partial(library.encode, add_special_tokens=False)
-    n, start, entry, first = len(text), 0, 0, 0  # the left chunk counts from its token `first`, at the place `entry`
+    n, start, entry, first = len(text), 0, 0, 0  # the left chunk counts from its id `first`, at the place `entry`
     end = min(n, chunk + overlap)
     left = encode(text[:end])
     while end < n:
@@ -259,19 +298,20 @@ def spliced(library, text: str, *, chunk: int = CHUNK_CHARS, overlap: int = OVER
             begin = begin if begin > entry else entry + max(1, (end - entry) // 2)
             right_end = min(n, max(begin + chunk, end) + wider)
             right = encode(text[begin:right_end])
-            stable = _boundaries(left, start, max(begin, entry + 1), end - margin, True)
-            common = stable and {p: i for p, i in _boundaries(right, begin, begin, end - margin, False).items() if p in stable}
+            stable = left.boundaries(max(begin, entry + 1) - start, end - margin - start, True)
+            meeting = right.boundaries(0, end - margin - begin, False) if stable else {}
+            common = {p + begin: i for p, i in meeting.items() if p + begin - start in stable}
             if not common:
                 wider *= 2
                 end = min(n, end + wider)
                 left = encode(text[start:end])
-                first = left.char_to_token(entry - start)
+                first = left.index(entry - start)
                 if end == n:
                     break
         if not common:
             break
         nxt = max(common)
-        yield left.ids[first : stable[nxt]]
+        yield left.ids[first : stable[nxt - start]]
         left, start, entry, first, end = right, begin, nxt, common[nxt], right_end
     yield left.ids[first:]
 
