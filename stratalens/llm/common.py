@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
 import uuid
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalens.session import shared_dir, with_package
+
 #: Has Spark remove the shuffles of an execution at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows in an Arrow batch at most; texts may be long, so the default of 10,000 is too many.
@@ -24,29 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, and keep Arrow batches small."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    with_package(spark)
     rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if rows <= 0 or rows > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.  Where it is unset, one of our own if
-    everything runs in this process; on a cluster that is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "stratalens-shared")
-        spark.sparkContext.setCheckpointDir(base)
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
-    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return re.sub("^file:/+", "file:///", whole).rstrip("/")
-
-
 class Workspace:
     """Written intermediate tables of one query, in the shared folder.
 
