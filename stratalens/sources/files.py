@@ -83,6 +83,12 @@ def manifests(files: DataFrame) -> DataFrame:
     return files.filter(F.col("path") == "package.json").select("project_id", m["dependencies"].alias("dependencies"), m["devDependencies"].alias("dev_dependencies"))
 
 
+def root_manifest(spark: SparkSession, root: str, project_id: str) -> DataFrame:
+    """The manifest of a folder itself; no row without one, null maps if it doesn't parse."""
+    rows = binary(spark, root, "package.json").select(F.lit(project_id).alias("project_id"), below(F.col("path"), root).alias("path"), F.decode("content", "UTF-8").alias("content"))
+    return manifests(rows)
+
+
 def stored(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """All stored objects below a prefix, without sidecars; Spark's scan leaves out those without content."""
     rows = binary(spark, root).select(below(F.col("path"), root).alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))

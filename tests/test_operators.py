@@ -244,7 +244,9 @@ def test_analysis_of_a_tree(spark, tmp_path):
         p.write_text(content)
     files = sources.source_files(spark, str(tmp_path), "p")
     assert sorted(r.path for r in files.collect()) == ["src/a.ts", "src/b.ts", "src/c.py"]
-    manifest = spark.createDataFrame([("p", {"lodash": "4"}, {"os": "0"})], "project_id string, dependencies map<string,string>, dev_dependencies map<string,string>")
+    (tmp_path / "package.json").write_text('{"dependencies": {"lodash": "4"}, "devDependencies": {"os": "0"}}')
+    (tmp_path / "src" / "package.json").write_text('{"dependencies": {"lodash": "9"}}')
+    manifest = sources.root_manifest(spark, str(tmp_path), "p")
     got = library.dependency_analysis(files, manifest)
     assert sorted((r.source, r.target) for r in got["edges"].collect()) == [("src/a.ts", "src/b.ts"), ("src/b.ts", "src/a.ts")]
     assert [tuple(r.cycle) for r in got["cycles"].collect()] == [("src/a.ts", "src/b.ts", "src/a.ts")]
