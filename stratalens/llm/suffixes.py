@@ -4,8 +4,13 @@ Every string of LENGTH bytes selects an anchor, the GRAM-byte string in it with
 same one.  Neighbouring strings with one anchor form a region.  Only anchors whose gram occurs twice can belong to
 repeats, and only their suffixes are sorted: from the anchor to the right end of its region, then what the region has
 left of the anchor, backwards.  Tasks exchange sorted, front-coded runs by ranges of keys; a loser tree, which keeps for
-each run how much its head shares with the last winner, merges them without comparing a known prefix again.  Equal
-regions and regions with one anchor come out side by side, and there all repeats of a string are seen together.
+each run how much its head shares with the last winner, merges them without comparing a known prefix again.
+
+A string that holds its anchor at offset x is the anchor's next LENGTH - x bytes and the x bytes before it.  Two are
+equal if the suffixes share that many bytes to the right, which the merge knows, and their left parts share x, which a
+sort of the left parts tells: so all repeats come from common prefixes, and nothing is hashed to be told apart.  A gram
+that fills several ranges is cut inside; strings that lie on such a cut go on, one for each range, and are grouped as
+bytes.  Beyond RANGES ranges are dealt in two levels, the second by cuts that tasks find.
 """
 
 from __future__ import annotations
@@ -26,10 +31,10 @@ from stratalens.llm.tokens import in_batches
 LENGTH, GRAM = 100, 40
 #: Suffix bytes that a task sorts at once, and those of a range of keys on average.
 RUN_BYTES, RANGE_BYTES = 24 << 20, 8 << 20
-#: Ranges at most; beyond that they grow.
-RANGES = 1 << 17
-#: One of so many anchors carries its key; of those at most about so many, and so many for a range, tell the cuts.
-SAMPLED, SAMPLE, SAMPLE_OF_RANGE = 64, 400_000, 32
+#: Ranges of a level at most.
+RANGES = 4096
+#: One of so many anchors carries its key; of those about so many for a range tell the cuts.
+SAMPLED, SAMPLE_OF_RANGE = 64, 32
 #: Regions whose strings are compared together, if no gram has more.
 TOGETHER = 20_000
 #: Window starts that are looked at together.
@@ -265,10 +270,10 @@ def merged(runs: list[Run]) -> Iterator[tuple[int, tuple]]:
             node //= 2
 
 
-def window_repeats(items: list[tuple], shares: list[int], cuts: list[bytes], near: list[bytes], length: int, gram: int) -> tuple[np.ndarray, list[tuple]]:
+def window_repeats(items: list[tuple], shares: list[int], near: list[bytes], length: int, gram: int) -> tuple[np.ndarray, list[tuple]]:
     """items in order of their keys, with what each shares with the one before: (doc, version, at, windows) of the windows
-    that equal one at an earlier place, and (cut, offset, left, doc, version, at) of the first of each kind whose part
-    from the anchor on a cut shares that this range is `near`: others may lie beyond it.
+    that equal one at an earlier place, and (window, doc, version, at) of the first of each kind whose part from the
+    anchor on a cut shares that this range is `near`: others may lie beyond it.
     """
     right, doc, version, at, windows = (np.array([x[i] for x in items], np.int64) for i in range(1, 6))
     left = np.array([len(x[0]) for x in items], np.int64) - right
@@ -297,7 +302,7 @@ def window_repeats(items: list[tuple], shares: list[int], cuts: list[bytes], nea
         again[i, most + 1 - x] = place[i] != place[i[first]][inverse]
         for k in i[first][open_from[i[first]] >= length - x].tolist():
             key, r, d, v, a, _ = items[order[k]]
-            going.append((bisect_left(cuts, key[: length - x]), x, key[r : r + x], d, v, a + len(key) - r - x))
+            going.append((key[r : r + x][::-1] + key[: length - x], d, v, a + len(key) - r - x))
     edge = np.diff(again.astype(np.int8), axis=1)
     row, begin = np.nonzero(edge == 1)
     end = np.nonzero(edge == -1)[1]
@@ -305,10 +310,26 @@ def window_repeats(items: list[tuple], shares: list[int], cuts: list[bytes], nea
     return np.stack([doc[i], version[i], anchor[i] - most + begin, end - begin], axis=1), going
 
 
+PIECE = "range int, low binary, high binary, run binary"
+PART = "range int, part int, low binary, high binary, run binary"
+FOUND = "doc long, version long, at long, windows long, window binary"
+
+
+def _pieces(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[k]) for i, k in enumerate(kinds)], list(names))
+
+
+def sides(cuts: list[bytes], inner: list[bool], at: int) -> tuple[bytes | None, bytes | None]:
+    """The cuts below and above a range, if they lie inside a gram."""
+    return tuple(cuts[i] if 0 <= i < len(cuts) and inner[i] else None for i in (at - 1, at))
+
+
 def _runs(batches: Iterator[pa.RecordBatch], cuts, length: int, gram: int, run_bytes: int) -> Iterator[pa.RecordBatch]:
     """Sorted runs of the wanted suffixes, a front-coded piece for each range of keys."""
     held: list[tuple] = []
-    size, limits = 0, cuts.value[0]
+    size, (limits, inner) = 0, cuts.value
 
     def pieces():
         held.sort()
@@ -317,9 +338,9 @@ def _runs(batches: Iterator[pa.RecordBatch], cuts, length: int, gram: int, run_b
         while at < len(held):
             b = bisect_right(limits, held[at][0])
             end = bisect_left(held, limits[b], at, key=lambda x: x[0]) if b < len(limits) else len(held)
-            out.append((b, pack_run(*collapsed(held[at:end]))))
+            out.append((b, *sides(limits, inner, b), pack_run(*collapsed(held[at:end]))))
             at = end
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["range", "run"])
+        return _pieces(out, PIECE)
 
     for rows in in_batches(_keys(batches, ("places",)), 2):
         texts = [r[2] for r in rows]
@@ -338,19 +359,49 @@ def _runs(batches: Iterator[pa.RecordBatch], cuts, length: int, gram: int, run_b
         yield pieces()
 
 
-def _merge(table: pa.Table, cuts, length: int, gram: int) -> pa.Table:
+def _ranges(batches: Iterator[pa.RecordBatch], cuts) -> Iterator[pa.RecordBatch]:
+    """(range, key) of sampled keys."""
+    for b in batches:
+        keys = b.column("key").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([bisect_right(cuts.value[0], k) for k in keys], pa.int32()), b.column("key")], ["range", "key"])
+
+
+def _cut_range(table: pa.Table, n: int, gram: int) -> pa.Table:
+    """The cuts of one range into about n parts."""
+    cuts, inner = cut_points(table.column("key").to_pylist(), n, gram)
+    return pa.table({"range": table.column("range")[:1].cast(pa.int32()), "cuts": pa.array([cuts], pa.list_(pa.binary())), "inner": pa.array([inner], pa.list_(pa.bool_()))})
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of a range, split by the cuts of its parts."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            known = [(c, i) for c, i in zip(row["cuts"] or (), row["inner"] or (), strict=True) if row["low"] is None or c > row["low"]]
+            cuts, inner = [c for c, _ in known], [i for _, i in known]
+            run, parts, begun = Run(row["run"]), [], False
+            while run.key is not None or not begun:
+                at, items = bisect_right(cuts, run.key) if run.key is not None else 0, []
+                while run.key is not None and (at == len(cuts) or run.key < cuts[at]):
+                    items.append(run.item())
+                    run.next()
+                low, high = sides(cuts, inner, at)
+                low, high = row["low"] if at == 0 else low, row["high"] if at == len(cuts) else high
+                parts.append((row["range"], at, low, high, pack_run(items, [] if begun else run.repeats.tolist())))
+                begun = True
+            yield _pieces(parts, PART)
+
+
+def _merge(table: pa.Table, length: int, gram: int) -> pa.Table:
     """Repeats as (doc, version, at, windows), and windows that others in the next ranges may equal, with windows 0."""
     runs = [Run(x.as_py()) for x in table.column("run")]
-    at = table.column("range")[0].as_py()
-    limits, inner = cuts.value
-    near = [limits[i] for i in (at - 1, at) if 0 <= i < len(limits) and inner[i]]
+    near = [x for x in (table.column(k)[0].as_py() for k in ("low", "high")) if x is not None]
     found = [np.zeros((0, 4), np.int64), *(r.repeats for r in runs if len(r.repeats))]
     going: list[tuple] = []
     items: list[tuple] = []
     shares: list[int] = []
 
     def end():
-        rows, more = window_repeats(items, shares, limits, near, length, gram)
+        rows, more = window_repeats(items, shares, near, length, gram)
         found.append(rows)
         going.extend(more)
         items.clear()
@@ -364,12 +415,9 @@ def _merge(table: pa.Table, cuts, length: int, gram: int) -> pa.Table:
     if items:
         end()
     rows = np.concatenate(found)
-    none = len(rows)
-    column = lambda i, j: np.concatenate([rows[:, i], np.array([x[j] for x in going], np.int64)])
-    return pa.table({
-        "doc": column(0, 3), "version": column(1, 4), "at": column(2, 5), "windows": np.concatenate([rows[:, 3], np.zeros(len(going), np.int64)]),
-        "cut": pa.array([None] * none + [x[0] for x in going], pa.int32()), "x": pa.array([None] * none + [x[1] for x in going], pa.int32()), "behind": pa.array([None] * none + [x[2] for x in going], pa.binary()),
-    })
+    column = lambda i: np.concatenate([rows[:, i], np.array([x[i + 1] for x in going], np.int64)])
+    windows = np.concatenate([rows[:, 3], np.zeros(len(going), np.int64)])
+    return pa.table({"doc": column(0), "version": column(1), "at": column(2), "windows": windows, "window": pa.array([None] * len(rows) + [x[0] for x in going], pa.binary())})
 
 
 def cut_points(sample: list[bytes], n: int, gram: int) -> tuple[list[bytes], list[bool]]:
@@ -419,7 +467,8 @@ def repeats(
 
     Anchors carry one key for a document and its version.  Should two have the same, more of their suffixes are sorted,
     with the same result: what repeats is told by the document and its version themselves.  The driver gets a sample
-    of keys, of bounded number and length.
+    of keys, of bounded number and length, for the cuts of one level of ranges; if those don't suffice, each range is cut
+    again where its part of a larger sample meets.
     """
     docs = docs.withColumn("row", F.xxhash64("doc", "version"))
     anchors = space.write(docs.mapInArrow(partial(_anchors, length=length, gram=gram, sampled=sampled), "h long, row long, at long, key binary"), "anchors")
@@ -428,20 +477,31 @@ def repeats(
     wanted = space.write(wanted, "wanted")
     space.drop("anchors")
     total = wanted.count()
-    n = max(1, min(RANGES, total * 130 // range_bytes))
-    part = min(1.0, min(SAMPLE, SAMPLE_OF_RANGE * n) / max(1, total / sampled))
-    shown = wanted.filter(F.col("key").isNotNull() & (F.pmod(F.xxhash64("row", "at"), F.lit(1 << 20)) < int(part * (1 << 20)))).select("key")
-    cuts = docs.sparkSession.sparkContext.broadcast(cut_points([bytes(r.key) for r in shown.collect()], n, gram) if n > 1 else ([], []))
+    n = max(1, total * 130 // range_bytes)
+    level = min(n, RANGES)
+
+    def shown(ranges: int) -> DataFrame:
+        part = min(1.0, SAMPLE_OF_RANGE * ranges / max(1, total / sampled))
+        return wanted.filter(F.col("key").isNotNull() & (F.pmod(F.xxhash64("row", "at"), F.lit(1 << 30)) < int(part * (1 << 30)))).select("key")
+
+    cuts = docs.sparkSession.sparkContext.broadcast(cut_points([bytes(r.key) for r in shown(level).collect()], level, gram) if level > 1 else ([], []))
     by_row = wanted.groupBy("row").agg(F.collect_set("at").alias("places"))  # rows that repeat an id and a text have the same
     runs = docs.join(by_row.hint("merge"), "row").select("doc", "version", "text", "places")
-    runs = runs.mapInArrow(partial(_runs, cuts=cuts, length=length, gram=gram, run_bytes=run_bytes), "range int, run binary")
-    found = runs.groupBy("range").applyInArrow(on_group(_merge, cuts=cuts, length=length, gram=gram), "doc long, version long, at long, windows long, cut int, x int, behind binary")
+    runs = runs.mapInArrow(partial(_runs, cuts=cuts, length=length, gram=gram, run_bytes=run_bytes), PIECE)
+    keys = ["range"]
+    if n > level:
+        keys = ["range", "part"]
+        again = shown(n).mapInArrow(partial(_ranges, cuts=cuts), "range int, key binary").groupBy("range")
+        parts = again.applyInArrow(on_group(_cut_range, n=-(-n // level), gram=gram), "range int, cuts array<binary>, inner array<boolean>")
+        parts = parts.withColumn("k", rekeyed(F.col("range").cast("long"))).drop("range")
+        runs = runs.withColumn("k", rekeyed(F.col("range").cast("long"))).join(parts.hint("merge"), "k", "left").drop("k").mapInArrow(_split, PART)
+    found = runs.groupBy(*keys).applyInArrow(on_group(_merge, length=length, gram=gram), FOUND)
     found = space.write(found, "found")
     space.drop("wanted")
     place = F.struct("doc", "version", "at")
-    going = found.filter("windows = 0").select("cut", "x", "behind", "doc", "version", "at")
-    first = going.groupBy("cut", "x", "behind").agg(F.min(place).alias("first"))
-    again = going.join(first.hint("merge"), ["cut", "x", "behind"]).filter(place != F.col("first")).select("doc", "version", "at", F.lit(1).cast("long").alias("windows"))
+    going = found.filter("windows = 0").select("window", "doc", "version", "at")
+    first = going.groupBy("window").agg(F.min(place).alias("first"))
+    again = going.join(first.hint("merge"), "window").filter(place != F.col("first")).select("doc", "version", "at", F.lit(1).cast("long").alias("windows"))
     every = found.filter("windows > 0").select("doc", "version", "at", "windows").unionByName(again)
     return every.groupBy("doc", "version").agg(F.collect_list(F.struct("at", "windows")).alias("p")).select("doc", "version", F.col("p.at").alias("ats"), F.col("p.windows").alias("windows"))
 
