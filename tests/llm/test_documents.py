@@ -285,6 +285,12 @@ def test_secrets_base_and_random(spark):
     assert "random:4:34" in got[3].spans and not any("random" in got[i].spans for i in (4, 5, 6, 7))
 
 
+def test_secrets_of_rows_without_an_id_and_repeated_rows(spark):
+    rows = spark.createDataFrame([(None, TEXTS[0]), (None, TEXTS[0]), (None, None), (4, TEXTS[3]), (4, TEXTS[3])], "doc_id long, text string").withColumn("n_hex", mixing.F.lit("clash"))
+    got = Counter((r.doc_id, r.n_assign, r.spans) for r in secrets.scan(rows, tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern()).collect())
+    assert got == {(None, 1, "assign:0:19"): 2, (None, 0, ""): 1, (4, 0, "random:4:34"): 2}
+
+
 def test_secrets_redacted(spark, empty):
     rows = spark.createDataFrame(rows_of(TEXTS), SCHEMA)
     out = secrets.redact(rows, tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern())
@@ -495,12 +501,16 @@ def test_token_counts(docs, empty):
 
 
 def test_overlap_resynchronisation():
-    library = tokens.Encoder(tokenizer_path()).library
+    enc = tokens.Encoder(tokenizer_path())
+    library = tokens.partial(tokens.LibraryChunk, enc.library)
     r = random.Random(5)
     texts = ["".join(r.choice("ab S  \n\t'sdtm12!?,.é<|") for _ in range(3000)), "x <|endoftext|> y" * 200, " " * 2000, "a" * 3000, "\n \n" * 900 + "b", "漢字 かな" * 300]
     for t in texts:
         for chunk, overlap in ((100, 10), (517, 3), (2000, 200)):
-            assert [i for p in tokens.spliced(library, t, chunk=chunk, overlap=overlap) for i in p] == encode(t)
+            for encoder in (library, enc.chunk) if enc.sure(t) else (library,):
+                pieces = list(tokens.spliced(encoder, t, chunk=chunk, overlap=overlap))
+                assert [i for p in pieces for i in p.tolist()] == encode(t)
+    assert len(pieces) == 1 and enc.sure(texts[0]) and enc.sure(texts[4])
 
 
 def test_memory_of_pretokens():
@@ -646,10 +656,12 @@ def test_suffixes_of_rows_without_or_with_shared_ids(spark, options):
     assert got == by_hand_of_any(rows, spark)
 
 
-@pytest.mark.parametrize("options", [{}, {"range_bytes": 3000, "run_bytes": 5000, "sampled": 1}])
-def test_suffixes_around_frequent_strings(spark, options, monkeypatch):
-    """Many documents share strings shorter than, as long as and longer than a window, and some also what stands beside."""
+@pytest.mark.parametrize(("options", "level"), [({}, 4096), ({"range_bytes": 3000, "run_bytes": 5000, "sampled": 1}, 4096), ({"range_bytes": 3000, "run_bytes": 5000, "sampled": 1}, 5)])
+def test_suffixes_around_frequent_strings(spark, options, level, monkeypatch):
+    """Many documents share strings shorter than, as long as and longer than a window, and some also what stands beside;
+    ranges in one level and in two."""
     monkeypatch.setattr(suffixes, "TOGETHER", 50)
+    monkeypatch.setattr(suffixes, "RANGES", level)
     r = random.Random(15)
     draw = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
     common = [draw(n) for n in (41, 60, 80, 99, 100, 101, 130, 230)]

@@ -56,3 +56,15 @@ def test_query(spark, folder, name):
         want = con.sql(oracle_sql()[name])
         assert sorted(want.columns) == sorted(got.columns)
         assert Counter(tuple(r[c] for c in want.columns) for r in rows) == Counter(map(tuple, want.fetchall()))
+
+
+def test_workspace_tables_and_shuffles(spark):
+    from stratalens.llm.common import CLEANUP, Workspace
+
+    space = Workspace(spark, "test")
+    before = spark.conf.get(CLEANUP)
+    table = space.write(spark.range(10).repartition(3), "t")
+    assert table.count() == 10 and spark.conf.get(CLEANUP) == before and space.root.startswith("file:///")
+    space.close()
+    with pytest.raises(Exception, match="(?i)path|file"):
+        spark.read.parquet(space.path("t"))
