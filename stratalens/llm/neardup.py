@@ -105,12 +105,12 @@ def near_duplicates(
     The work grows with the square of a label's distinct vectors, as each pair is looked at; what is sent grows with
     their square over the tile's size.
     """
-    space = Workspace(vectors.sparkSession, "neardup")
+    space = Workspace(vectors.sparkSession, "neardup", vectors)
     rows = vectors.select(
         F.monotonically_increasing_id().alias("uid"),
         F.col(id_col).cast("long").alias("vec_id"),
         F.col(label_col).cast("string").alias("label"),
-        F.col(vector_col).cast("array<double>").alias("vector"),
+        F.col(vector_col).cast("array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>").alias("vector"),
     )
     rows = space.write(rows.withColumn("good", valid(F.col("vector")) & F.col("label").isNotNull()), "rows")
     kinds = rows.filter("good").groupBy("label", "vector").agg(F.min("uid").alias("uid"), F.count("*").alias("copies"), F.min("vec_id").alias("vec_id")).withColumn("dims", F.size("vector"))
@@ -119,7 +119,7 @@ def near_duplicates(
     sizes = kinds.groupBy("label", "dims").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).select(key, "label", "dims", "tiles")
     dealt = (
         kinds.select("*", key)
-        .join(sizes.hint("merge"), ["k", "label", "dims"])
+        .join(sizes, ["k", "label", "dims"])  # no hint: few labels are sent to all tasks, many are shuffled and split
         .withColumn("mine", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int"))
         .select("uid", "copies", "vector", "label", "dims", "mine", F.explode(F.expr("sequence(0, tiles - 1)")).alias("other"))
         .select(
