@@ -12,6 +12,11 @@ from stratalens.session import shared_dir, with_package
 
 #: Has Spark remove the shuffles of an execution at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: From how many partitions adaptive execution puts a shuffle together; one for so many bytes of input, in these bounds.
+INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+INPUT_BYTES, MOST_PARTITIONS = 32 << 20, 100_000
+#: What Spark takes for the size of a table that it knows nothing of is more than this.
+UNKNOWN = 1 << 60
 #: Rows in an Arrow batch at most; texts may be long, so the default of 10,000 is too many.
 BATCH_ROWS = 512
 
@@ -28,6 +33,13 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def input_bytes(table: DataFrame) -> int:
+    """The bytes of what a table is read from, as Spark's plan knows them; what has no size there counts as none."""
+    leaves = table._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < UNKNOWN)
+
+
 class Workspace:
     """Written intermediate tables of one query, in the shared folder.
 
@@ -35,22 +47,29 @@ class Workspace:
     the rest stays until `close`, or until the shared folder is cleaned.
     """
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, *inputs: DataFrame):
         prepare(spark)
         self.spark = spark
+        self.partitions = min(MOST_PARTITIONS, sum(map(input_bytes, inputs)) // INPUT_BYTES)
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table; the shuffles that led to it go as soon as it is there."""
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
+        """Write a table.  Its shuffles start from as many partitions as the inputs of the query ask for, if that is more
+        than the session says, and go as soon as the table is there."""
+        conf = self.spark.conf
+        usual = int(conf.get(INITIAL, None) or conf.get("spark.sql.shuffle.partitions"))
+        settings = {CLEANUP: "true"} | ({INITIAL: str(self.partitions)} if self.partitions > usual else {})
+        before = {k: conf.get(k, None) for k in settings}
+        for k, v in settings.items():
+            conf.set(k, v)
         try:
             df.write.parquet(self.path(name))
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

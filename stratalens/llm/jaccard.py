@@ -350,7 +350,7 @@ def similar(
     Copies are summed up before anything else, so a group of copies is one node however many rows it has.  Its links
     count all its copies.  No pair leaves a tile: only counts and the edges of a spanning forest do.
     """
-    sig, known = _classes(docs, Workspace(docs.sparkSession, "jaccard"), id_col, text_col, threshold, tolerance)
+    sig, known = _classes(docs, Workspace(docs.sparkSession, "jaccard", docs), id_col, text_col, threshold, tolerance)
     known = known.select(rekeyed(F.col("node")).alias("k"), F.col("doc").alias("class_id"), "n_links")
     out = sig.withColumn("k", rekeyed(F.col("node"))).join(known.hint("merge"), "k", "left")
     own = F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("class_id"))
@@ -364,7 +364,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Of rows that share that id the one stays whose text has the least hash, of rows that share the text too the one
     whose other columns have the least hash.  Texts without words are classes of their own by id and text.
     """
-    space = Workspace(docs.sparkSession, "jaccard")
+    space = Workspace(docs.sparkSession, "jaccard", docs)
     sig, known = _classes(docs, space, id_col, text_col, threshold, tolerance)
     kept = known.select("doc", "hash").unionByName(sig.filter("node is null").select("doc", "hash")).distinct()
     rest = [F.col(f"`{c}`") for c, t in docs.dtypes if c != text_col and "map<" not in t]

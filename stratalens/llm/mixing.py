@@ -161,7 +161,7 @@ def mix(
         F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c, t in docs.dtypes if c in (keep or docs.columns) and c != text_col and "map<" not in t]).alias("tie"),
     ).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "place"), F.lit(n_blocks)).cast("int"))
     # Written, as the summary is read several times and each reading would count the words of all texts again.
-    blocks = Workspace(docs.sparkSession, "mixing").write(base.groupBy("skey", "block").agg(F.sum("size").alias("words")), "blocks")
+    blocks = Workspace(docs.sparkSession, "mixing", docs).write(base.groupBy("skey", "block").agg(F.sum("size").alias("words")), "blocks")
     shards = shards or min(SHARDS[1], max(SHARDS[0], int(share * (blocks.agg(F.sum("words")).first()[0] or 0)) // SHARD_WORDS))
     sources = source_targets(blocks.groupBy("skey").agg(F.sum("words").alias("source_size")), weights, share, most)
     in_order = Window.partitionBy("skey").orderBy(F.xxhash64(F.lit(seed + 2), "skey", "block"), "block")

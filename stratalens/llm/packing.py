@@ -127,7 +127,7 @@ def pack(
     result.  Sequences are gapless from 0 and hold at most `capacity` ids.  Pieces don't move for packing; only
     unfinished sequences, a row each, go to the next round.
     """
-    space = Workspace(docs.sparkSession, "packing")
+    space = Workspace(docs.sparkSession, "packing", docs)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     packed = space.write(rows.mapInArrow(partial(_pieces, path=tokenizer, capacity=capacity, end_id=end_id, long_chars=LONG_CHARS), PIECES), "pieces")
     items = packed.filter("offset = 0").select("bin", "bin_length")

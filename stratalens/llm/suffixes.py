@@ -521,7 +521,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows that repeat only the id are told apart and ordered by a 64-bit hash of their texts' SHA-256.  Other columns
     are dropped, whatever their names; an empty table gives an empty result.
     """
-    space = Workspace(docs.sparkSession, "suffixes")
+    space = Workspace(docs.sparkSession, "suffixes", docs)
     keyed = _keyed(docs, id_col, text_col)
     found = space.write(repeats(keyed.drop("doc_id"), space, length=length, **options), "repeats")
     space.drop("found")

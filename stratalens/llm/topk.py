@@ -109,7 +109,7 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     Queries and rows are dealt to blocks by hash and each pair of blocks is a group, so no table is broadcast and no
     group grows with the data; from each only k rows for a query go on.
     """
-    space = Workspace(vectors.sparkSession, "topk")
+    space = Workspace(vectors.sparkSession, "topk", vectors)
     x = F.col(vector_col).cast("array<double>")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = vectors.filter(F.coalesce(x.isNotNull() & finite, F.lit(False))).select(

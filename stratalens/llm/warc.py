@@ -200,7 +200,7 @@ def planned(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
         F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b"")).alias("payload"),
     ).withColumn("digest", F.sha2("payload", 256))
-    space = Workspace(pages.sparkSession, "warc-groups")
+    space = Workspace(pages.sparkSession, "warc-groups", pages)
     groups = (
         rows.filter(F.octet_length("payload") >= LEAST_SHARED)
         .groupBy("digest")
@@ -246,7 +246,7 @@ def round_trip(pages: DataFrame, **options) -> DataFrame:
     responses too, as a record can't revisit itself; so are all pages of a group without any page_id.  An empty table
     gives an empty result.  Other columns aren't archived.
     """
-    space = Workspace(pages.sparkSession, "warc")
+    space = Workspace(pages.sparkSession, "warc", pages)
     index = normalise(write_archives(pages, space, **options), space)
     space.drop("raw", "raw-manifest")
     return read_archives(index)

@@ -58,6 +58,21 @@ def test_query(spark, folder, name):
         assert Counter(tuple(r[c] for c in want.columns) for r in rows) == Counter(map(tuple, want.fetchall()))
 
 
+def test_shuffles_start_from_as_many_partitions_as_the_input_asks_for(spark, folder, monkeypatch):
+    from stratalens.llm import common
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert 1000 < common.input_bytes(docs) < 10**6 and common.Workspace(spark, "t", docs).partitions == 0
+    assert common.input_bytes(docs.limit(3).mapInArrow(lambda b: b, docs.schema)) > 1000 and common.input_bytes(spark.createDataFrame([(1, "x")]).repartition(2)) < 10**6
+    assert common.input_bytes(spark.createDataFrame(spark.sparkContext.parallelize([(1, "x")]))) == 0
+    monkeypatch.setattr(common, "INPUT_BYTES", 300)
+    space, usual, seen = common.Workspace(spark, "t", docs.filter("doc_id > 3")), spark.conf.get(common.INITIAL, None), []
+    frame = type("Frame", (), {"write": property(lambda self: self), "parquet": lambda self, path: seen.append(spark.conf.get(common.INITIAL)), "schema": docs.schema})()
+    with pytest.raises(Exception, match="(?i)path"):
+        space.write(frame, "x").count()
+    assert int(seen[0]) == space.partitions > 10 and spark.conf.get(common.INITIAL, None) == usual
+
+
 def test_workspace_tables_and_shuffles(spark):
     from stratalens.llm.common import CLEANUP, Workspace
 
