@@ -76,28 +76,31 @@ def layers(edges: Edges) -> Iterator[tuple[str, int]]:
         yield a, height[c]
 
 
+def _groups(near: dict[str, list[str]], nodes: set[str]) -> list[set[str]]:
+    """The strong components of more than one of the nodes."""
+    found: dict[str, set[str]] = defaultdict(set)
+    for a, c in _component_of({a: [b for b in near[a] if b in nodes] for a in nodes}).items():
+        found[c].add(a)
+    return [g for g in found.values() if len(g) > 1]
+
+
 def cycles(edges: Edges, longest: int | None = None) -> Iterator[tuple[list[str]]]:
     """([first, ..., first],) for each simple cycle, from its least node.
 
-    From each node in turn the walk stays in what is left of its strong component.  A node that led nowhere is shut
-    until a node on the way to it leaves the path, so the time between two cycles is bounded by the edges; with a bound
-    on the length nodes aren't shut, as a shorter path may still pass.
+    The cycles through the least node of a strong component stay in it; then the node goes, and what is left falls into
+    components again.  A node that led nowhere is shut until a node on the way to it leaves the path, so the time between
+    two cycles is bounded by the edges; with a bound on the length nodes aren't shut, as a shorter path may still pass.
     """
     near = _neighbours(edges)
-    comp = _component_of(near)
-    groups: dict[str, set[str]] = defaultdict(set)
-    for a, c in comp.items():
-        groups[c].add(a)
-    for members in groups.values():
-        left = set(members)
-        for first in sorted(members):
-            if first in near[first]:
-                yield ([first, first],)
-            inside = _component_of({a: [b for b in near[a] if b in left] for a in left}) if len(left) > 1 else {}
-            within = {a for a, c in inside.items() if c == inside[first]}
-            if len(within) > 1:
-                yield from _through(first, {a: [b for b in near[a] if b in within and b != a] for a in within}, longest)
-            left.discard(first)
+    for a, bs in near.items():
+        if a in bs:
+            yield ([a, a],)
+    left = _groups(near, set(near))
+    while left:
+        members = left.pop()
+        first = min(members)
+        yield from _through(first, {a: [b for b in near[a] if b in members and b != a] for a in members}, longest)
+        left += _groups(near, members - {first})
 
 
 def _through(first: str, near: dict[str, list[str]], longest: int | None) -> Iterator[tuple[list[str]]]:
