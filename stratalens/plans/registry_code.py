@@ -219,7 +219,8 @@ def _code(t: Tables) -> DataFrame:
         text = F.replace(text, F.lit(mark), value.cast("string"))
     text = F.when(s % 10 == 1, "x = 1").when(s % 10 == 0, F.concat(text, F.lit("def f(:\n{ ["))).otherwise(text)
     path = F.concat(F.lit("src/f"), k, F.when(k % 2 == 0, ".ts").otherwise(".py"))
-    return t.part.select((k % 7).cast("string").alias("project_id"), path.alias("path"), text.alias("content"))
+    rows = t.part.select("p_partkey", "p_size").repartition(t.spark.sparkContext.defaultParallelism, "p_partkey")  # small rows, before texts are made of them
+    return rows.select((k % 7).cast("string").alias("project_id"), path.alias("path"), text.alias("content"))
 
 
 @query(f"""
@@ -274,7 +275,7 @@ UNION ALL SELECT path, 2, 'pkg' || s || '.sub', 'named', FALSE, 2, 'x:y,z:z', FA
 """)
 def parsed_imports(t):
     """X3, X5, X9, X13, F3, F4, G1."""
-    rows = parsers.imports_of(parsers.parsed(_code(t)))
+    rows = graph.cut(parsers.imports_of(parsers.parsed(_code(t))))
     names = F.array_join(F.transform("specifiers", lambda x: F.concat_ws(":", x["imported"], x["local"])), ",").alias("names")
     deps = graph.dependencies(rows).select(F.col("source").alias("path"), F.regexp_extract("id", "_([0-9]+)$", 1).cast("int").alias("ord"), "is_internal", "target")
     return rows.select("path", "ord", "source", "import_type", "is_dynamic", "line", names).join(deps, ["path", "ord"])
@@ -313,7 +314,7 @@ FROM (SELECT * FROM c WHERE ts AND NOT broken) a JOIN c b ON a.project_id = b.pr
 """)
 def analysis_edges(t):
     """G2, J1, D-probing: edges of an analysis between the files of a project."""
-    parsed = parsers.parsed(_code(t))
+    parsed = graph.cut(parsers.parsed(_code(t)).select("project_id", "path", "imports"))
     deps = graph.probed(graph.dependencies(parsers.imports_of(parsed)), parsed)
     return graph.edges(deps, parsed).select("project_id", "source", "target", "type", "weight")
 

@@ -17,6 +17,10 @@ from stratalens.operators import filters
 from stratalens.session import with_package
 
 
+#: Bytes of an archive's entries that are handed on together.
+TOGETHER = 8 << 20
+
+
 def binary(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(root)
@@ -55,14 +59,21 @@ def profiled(files: DataFrame) -> DataFrame:
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for project, content in zip(batch["project_id"], batch["content"], strict=True):
+            rows, size = [], 0
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for info in z.infolist():
                         parts = info.filename.replace("\\", "/").split("/")
                         if not info.is_dir() and ".." not in parts and not info.filename.startswith("/"):
-                            yield pd.DataFrame([{"project_id": project, "path": "/".join(p for p in parts if p not in ("", ".")), "content": z.read(info)}])
+                            rows.append((project, "/".join(p for p in parts if p not in ("", ".")), z.read(info)))
+                            size += info.file_size
+                        if size >= TOGETHER:
+                            yield pd.DataFrame(rows, columns=["project_id", "path", "content"])
+                            rows, size = [], 0
             except zipfile.BadZipFile:
-                continue
+                pass
+            if rows:
+                yield pd.DataFrame(rows, columns=["project_id", "path", "content"])
 
 
 def archive_entries(archives: DataFrame) -> DataFrame:
