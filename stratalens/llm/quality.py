@@ -1,14 +1,19 @@
 """A quality classifier: hashed word and character n-gram vectors, averaged for a document, and a softmax over two labels.
 
-Training is stochastic gradient descent in numpy over a bounded sample of labelled rows.  Scoring needs, for each
-bucket, only the difference of its two logits, so a document's score is one gather and one mean over its features.
+Training is stochastic gradient descent in numpy over a bounded sample of labelled rows, whose whole texts are counted
+in many tasks; the one that trains gets a vector for each, which no text makes longer than there are buckets.  Scoring
+needs, for each bucket, only the difference of its two logits, so a document's score is one gather and one mean over its
+features.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
+from tempfile import SpooledTemporaryFile
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +23,12 @@ from pyspark.sql import functions as F
 from stratalens.llm.common import prepare
 from stratalens.llm.tokens import in_batches, rows_of
 
-#: Labelled rows that are learned from at most: those with the least hashes; and characters of a text that are learned
-#: from: its first (scoring reads all).
-SAMPLE, LEARNED_CHARS = 4096, 100_000
+#: Labelled rows that are learned from at most: those with the least hashes.
+SAMPLE = 4096
+#: Characters of sampled texts that are counted at once; no bound on what is learned from: all of each text is counted.
+LEARNED_CHARS = 100_000
+#: Bytes of the sample's vectors that the training task holds in memory; more are in a file on its disk.
+HELD_BYTES = 1 << 28
 BITS = 18
 DIM = 16
 GRAMS = (3, 4)
@@ -82,20 +90,49 @@ def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def train(texts: list[str], labels: list[int], *, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> np.ndarray:
-    """The logit of label 1 over label 0 of each bucket, and last the bias."""
+def parts_of(text: str) -> list[str]:
+    """A text in parts of about PART characters, cut before white space if there is some within so many more."""
+    out, at = [], 0
+    while len(text) - at > PART:
+        m = SPACE.search(text, at + PART, at + 2 * PART)
+        end = m.start() if m else at + 2 * PART
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
+def in_parts(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """Indexes of texts, and these texts: those of one part together, then the parts of each other text one by one."""
+    parts = [parts_of(t) for t in texts]
+    if whole := [i for i, p in enumerate(parts) if len(p) == 1]:
+        yield whole, [texts[i] for i in whole]
+    yield from (([i], [p]) for i, ps in enumerate(parts) if len(ps) > 1 for p in ps)
+
+
+def counted(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The buckets of each whole text, ascending, and how often each occurs; parts are as in `score`."""
+    out = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))] * len(texts)
+    for rows, given in in_parts(texts):
+        kinds = features(given)
+        for k, i in enumerate(rows):
+            at, n = np.unique(np.concatenate([b[u[k - 1] if k else 0 : u[k]] for b, u in kinds]), return_counts=True)
+            if len(out[i][0]):
+                at, place = np.unique(np.concatenate([out[i][0], at]), return_inverse=True)
+                n = np.bincount(place, np.concatenate([out[i][1], n])).astype(np.int64)
+            out[i] = at, n
+    return out
+
+
+def train(vector: Callable[[int], tuple[np.ndarray, np.ndarray]], labels: list[int], *, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> np.ndarray:
+    """The logit of label 1 over label 0 of each bucket, and last the bias; vector(i) gives the buckets of row i and the
+    share of each of them."""
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((1 << BITS, dim), np.float32) - 0.5) / dim).astype(np.float32)
     out, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
-    rows = []
-    for t in texts:
-        buckets = np.concatenate([b for b, _ in features([t])])
-        at, n = np.unique(buckets, return_counts=True)
-        rows.append((at.astype(np.int32), (n / max(1, len(buckets))).astype(np.float32)))
-    steps, done = max(1, epochs * len(rows)), 0
+    steps, done = max(1, epochs * len(labels)), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            at, share = rows[i]
+        for i in rng.permutation(len(labels)):
+            at, share = vector(i)
             pace = np.float32(rate * (1 - done / steps))
             mean = share @ vectors[at] if len(at) else np.zeros(dim, np.float32)
             z = out @ mean + bias
@@ -110,23 +147,10 @@ def train(texts: list[str], labels: list[int], *, dim: int = DIM, epochs: int =
     return np.append(vectors @ (out[1] - out[0]), bias[1] - bias[0]).astype(np.float32)
 
 
-def parts_of(text: str) -> list[str]:
-    """A text in parts of about PART characters, cut before white space if there is some within so many more."""
-    out, at = [], 0
-    while len(text) - at > PART:
-        m = SPACE.search(text, at + PART, at + 2 * PART)
-        end = m.start() if m else at + 2 * PART
-        out.append(text[at:end])
-        at = end
-    return [*out, text[at:]]
-
-
 def score(texts: list[str], model: np.ndarray) -> np.ndarray:
     """The score of each text.  A pair of words or n-gram over the cut of a part of a huge text isn't counted."""
     total, count = np.zeros(len(texts)), np.zeros(len(texts))
-    parts = [parts_of(t) for t in texts]
-    whole = [i for i, p in enumerate(parts) if len(p) == 1]
-    for rows, given in ([(whole, [texts[i] for i in whole])] if whole else []) + [([i], [p]) for i, ps in enumerate(parts) if len(ps) > 1 for p in ps]:
+    for rows, given in in_parts(texts):
         for buckets, upto in features(given):
             sums = np.concatenate([[0], np.cumsum(model[buckets], dtype=np.float64)])[upto]
             total[rows] += np.diff(sums, prepend=0)
@@ -135,26 +159,59 @@ def score(texts: list[str], model: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = sorted((t or "", y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-    model = train([t for t, _ in rows], [y for _, y in rows])
+def packed(at: np.ndarray, n: np.ndarray) -> bytes:
+    """Buckets as the steps between them, and counts; all lowest bytes come first, so that Spark compresses the rest."""
+    return np.stack([np.diff(at.astype(np.int64), prepend=0), n]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, n = np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(2, -1)
+    return np.cumsum(steps, dtype=np.int32), n
+
+
+def _counted(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.RecordBatch]:
+    for rows in in_batches(rows_of(batches), 1, at_once):
+        keys = [hashlib.sha256(t.encode("utf-8", "replace")).digest() for _, t in rows]
+        found = [packed(*x) for x in counted([t for _, t in rows])]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([y for y, _ in rows], pa.int32()), pa.array(found, pa.binary())], ["key", "label", "vector"])
+
+
+def _train(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBatch]:
+    rows = []
+    with SpooledTemporaryFile(held, dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as file:
+        for b in batches:
+            for key, label, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                at, n = unpacked(data.as_py())
+                rows.append((key, label, file.tell(), len(at)))
+                file.write(at.tobytes() + (n / max(1, n.sum(dtype=np.int64))).astype(np.float32).tobytes())
+        rows.sort()
+
+        def vector(i: int) -> tuple[np.ndarray, np.ndarray]:
+            _, _, start, n = rows[i]
+            file.seek(start)
+            data = file.read(8 * n)
+            return np.frombuffer(data, np.int32, n), np.frombuffer(data, np.float32, n, 4 * n)
+
+        model = train(vector, [label for _, label, _, _ in rows])
     yield pa.RecordBatch.from_arrays([pa.array([model.tobytes()], pa.binary())], ["model"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, fold: int = 5) -> np.ndarray:
-    """Learn from at most `sample` labelled ids whose crc32(id as text) isn't divisible by `fold`, a row of each: of rows
-    that share the id the one whose text is least, and of a text no more than its first 100,000 characters.
+    """Learn from at most `sample` labelled ids whose crc32(id as text) isn't divisible by `fold`, a row of each, its whole
+    text: of rows that share the id the one whose text is least.
 
-    The ids of the sample, `sample` at most, are broadcast; one task trains on their texts.  Labels other than 0 and 1
-    are left out, and of several labels of a document the largest counts.  Without any label every score is 0.5.
+    The ids of the sample, `sample` at most, are broadcast; their texts are counted in parallel, and one task trains on a
+    vector for each, of 2 MB at most.  Labels other than 0 and 1 are left out, and of several labels of a document the
+    largest counts.  Without any label every score is 0.5.
     """
     prepare(docs.sparkSession)
     key = F.col(id_col).cast("string")
     known = labels.filter(F.col(label_col).isin(0, 1) & (F.crc32(key.cast("binary")) % fold != 0)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
     chosen = known.orderBy(F.xxhash64(F.lit(3), "__id"), "__id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("__id"), F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, LEARNED_CHARS).alias("text"))
-    rows = rows.join(F.broadcast(chosen), "__id").groupBy("__id", "__label").agg(F.min("text").alias("text")).select("text", "__label")
-    got = rows.repartition(1).mapInArrow(_train, "model binary").collect()
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(chosen), "__id").groupBy("__id", "__label").agg(F.min("text").alias("text")).select("__label", "text")
+    vectors = rows.mapInArrow(partial(_counted, at_once=LEARNED_CHARS), "key binary, label int, vector binary")
+    got = vectors.repartition(1).mapInArrow(partial(_train, held=HELD_BYTES), "model binary").collect()
     return np.frombuffer(got[0][0], np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
 
 

@@ -478,6 +478,33 @@ def test_quality_of_held_out_and_repeated_rows(spark, monkeypatch):
     assert quality.score([text], model)[0] == pytest.approx(whole, rel=1e-3)
 
 
+def test_quality_learns_from_whole_texts(spark, monkeypatch):
+    """What tells the labels apart comes after 100,000 characters that all texts share; nothing hangs on how texts are counted or held."""
+    r = random.Random(6)
+    start = "the river walks under the light of a stone and " * 2200
+    tails = [" ".join(r.choice([f"{'gb'[i % 2]}{k}" for k in range(30)]) for _ in range(100)) + " " for i in range(150)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    rows = spark.createDataFrame(rows_of(tails), SCHEMA).withColumn("text", mixing.F.concat(mixing.F.lit(start), mixing.F.repeat("text", mixing.F.lit(300))))
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(150)], "doc_id long, quality int")
+    right = [(x.score >= 0.5) == (x.doc_id % 2 == 0) for x in quality.quality(rows, labels).collect() if held(x.doc_id)]
+    assert len(start) > 100_000 and len(right) > 20 and all(right)
+    model = quality.fit(rows, labels)
+    monkeypatch.setattr(quality, "LEARNED_CHARS", 1)
+    monkeypatch.setattr(quality, "HELD_BYTES", 1)
+    assert np.array_equal(model, quality.fit(rows, labels))
+
+
+def test_counted_features_are_those_of_the_whole_text(monkeypatch):
+    texts = ["a a a b", "", "  x", "one two\nthree", " ".join(f"w{i % 70}" for i in range(3000)), "é ñ é"]
+    whole = [np.unique(np.concatenate([b for b, _ in quality.features([t])]), return_counts=True) for t in texts]
+    for found in (quality.counted(texts), [quality.unpacked(quality.packed(*x)) for x in quality.counted(texts)]):
+        assert all(np.array_equal(a, b) and np.array_equal(m, n) for (a, m), (b, n) in zip(whole, found, strict=True))
+    monkeypatch.setattr(quality, "PART", 1000)
+    parts = len(quality.parts_of(texts[4]))
+    lost = [m.sum() - n.sum() for (_, m), (_, n) in zip(whole, quality.counted(texts), strict=True)]
+    assert parts > 5 and lost == [0, 0, 0, 0, parts - 1, 0]  # a pair of words over each cut, as in a score
+
+
 def test_quality_without_labels(plain, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality.quality(plain, none).collect()} == {0.5}
