@@ -11,7 +11,7 @@ from functools import partial
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens import schemas
@@ -39,13 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def dependencies(imports: DataFrame) -> DataFrame:
-    """A dependency for each import, its target resolved; ids count the imports of a file."""
+def dependencies(imports: DataFrame, *more: Column | str) -> DataFrame:
+    """A dependency for each import, its target resolved; ids count the imports of a file.  `more` columns of the
+    imports come last."""
     external = paths.is_external(F.col("source"))
     return imports.select(
         "project_id", F.concat_ws("_", F.lit("import"), "path", "ord").alias("id"), F.col("path").alias("source"),
         paths.resolve_import(F.col("path"), F.col("source")).alias("target"), F.col("source").alias("specifier"), "import_type",
-        F.when(F.col("is_dynamic"), "dynamic_import").otherwise("import").alias("type"), external.alias("is_external"), (~external).alias("is_internal"), "line",
+        F.when(F.col("is_dynamic"), "dynamic_import").otherwise("import").alias("type"), external.alias("is_external"), (~external).alias("is_internal"), "line", *more,
     )
 
 

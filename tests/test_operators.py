@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalens.operators import aggregates, filters, graph, joins, mutations, ordering, parsers, walks
-from stratalens.plans import library, report, rules
+from stratalens.plans import library, registry, report, rules
 from stratalens.session import shared_dir
 from stratalens.sources import files as sources
 from stratalens.streaming import state
@@ -236,6 +236,22 @@ def test_javascript_syntax_errors_and_long_files():
     assert time.process_time() - began < 30
 
 
+@pytest.mark.parametrize("name", ["parsed_imports", "parsed_components", "analysis_libraries", "parsed_exports"])
+def test_files_are_parsed_once_after_they_are_dealt_out(spark, tmp_path, name):
+    spark.range(50).selectExpr("id AS p_partkey", "cast(id % 20 AS int) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EvalPython") == 1
+    assert plan.index("EvalPython") < plan.index("RepartitionByExpression")
+
+
+def test_imports_are_linked_row_by_row(spark, tmp_path):
+    """Files that are there twice, which a join by path would multiply."""
+    rows = spark.range(2).selectExpr("2L AS p_partkey", "5 AS p_size")
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    got = [(r.ord, r.source, r.target) for r in registry.QUERIES["parsed_imports"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(2 * [(0, "./f16.ts", "src/f16.ts"), (1, "lib5/x", "lib5/x"), (2, "side", "side"), (3, "dyn", "dyn")])
+
+
 def test_analysis_of_a_tree(spark, tmp_path):
     tree = {"src/a.ts": "import { b } from './b.ts';\nimport x from 'lodash/fp';\n", "src/b.ts": "import { a } from './a.ts';\nexport const b = 1;\n", "src/c.py": "import os\n\ndef f():\n    return 1\n", "node_modules/z.js": "import 'q'; // skipped\n"}
     for name, content in tree.items():
