@@ -8,15 +8,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.session import shared_dir, with_package
+from stratalens.session import input_bytes, shared_dir, with_package
 
 #: Has Spark remove the shuffles of an execution at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: From how many partitions adaptive execution puts a shuffle together; one for so many bytes of input, in these bounds.
 INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 INPUT_BYTES, MOST_PARTITIONS = 32 << 20, 100_000
-#: What Spark takes for the size of a table that it knows nothing of is more than this.
-UNKNOWN = 1 << 60
 #: Rows in an Arrow batch at most; texts may be long, so the default of 10,000 is too many.
 BATCH_ROWS = 512
 
@@ -33,13 +31,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def input_bytes(table: DataFrame) -> int:
-    """The bytes of what a table is read from, as Spark's plan knows them; what has no size there counts as none."""
-    leaves = table._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return sum(n for n in sizes if n < UNKNOWN)
-
-
 class Workspace:
     """Written intermediate tables of one query, in the shared folder.
 

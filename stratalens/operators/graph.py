@@ -1,7 +1,8 @@
 """Dependency graphs (G1-G15): edges, cycles, strongly connected components, layers, degrees, all by project.
 
 A project whose edges fit one task is solved there by a plain walk.  Larger ones take rounds of joins, as many as their
-longest path; every round's table is checkpointed.
+longest path; every round's table is checkpointed.  Edges and nodes are dealt out to as many partitions as the input's
+bytes ask for, whatever the session says.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from stratalens import schemas
 from stratalens.functions import paths, scores
 from stratalens.operators import walks
 from stratalens.operators.joins import resolved_edges
-from stratalens.session import shared_dir, with_package
+from stratalens.session import parts, shared_dir, with_package
 
 #: Edges of a project that one task solves, and rows of a batch that it gives.
 ONE_TASK, BATCH = 500_000, 5_000
@@ -79,17 +80,22 @@ def adjacency(edge: DataFrame) -> DataFrame:
     return edge.groupBy("project_id", "source").agg(F.array_sort(F.collect_set("target")).alias("dependencies"))
 
 
+def _distinct(rows: DataFrame, n: int) -> DataFrame:
+    return rows.repartition(n, *rows.columns).distinct()
+
+
 def _by_size(edge: DataFrame, most: int) -> tuple[DataFrame | None, DataFrame | None]:
     """Distinct edges of the projects that one task can solve, and of the others; None where there are none."""
-    e = cut(edge.select("project_id", "source", "target").distinct())
-    sizes = e.groupBy("project_id").agg(F.count("*").alias("n"))
+    n = parts(edge)
+    e = cut(_distinct(edge.select("project_id", "source", "target"), n))
+    sizes = e.repartition(n, "project_id").groupBy("project_id").agg(F.count("*").alias("n"))
     large = cut(sizes.filter(F.col("n") > most).select("project_id"))
     if large.isEmpty():
         return e, None
     return e.join(large, "project_id", "left_anti"), cut(e.join(large, "project_id", "left_semi"))
 
 
-def _solved(edge: DataFrame, f: Callable[[list[tuple[str, str]]], Iterable[tuple]], schema: str) -> DataFrame:
+def _solved(edge: DataFrame, n: int, f: Callable[[list[tuple[str, str]]], Iterable[tuple]], schema: str) -> DataFrame:
     """f(edges) of each project, whose edges fit one task; rows come out batch by batch."""
     names = [c.split()[0] for c in schema.split(", ")]
     with_package(edge.sparkSession)
@@ -100,7 +106,7 @@ def _solved(edge: DataFrame, f: Callable[[list[tuple[str, str]]], Iterable[tuple
         while part := list(islice(rows, BATCH)):
             yield pd.DataFrame(part, columns=["project_id", *names])
 
-    whole = edge.groupBy("project_id").agg(F.collect_list(F.struct("source", "target")).alias("pairs"))
+    whole = edge.repartition(n, "project_id").groupBy("project_id").agg(F.collect_list(F.struct("source", "target")).alias("pairs"))
     return whole.mapInPandas(run, f"project_id string, {schema}")
 
 
@@ -111,7 +117,7 @@ def strong_components(edge: DataFrame, most: int = ONE_TASK) -> DataFrame:
     each label's own node; what both reach is a component; rounds go with the longest path.
     """
     small, large = _by_size(edge, most)
-    out = _solved(small, walks.components, "id string, component string")
+    out = _solved(small, parts(edge), walks.components, "id string, component string")
     return out if large is None else out.unionByName(_spread_components(large))
 
 
@@ -131,7 +137,7 @@ def simple_cycles(edge: DataFrame, longest: int | None = None, most: int = ONE_T
     components, only over nodes greater than their first, so each cycle is found once.
     """
     small, large = _by_size(edge, most)
-    found = _solved(small, partial(walks.cycles, longest=longest), "cycle array<string>")
+    found = _solved(small, parts(edge), partial(walks.cycles, longest=longest), "cycle array<string>")
     if large is not None:
         found = found.unionByName(_grown_cycles(large, longest))
     size = F.size("cycle")
@@ -141,10 +147,11 @@ def simple_cycles(edge: DataFrame, longest: int | None = None, most: int = ONE_T
 def layers(edge: DataFrame, nodes: DataFrame, most: int = ONE_TASK) -> DataFrame:
     """0 for a node without dependencies, else one more than the highest of them; nodes of a cycle share a layer."""
     small, large = _by_size(edge.filter("source <> target"), most)
-    found = _solved(small, walks.layers, "id string, layer int")
+    found = _solved(small, parts(edge), walks.layers, "id string, layer int")
     if large is not None:
         found = found.unionByName(_raised_layers(large))
-    return nodes.select("project_id", "id").distinct().join(found, ["project_id", "id"], "left").select("project_id", "id", F.coalesce("layer", F.lit(0)).alias("layer"))
+    n, key = parts(edge, nodes), ["project_id", "id"]
+    return _distinct(nodes.select(*key), n).join(found.repartition(n, *key), key, "left").select("project_id", "id", F.coalesce("layer", F.lit(0)).alias("layer"))
 
 
 # ---- the same for projects that are too large for one task

@@ -10,6 +10,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from stratalens import session
 from stratalens.operators import aggregates, filters, graph, joins, mutations, ordering, parsers, walks
 from stratalens.plans import library, registry, report, rules
 from stratalens.session import shared_dir
@@ -103,6 +104,21 @@ def test_cycles_and_layers(spark, most):
     assert flags == {"a": (True, False), "b": (False, False), "c": (False, True), "z": (True, True)}
 
 
+@pytest.fixture
+def items(spark, tmp_path, monkeypatch):
+    """The registered queries on items of orders, with partitions for few bytes."""
+    monkeypatch.setattr(session, "PART_BYTES", 200, raising=False)
+    columns = ["id % 40 AS l_orderkey", "cast(id AS int) AS l_linenumber", "id AS l_partkey", "id AS l_suppkey", "0D AS l_extendedprice"]
+    spark.range(400).selectExpr(*columns).repartition(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    return lambda name: registry.QUERIES[name](spark, str(tmp_path))
+
+
+def test_layers_have_partitions_for_the_input(items):
+    got = items("dag_layers")
+    assert got.rdd.getNumPartitions() >= 10  # the session says 4
+    assert sorted(r.layer for r in got.filter("project_id = '7'").collect()) == [0, 0, 1, 2, 2, 3, 4, 4, 5, 6]
+
+
 @pytest.mark.parametrize(("size", "most"), [(4, 0), (10, 1000), (3000, 5000)])
 def test_cycles_of_any_length(spark, size, most):
     ring = [(f"n{i:04}", f"n{(i + 1) % size:04}") for i in range(size)]
