@@ -68,10 +68,11 @@ def edges(deps: DataFrame, files: DataFrame) -> DataFrame:
 
 def degrees(edge: DataFrame, nodes: DataFrame) -> DataFrame:
     """Fan-out, fan-in, and whether a node is an entry (no dependents) or a leaf (no dependencies)."""
-    one, none = F.lit(1), F.lit(0)
-    ends = edge.select("project_id", F.col("source").alias("id"), one.alias("o"), none.alias("i")).unionByName(edge.select("project_id", F.col("target").alias("id"), none.alias("o"), one.alias("i")))
-    sums = ends.groupBy("project_id", "id").agg(F.sum("o").alias("fan_out"), F.sum("i").alias("fan_in"))
-    out = nodes.select("project_id", "id").distinct().join(sums, ["project_id", "id"], "left")
+    n, key = parts(edge, nodes), ["project_id", "id"]
+    end = lambda c, o, i: F.struct(F.col(c).alias("id"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    ends = edge.select("project_id", F.inline(F.array(end("source", 1, 0), end("target", 0, 1))))
+    sums = ends.repartition(n, *key).groupBy(*key).agg(F.sum("o").alias("fan_out"), F.sum("i").alias("fan_in"))
+    out = _distinct(nodes.select(*key), n).join(sums, key, "left")
     out = out.withColumn("fan_out", F.coalesce("fan_out", F.lit(0))).withColumn("fan_in", F.coalesce("fan_in", F.lit(0)))
     return out.withColumn("is_entry", F.col("fan_in") == 0).withColumn("is_leaf", F.col("fan_out") == 0)
 

@@ -119,6 +119,13 @@ def test_layers_have_partitions_for_the_input(items):
     assert sorted(r.layer for r in got.filter("project_id = '7'").collect()) == [0, 0, 1, 2, 2, 3, 4, 4, 5, 6]
 
 
+def test_degrees_have_partitions_for_the_input(items):
+    got = items("entry_leaf_flags")
+    assert got.rdd.getNumPartitions() >= 10
+    assert sorted((int(r.id), r.fan_out, r.fan_in) for r in got.filter("project_id = '7'").collect())[:3] == [(1, 2, 0), (2, 2, 1), (3, 1, 2)]
+    assert got.count() == 400
+
+
 @pytest.mark.parametrize(("size", "most"), [(4, 0), (10, 1000), (3000, 5000)])
 def test_cycles_of_any_length(spark, size, most):
     ring = [(f"n{i:04}", f"n{(i + 1) % size:04}") for i in range(size)]
